@@ -6,17 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import decontaminate
+from quillstream.llm import decontaminate, language
 from quillstream.llm.shared import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.keep_identified(docs, language.fit(docs))
+
+
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES: list[tuple[str, Stage]] = [("benchmark decontamination", keep_uncontaminated)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language ID", keep_identified),
+    ("benchmark decontamination", keep_uncontaminated),
+]
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, token_counts
+from quillstream.llm import decontaminate, language, token_counts
 from quillstream.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -41,6 +46,7 @@ def vocabulary(name: str) -> str:
 QUERIES: dict[str, Query] = {
     "op5_decontaminate": op5_decontaminate,
     "op9_token_counts": op9_token_counts,
+    "op10_language": op10_language,
 }
 
 ORACLE: dict[str, str] = {}

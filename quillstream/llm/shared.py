@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a worker handles at once; a single longer text is handled alone.
@@ -45,7 +46,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             if batch.num_rows:
                 yield batch
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         start = held = 0
         for i, size in enumerate(sizes):
             if held and held + size > most:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import decontaminate, language
+from quillstream.llm import decontaminate, jaccard, language
 from quillstream.llm.shared import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -16,12 +16,17 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return language.keep_identified(docs, language.fit(docs))
 
 
+def keep_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one_each(docs)
+
+
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("language ID", keep_identified),
+    ("n-gram Jaccard join", keep_one_each),
     ("benchmark decontamination", keep_uncontaminated),
 ]
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, language, token_counts
+from quillstream.llm import decontaminate, jaccard, language, token_counts
 from quillstream.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -45,6 +49,7 @@ def vocabulary(name: str) -> str:
 
 QUERIES: dict[str, Query] = {
     "op5_decontaminate": op5_decontaminate,
+    "op8_jaccard": op8_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_language": op10_language,
 }

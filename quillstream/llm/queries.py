@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, jaccard, language, token_counts
+from quillstream.llm import decontaminate, jaccard, language, quality, token_counts
 from quillstream.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return m.select(
@@ -48,6 +53,7 @@ def vocabulary(name: str) -> str:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op5_decontaminate": op5_decontaminate,
     "op8_jaccard": op8_jaccard,
     "op9_token_counts": op9_token_counts,

@@ -6,7 +6,8 @@
 2. Documents with equal sets become one; sets with identical prefix and size become one group, and
    only groups are listed under the hashes of their prefix.
 3. Group pairs under a hash are filtered by size and by bitmaps, whose differing bits are at most
-   the sets' differing members. What passes is joined to clusters, by spanning links only.
+   the sets' differing members; a bitmap has a bit for each member of its set or more. What passes is
+   joined to clusters, by spanning links only.
 4. Groups expand to their members, and the members of a cluster are verified on whole sets. A
    cluster of up to BLOCK members is compared in full. A larger one is compared with BLOCK of its
    members first; then everything outside its largest component is compared, in blocks, with all of
@@ -31,8 +32,7 @@ from quillstream.llm.bytewords import SPACE_WORDS, shingles, words_of
 from quillstream.llm.components import components
 from quillstream.llm.shared import chunks, written
 
-SLOTS = 1 << 16
-BITS = 2048
+SLOT_BITS = 18
 #: Members of a cluster that are compared with each other at once.
 BLOCK = 512
 #: Groups under one hash up to which bitmaps are compared; more become one cluster without a look.
@@ -54,14 +54,14 @@ def slot_counts(d: DataFrame, n: int) -> np.ndarray:
     """Sets that hold a hash of each slot, over all documents."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in chunks(it, "text"):
-            total += np.bincount((np.concatenate(_sets(batch, n)) >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
+            total += np.bincount((np.concatenate(_sets(batch, n)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
     found = d.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, np.int64)
+    out = np.zeros(1 << SLOT_BITS, np.int64)
     out[found["slot"].to_numpy()] = found["n"].to_numpy()
     return out
 
@@ -74,7 +74,7 @@ def features(docs: DataFrame, *, n: int, percent: int) -> DataFrame:
     def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
         # counts close to each other are one rank, so that the order is fixed by few bits and then by the hash
-        rank = np.floor(np.log2(counts + 1) * 8).astype(np.int64)
+        rank = np.floor(np.log2(counts + 1) * 8).astype(np.int16)
         for batch in chunks(it, "text"):
             size, one, two, prefix, bits = [], [], [], [], []
             for s in _sets(batch, n):
@@ -83,11 +83,8 @@ def features(docs: DataFrame, *, n: int, percent: int) -> DataFrame:
                 one.append(int(_signed(np.bitwise_xor.reduce(s, keepdims=True))[0]) if k else 0)
                 two.append(int(_signed((s * (s >> np.uint64(7) | np.uint64(1))).sum(keepdims=True))[0]) if k else 0)
                 take = k - (percent * k + 99) // 100 + 1 if 100 * k >= percent * (k + 1) else 0
-                prefix.append(_signed(s[np.lexsort((s, rank[(s >> np.uint64(48)).astype(np.int64)]))[:take]]) if take else np.zeros(0, np.int64))
-                if take:
-                    own = np.zeros(BITS, np.uint8)
-                    own[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
-                bits.append(np.packbits(own).tobytes() if take else None)
+                prefix.append(_signed(s[np.lexsort((s, rank[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))[:take]]) if take else np.zeros(0, np.int64))
+                bits.append(_bitmap(s).tobytes() if take else None)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -112,18 +109,40 @@ def _parts(near: np.ndarray) -> np.ndarray:
     return label
 
 
-def _passes(bits: np.ndarray, size: np.ndarray, loose: np.ndarray, rows: slice, percent: int) -> np.ndarray:
-    """rows x all: whether size and bitmap allow the threshold; `loose` places have no bitmap."""
-    a, b = size[rows][:, None], size[None, :]
-    ok = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) | (a < 0)
-    i, j = np.nonzero(ok)
-    part = np.arange(len(size))[rows]
-    for k in range(0, len(i), 1 << 15):
-        x, y = part[i[k : k + (1 << 15)]], j[k : k + (1 << 15)]
-        differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
-        # |x - y| + |y - x| <= (1 - t) / (1 + t) (|x| + |y|)
-        ok[i[k : k + (1 << 15)], y] = ((100 + percent) * differ <= (100 - percent) * (size[x] + size[y])) | loose[x] | loose[y]
-    return ok
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit for each hash modulo a power of two, that is at least the number of hashes and 256."""
+    own = np.zeros(max(256, 1 << (len(s) - 1).bit_length()), np.uint8)
+    own[(s & np.uint64(len(own) - 1)).astype(np.int64)] = 1
+    return np.packbits(own, bitorder="little").view(np.uint64)
+
+
+class Bitmaps:
+    """Bitmaps of several lengths, each also folded to half its length; sets within the threshold differ by a factor of two at most."""
+
+    def __init__(self, raw: list[np.ndarray | None]):
+        self.words = np.array([0 if x is None else len(x) for x in raw])
+        self.of = {}
+        for w in np.unique(self.words[self.words > 0]).tolist():
+            at = np.flatnonzero(self.words == w)
+            whole = np.stack([raw[k] for k in at.tolist()])
+            self.of[w] = at, whole, whole[:, : w // 2] | whole[:, w // 2 :]
+
+    def passing(self, size: np.ndarray, percent: int) -> np.ndarray:
+        """Symmetric: whether size and bitmaps allow the threshold; what has no bitmap passes by its size."""
+        n = len(size)
+        near = 100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size)
+        for w, (at, whole, _) in self.of.items():
+            for other, bits in ((at, whole), self.of[2 * w][::2] if 2 * w in self.of else (at[:0], whole[:0])):
+                for k in range(0, len(at), 256):
+                    i, j = np.nonzero(near[np.ix_(at[k : k + 256], other)])
+                    for m in range(0, len(i), 1 << 14):
+                        x, y = i[m : m + (1 << 14)] + k, j[m : m + (1 << 14)]
+                        differ = np.bitwise_count(whole[x] ^ bits[y]).sum(1, dtype=np.int64)
+                        x, y = at[x], other[y]
+                        # |x - y| + |y - x| <= (1 - t) / (1 + t) (|x| + |y|)
+                        near[x, y] = near[y, x] = (100 + percent) * differ <= (100 - percent) * (size[x] + size[y])
+        near[np.arange(n), np.arange(n)] = True
+        return near
 
 
 def _linked(buckets: DataFrame, percent: int) -> DataFrame:
@@ -136,14 +155,11 @@ def _linked(buckets: DataFrame, percent: int) -> DataFrame:
         def done(t: pa.Table) -> pa.RecordBatch:
             a, b = [], []
             token, gid, size = (t[c].to_numpy() for c in ("token", "gid", "size"))
-            raw = t["bits"].to_pylist()
-            loose = np.array([x is None for x in raw])
-            bits = np.frombuffer(b"".join(x or bytes(BITS // 8) for x in raw), np.uint64).reshape(len(raw), -1)
+            raw = [None if x is None else np.frombuffer(x, np.uint64) for x in t["bits"].to_pylist()]
             start = np.append(np.flatnonzero(np.diff(token, prepend=token[0] - 1) != 0), len(token))
             for s, e in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
                 if e - s > 1:
-                    near = np.concatenate([_passes(bits[s:e], size[s:e], loose[s:e], slice(k, k + 256), percent) for k in range(0, e - s, 256)])
-                    label = _parts(near)
+                    label = _parts(Bitmaps(raw[s:e]).passing(size[s:e], percent))
                     at = np.flatnonzero(label != np.arange(e - s))
                     a.append(gid[s:e][at])
                     b.append(gid[s:e][label[at]])
@@ -171,7 +187,9 @@ def _verified(rows: DataFrame, n: int, percent: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, queries, ids, bits, parent = None, [], [], np.zeros((0, BITS // 64), np.uint64), {}
+        at, queries, ids, parent = None, [], [], {}
+        held: dict[int, tuple[list[int], np.ndarray]] = {}  # bitmap words -> places in queries and their bitmaps
+        sizes = np.zeros(2 * BLOCK, np.int64)
 
         def root(x: int) -> int:
             while parent.setdefault(x, x) != x:
@@ -183,31 +201,38 @@ def _verified(rows: DataFrame, n: int, percent: int) -> DataFrame:
             found = []
             sets = _sets(batch, n)
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "block", "share", "is_query", "doc_id")), strict=True))
-            own = np.zeros((len(sets), BITS), np.uint8)
-            for k, s in enumerate(sets):
-                own[k, (s & np.uint64(BITS - 1)).astype(np.int64)] = 1
-            own = np.packbits(own, axis=1).view(np.uint64)
             for k, (*key, is_query, doc) in enumerate(keys):
                 if key != at:
-                    at, queries, ids, parent = key, [], [], {}
-                    held = np.zeros((BLOCK, BITS // 64), np.uint64)
-                    sizes = np.zeros(BLOCK, np.int64)
+                    at, queries, ids, parent, held = key, [], [], {}, {}
                 s = sets[k]
                 size = len(s)
-                m = len(queries)
-                differ = np.bitwise_count(held[:m] ^ own[k]).sum(1, dtype=np.int64)
-                total = sizes[:m] + size
-                may = ((100 + percent) * differ <= (100 - percent) * total) & (100 * np.minimum(sizes[:m], size) >= percent * np.maximum(sizes[:m], size))
+                own = _bitmap(s)
+                w, m = len(own), len(queries)
+                may = np.zeros(m, bool)
+                for words, fold_own, fold_held in ((w, False, False), (w // 2, True, False), (2 * w, False, True)):
+                    if words in held:
+                        places, maps = held[words]
+                        maps = maps[: len(places)]
+                        mine = own[: w // 2] | own[w // 2 :] if fold_own else own
+                        theirs = maps[:, :w] | maps[:, w:] if fold_held else maps
+                        total = sizes[places] + size
+                        differ = np.bitwise_count(theirs ^ mine).sum(1, dtype=np.int64)
+                        may[places] = ((100 + percent) * differ <= (100 - percent) * total) & (100 * np.minimum(sizes[places], size) >= percent * np.maximum(sizes[places], size))
                 for q in np.flatnonzero(may).tolist():
                     if root(ids[q]) != root(doc):
                         both = np.concatenate([queries[q], s])
                         both.sort()
                         inter = int((both[1:] == both[:-1]).sum())
-                        if 100 * inter >= percent * (int(total[q]) - inter):
+                        if 100 * inter >= percent * (int(sizes[q]) + size - inter):
                             parent[root(doc)] = root(ids[q])
                             found.append((doc, ids[q]))
                 if is_query:
-                    held[m], sizes[m] = own[k], size
+                    places, maps = held.get(w, ([], np.zeros((16, w), np.uint64)))
+                    if len(places) == len(maps):
+                        maps = np.concatenate([maps, np.zeros_like(maps)])
+                    maps[len(places)] = own
+                    held[w] = [*places, m], maps
+                    sizes[m] = size
                     queries.append(s)
                     ids.append(doc)
             if found:

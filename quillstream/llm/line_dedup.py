@@ -22,8 +22,8 @@ from quillstream.llm.shared import written
 #: Where lines end: after a line feed or punctuation that no more punctuation follows.
 CUT = r"""(?<=[.,;:!?\\n])(?![.,;:!?\\n"'])"""
 #: One in so many places between lines ends a chunk, in each of CHUNKINGS independent ways of cutting.
-SPARSITY = 3
-CHUNKINGS = 2
+SPARSITY = 2
+CHUNKINGS = 3
 #: Characters of a chunk that can be removed, at least.
 LEAST = 40
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, jaccard, language
+from quillstream.llm import decontaminate, jaccard, language, line_dedup
 from quillstream.llm.shared import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -16,6 +17,12 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return language.keep_identified(docs, language.fit(docs))
 
 
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(docs)
+    n = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*(n if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
 def keep_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.keep_one_each(docs)
 
@@ -26,6 +33,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 STAGES: list[tuple[str, Stage]] = [
     ("language ID", keep_identified),
+    ("line dedup", without_repeated_lines),
     ("n-gram Jaccard join", keep_one_each),
     ("benchmark decontamination", keep_uncontaminated),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, jaccard, language, quality, token_counts
+from quillstream.llm import decontaminate, jaccard, language, line_dedup, quality, token_counts
 from quillstream.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def vocabulary(name: str) -> str:
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op5_decontaminate": op5_decontaminate,
+    "op6_line_dedup": op6_line_dedup,
     "op8_jaccard": op8_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_language": op10_language,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, jaccard, language, line_dedup, quality, token_counts
+from quillstream.llm import decontaminate, jaccard, language, line_dedup, personal_data, quality, token_counts
 from quillstream.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds, added = personal_data.KINDS, personal_data.ADDED
+    count = lambda k: F.expr(f"cast(size(filter(found, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}")
+    found = personal_data.personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *map(count, kinds), F.sha2(personal_data.joined("found", kinds), 256).alias("base_sha256"), personal_data.joined("found", kinds + added).alias("spans"), *map(count, added))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return m.select(
@@ -59,6 +66,7 @@ def vocabulary(name: str) -> str:
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
+    "op2_personal_data": op2_personal_data,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op8_jaccard": op8_jaccard,

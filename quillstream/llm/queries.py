@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, jaccard, language, line_dedup, personal_data, quality, token_counts
+from quillstream.llm import decontaminate, jaccard, language, line_dedup, personal_data, quality, token_counts, url_filter
 from quillstream.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), F.sha2(personal_data.joined("found", kinds), 256).alias("base_sha256"), personal_data.joined("found", kinds + added).alias("spans"), *map(count, added))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return m.select(
@@ -67,6 +71,7 @@ def vocabulary(name: str) -> str:
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_personal_data": op2_personal_data,
+    "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op8_jaccard": op8_jaccard,

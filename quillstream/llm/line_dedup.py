@@ -23,7 +23,7 @@ from quillstream.llm.shared import written
 CUT = r"""(?<=[.,;:!?\\n])(?![.,;:!?\\n"'])"""
 #: One in so many places between lines ends a chunk, in each of CHUNKINGS independent ways of cutting.
 SPARSITY = 2
-CHUNKINGS = 3
+CHUNKINGS = 1
 #: Characters of a chunk that can be removed, at least.
 LEAST = 40
 
@@ -61,8 +61,8 @@ def _pieces(text: str) -> F.Column:
 
 
 def dedup_lines(docs: DataFrame, *, chunkings: int = CHUNKINGS, sparsity: int = SPARSITY, least: int = LEAST) -> DataFrame:
-    """`docs` with repeated passages gone from `text`, and with `_n_lines` and `_n_removed` behind its columns."""
-    chunk = _chunks(docs, chunkings, sparsity, least)
+    """`docs` with repeated passages gone from `text`, and with `_n_removed`, the number of lines gone, behind its columns."""
+    chunk = written(_chunks(docs, chunkings, sparsity, least))
     last = F.lit((1 << 63) - 1)
     order = F.coalesce("doc_id", last)
     counted = chunk.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1")
@@ -71,18 +71,17 @@ def dedup_lines(docs: DataFrame, *, chunkings: int = CHUNKINGS, sparsity: int =
     # inside the first document the first place stays
     found = found.withColumn("seen", F.expr("transform(spans, c -> c.hash)")).withColumn("spans", F.expr("transform(spans, (c, i) -> struct(c.start, c.stop, c.hash, c.is_first and array_position(seen, c.hash) = i + 1 as stays))")).drop("seen")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_found_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_found_key"))
-    held = written(docs.join(found, same, "left").drop("_found_id"))
+    held = written(docs.join(found, same, "left").drop("_found_id"), compression="zstd")
     texts = _with_texts(held).groupBy(F.col("c.hash").alias("hash"), "chunk").agg(F.count(F.lit(1)).alias("n"))
     mixed = written(texts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("hash"))
     if not mixed.isEmpty():
         held = _settled(held, mixed, docs.columns)
-    out = held.withColumn("_pieces", _pieces("text"))
     gone = "array_distinct(flatten(transform(filter(spans, c -> not c.stays), c -> sequence(c.start, c.stop - 1))))"
-    out = out.withColumn("_gone", F.coalesce(F.expr(gone), F.expr("cast(array() as array<int>)")))
+    out = held.withColumn("_gone", F.coalesce(F.expr(gone), F.expr("cast(array() as array<int>)")))
+    out = out.withColumn("_pieces", F.when(F.size("_gone") > 0, _pieces("text")))
     left = "array_join(transform(array_except(sequence(0, size(_pieces) - 1), _gone), i -> _pieces[i]), '')"
     text = F.when(F.size("_gone") > 0, F.expr(left)).otherwise(F.col("text"))
-    counts = [F.coalesce(F.size("_pieces"), F.lit(0)).cast("long").alias("_n_lines"), F.size("_gone").cast("long").alias("_n_removed")]
-    return out.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), *counts)
+    return out.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), F.size("_gone").cast("long").alias("_n_removed"))
 
 
 def _settled(held: DataFrame, mixed: DataFrame, columns: list[str]) -> DataFrame:

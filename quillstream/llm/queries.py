@@ -46,7 +46,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+    return out.select("doc_id", "text", F.col("_n_removed").alias("n_removed"))
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,11 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """`df`, written once to the shared folder and read again: a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillstream/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, jaccard, language, line_dedup
+from quillstream.llm import decontaminate, jaccard, language, line_dedup, pieces
 from quillstream.llm.shared import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,11 +31,20 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training form of the documents: piece ids of the best path, scores of all paths, and whether they decode to the text."""
+    import public_tokenizers
+
+    found = pieces.segmented(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "ids", "score", F.transform("others", lambda o: o["score"]).alias("other_scores"), "decodes")
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language ID", keep_identified),
     ("line dedup", without_repeated_lines),
     ("n-gram Jaccard join", keep_one_each),
     ("benchmark decontamination", keep_uncontaminated),
+    ("SentencePiece", encode),
 ]
 ORACLE_SQL = None
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, jaccard, language, line_dedup, main_text, personal_data, quality, token_counts, url_filter
+from quillstream.llm import decontaminate, jaccard, language, line_dedup, main_text, personal_data, pieces, quality, token_counts, url_filter
 from quillstream.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,20 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.segmented(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        "score",
+        F.expr("get(others, 0).score").alias("second_score"),
+        (F.size("others") + 1).cast("long").alias("n_paths"),
+        F.sha2(F.to_json("others"), 256).alias("others_sha256"),
+        "decodes",
+    )
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return m.select(
@@ -75,6 +89,7 @@ def vocabulary(name: str) -> str:
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_personal_data": op2_personal_data,
+    "op3_pieces": op3_pieces,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,

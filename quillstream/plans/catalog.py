@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillstream.plans import digest_queries, join_queries, rule_queries, stream_queries, text_queries, window_queries  # noqa: F401
+from quillstream.plans.registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 FLAGSHIP = "top_stories_per_day"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]

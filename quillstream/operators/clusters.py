@@ -31,12 +31,14 @@ def blocks(pairs: DataFrame, rounds: int = 30) -> DataFrame:
     return label
 
 
-def greedy(items: DataFrame, pairs: DataFrame, order: list[str], *, members: int, least: float) -> DataFrame:
+def greedy(items: DataFrame, pairs: DataFrame, order: list[str], *, members: int, least: float, block: str | None = None) -> DataFrame:
     """(id, lead): items in order join the group with the best similarity to one of its first `members`, or found one.
 
     `pairs` has (a, b, similarity) with similarity >= least > 0 for all pairs that could be joined. Ties go to the older group.
+    Decisions are taken block by block: a column of `items` that no pair crosses, or else the pairs' connected components.
     """
-    b = blocks(pairs)
+    pairs = pairs.persist()
+    b = blocks(pairs) if block is None else items.select("id", F.col(block).alias("block"))
     place = F.row_number().over(Window.partitionBy("block").orderBy(*order, "id"))
     i = items.select("id", *order).join(b, "id").withColumn("place", place).select("id", F.col("block").alias("in_block"), "place")
     p = pairs.where(F.col("similarity") >= least).join(b.select(F.col("id").alias("a"), "block"), "a").select(F.col("block").alias("of_block"), "a", "b", "similarity")
@@ -79,9 +81,9 @@ def split_by_kind(members: DataFrame) -> DataFrame:
 
 
 def folds(cards: DataFrame, pairs: DataFrame, *, threshold: float = 0.25) -> DataFrame:
-    """(id, lead): cards (id, score) folded into the best earlier card's group, best score first."""
+    """(id, lead): cards (id, day, score) of a day folded into the best earlier card's group, best score first."""
     d = cards.withColumn("worse", -F.col("score"))
-    return greedy(d, pairs.where(F.col("similarity") >= threshold), ["worse"], members=CARD_MEMBERS, least=threshold)
+    return greedy(d, pairs.where(F.col("similarity") >= threshold), ["worse"], members=CARD_MEMBERS, least=threshold, block="day")
 
 
 def skip_ahead_budget(rows: DataFrame, by: list[str], order: list[str], cost: str, budget: float) -> DataFrame:

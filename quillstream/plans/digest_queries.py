@@ -45,7 +45,7 @@ def daily_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = digest.tiers(news(spark, sf_dir)).where("tier is not null")
     k = tokenised(spark, sf_dir).select("id", "tokens")
     same_day = sim.rarity_pairs(k).join(d.select(F.col("id").alias("a"), F.col("day").alias("da")), "a").join(d.select(F.col("id").alias("b"), F.col("day").alias("db")), "b").where("da = db")
-    f = clusters.folds(d.select("id", F.col("bs").alias("score")), same_day.select("a", "b", "similarity"))
+    f = clusters.folds(d.select("id", "day", F.col("bs").alias("score")), same_day.select("a", "b", "similarity"))
     return digest.ranked(d.join(f, "id"))
 
 

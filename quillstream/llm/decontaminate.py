@@ -85,8 +85,8 @@ def search(texts: pa.Array, index: Suffixes) -> tuple[np.ndarray, np.ndarray, np
     at = np.minimum(np.searchsorted(index.vocabulary, w.hashes), len(index.vocabulary) - 1)
     ids = np.where(index.vocabulary[at] == w.hashes, at + 1, 0)
     ends = w.first[1:][w.doc_of()] - np.arange(total)
-    while True:  # how many known words follow each place in its text, itself included
-        stops = np.unique(np.concatenate([np.flatnonzero(ids == 0), w.first[1:]]))
+    while True:  # how many known words follow each place, itself included; its text may end before
+        stops = np.append(np.flatnonzero(ids == 0), total)
         run = stops[np.searchsorted(stops, np.arange(total))] - np.arange(total)
         place = np.flatnonzero(np.minimum(run, ends) >= index.least)
         if not len(place):

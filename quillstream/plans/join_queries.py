@@ -115,10 +115,10 @@ def alias_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.longest_alias(p, spark.createDataFrame(ALIASES, "key string, alias string"))
 
 
-@query("""WITH s AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS w FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+@query("""WITH s AS (SELECT DISTINCT user_id AS id, strftime(ts, '%Y-%m-%d') AS w FROM events WHERE event_type = 'purchase'), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
   p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM s a JOIN s b ON a.w = b.w AND a.id < b.id GROUP BY ALL) SELECT a, b, shared FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE shared >= 2 AND shared >= 0.6 * least(x.n, y.n)""")
 def overlapping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set("l_partkey").alias("tokens"))
+    s = read(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy(F.col("user_id").alias("id")).agg(F.collect_set(F.date_format("ts", "yyyy-MM-dd")).alias("tokens"))
     return sim.sized(sim.shared_pairs(s), s).where("shared >= 0.6 * least(na, nb)").select("a", "b", "shared")
 
 

@@ -33,7 +33,7 @@ SPACE = "▁"
 N_BEST = 4
 #: What a character without a piece costs below the least score, for each of its bytes.
 UNKNOWN = 10.0
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -46,24 +46,23 @@ class Pieces:
     bytes_: list[int]
     unknown: float
     longest: int
-    begun: dict[str, tuple[int, float] | None] = field(default_factory=dict)  # every beginning of a piece; with id and score if it is one
+    ended: dict[str, tuple[int, float] | None] = field(default_factory=dict)  # every end of a piece; with id and score if it is one
     pairs: set[str] = field(default_factory=set)  # of neighbouring characters inside pieces; no edge spans any other pair
     parts: dict[str, tuple[bytes, float, float]] = field(default_factory=dict)
     at: dict[str, int] = field(default_factory=dict)
     ids: list[bytes] = field(default_factory=list)
-    scores: list[float] = field(default_factory=list)
-    seconds: list[float] = field(default_factory=list)
+    numbers: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))  # of each word: ids, score, what a second path costs
     searched: dict[str, list[tuple[float, tuple[int, ...]]]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for piece, found in self.score.items():
             for k in range(1, len(piece)):
-                self.begun.setdefault(piece[:k], None)
-            self.begun[piece] = found
+                self.ended.setdefault(piece[k:], None)
+            self.ended[piece] = found
             self.pairs.update(piece[k : k + 2] for k in range(len(piece) - 1))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"parts": {}, "at": {}, "ids": [], "scores": [], "seconds": [], "searched": {}}
+        return self.__dict__ | {"parts": {}, "at": {}, "ids": [], "numbers": np.zeros((0, 3)), "searched": {}}
 
     def edges(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each end the edges (start, ids, score) that end there."""
@@ -103,29 +102,33 @@ class Pieces:
 
     def second(self, word: str) -> tuple[bytes, float, float]:
         """The best path's ids and score, and how much less the second best path scores (infinite without one)."""
-        n, begun, none = len(word), self.begun, -np.inf
-        best, next_, back = [0.0] + [none] * n, [none] * (n + 1), [(0, ())] * (n + 1)
-        for i in range(n):
-            b, o, j = best[i], next_[i], i
-            while j < n:
-                j += 1
-                found = begun.get(word[i:j], self)
+        n, ended, none = len(word), self.ended, -np.inf
+        best, next_, back = [0.0] * (n + 1), [none] * (n + 1), [(0, ())] * (n + 1)
+        for j in range(1, n + 1):
+            first = second = none
+            via, i = (0, ()), j
+            while i:
+                i -= 1
+                found = ended.get(word[i:j], self)
                 if found is self:
                     break
                 if found is not None:
-                    s = b + found[1]
-                    if s > best[j]:
-                        next_[j], best[j], back[j] = best[j], s, (i, found[0])
-                    elif s > next_[j]:
-                        next_[j] = s
-                    if o + found[1] > next_[j]:
-                        next_[j] = o + found[1]
-            if word[i] not in self.score:
-                raw = word[i].encode("utf-8", "surrogatepass")
+                    s = found[1]
+                    through = best[i] + s
+                    if through > first:
+                        other = next_[i] + s
+                        second, first, via = first if first > other else other, through, (i, found[0])
+                    elif through > second:
+                        second = through
+            if word[j - 1] not in self.score:
+                raw = word[j - 1].encode("utf-8", "surrogatepass")
                 s = self.unknown * len(raw)
-                if b + s > best[i + 1]:
-                    next_[i + 1], best[i + 1], back[i + 1] = best[i + 1], b + s, (i, raw)
-                next_[i + 1] = max(next_[i + 1], o + s)
+                through = best[j - 1] + s
+                if through > first:
+                    second, first, via = max(first, next_[j - 1] + s), through, (j - 1, raw)
+                else:
+                    second = max(second, through)
+            best[j], next_[j], back[j] = first, second, via
         ids: list[int] = []
         j = n
         while j:
@@ -133,15 +136,18 @@ class Pieces:
             ids += [own] if isinstance(own, int) else [self.bytes_[x] for x in reversed(own)]
         return array("i", reversed(ids)).tobytes(), best[n], best[n] - next_[n]
 
-    def known(self, words: list[str]) -> list[int]:
+    def known(self, words: list[str]) -> np.ndarray:
+        """Places of the words in `ids` and `numbers`; new ones are searched first."""
         if len(self.at) > CACHE_ENTRIES:
-            self.at, self.ids, self.scores, self.seconds = {}, [], [], []
+            self.at, self.ids, self.numbers = {}, [], np.zeros((0, 3))
         if len(self.parts) > CACHE_ENTRIES:
             self.parts = {}
         at, parts, pairs = self.at, self.parts, self.pairs
+        numbers = []
         for w in {x for x in words if x not in at}:
             at[w] = len(self.ids)
-            cuts = [0, *(k for k in range(1, len(w)) if w[k - 1 : k + 1] not in pairs), len(w)]
+            # plain words are searched whole; others, such as those with punctuation, fall apart where no edge leads across
+            cuts = [0, len(w)] if w[1:].isalpha() else [0, *(k for k in range(1, len(w)) if w[k - 1 : k + 1] not in pairs), len(w)]
             ids, score, second = b"", 0.0, np.inf
             for a, b in zip(cuts, cuts[1:]):
                 part = w[a:b]
@@ -149,9 +155,10 @@ class Pieces:
                     found = parts[part] = self.second(part)
                 ids, score, second = ids + found[0], score + found[1], min(second, found[2])
             self.ids.append(ids)
-            self.scores.append(score)
-            self.seconds.append(second)
-        return list(map(at.__getitem__, words))
+            numbers.append((len(ids) // 4, score, second))
+        if numbers:
+            self.numbers = np.concatenate([self.numbers, np.array(numbers)])
+        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
 
 
 def load(path: str) -> Pieces:
@@ -180,33 +187,48 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def encode(text: str | None, pieces: Pieces, n: int = N_BEST) -> tuple[np.ndarray, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
-    """Ids and score of the best path, and the next n - 1 as (score, changes); a change is (place in the best ids, ids replaced, ids instead)."""
-    words = words_of(text or "")
-    if not words:
-        return np.zeros(0, np.int32), 0.0, []
-    at = pieces.known(words)
-    parts = list(map(pieces.ids.__getitem__, at))
-    ids = np.frombuffer(b"".join(parts), np.int32)
-    of = np.array(at)
-    all_scores, all_seconds = np.array([pieces.scores[k] for k in at]), np.array([pieces.seconds[k] for k in at])
-    score = float(all_scores.sum())
-    if n < 2:
-        return ids, score, []
-    # the words in which a second path costs least; of equal ones the first
-    bound = np.partition(all_seconds, min(n - 1, len(of)) - 1)[min(n - 1, len(of)) - 1]
-    near = np.flatnonzero(all_seconds <= bound)
-    near = near[np.argsort(all_seconds[near], kind="stable")][: n - 1]
-    near = np.sort(near[np.isfinite(all_seconds[near])])
-    best: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-    found = {}
-    for k in near.tolist():
-        found[k] = pieces.paths(words[k], n)
-        top = found[k][0][0]
-        best = sorted(((c + top - s, way + ((k, p),) if p else way) for c, way in best for p, (s, _) in enumerate(found[k])), key=lambda x: (x[0], x[1]))[:n]
-    lengths = np.array([len(x) // 4 for x in parts])
-    begin = np.concatenate([[0], np.cumsum(lengths)])
-    return ids, score, [(score - c, [(int(begin[k]), int(lengths[k]), found[k][p][1]) for k, p in way]) for c, way in best[1:]]
+Changes = list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]
+
+
+def encode_all(texts: list[str | None], pieces: Pieces, n: int = N_BEST) -> list[tuple[np.ndarray, float, Changes]]:
+    """For each text the ids and score of its best path, and the next n - 1 as (score, changes).
+
+    A change is (place in the best ids, ids replaced, ids instead).
+    """
+    words = [words_of(t or "") for t in texts]
+    flat = [w for own in words for w in own]
+    of = pieces.known(flat)
+    parts = list(map(pieces.ids.__getitem__, of.tolist()))
+    lengths, scores, seconds = pieces.numbers[of].T if len(of) else np.zeros((3, 0))
+    begins = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    out, a = [], 0
+    for own in words:
+        b = a + len(own)
+        ids = np.frombuffer(b"".join(parts[a:b]), np.int32)
+        score = float(scores[a:b].sum())
+        others: Changes = []
+        if own and n > 1:
+            # the words in which a second path costs least; of equal ones the first
+            cost = seconds[a:b]
+            near = np.flatnonzero(cost <= np.partition(cost, min(n, len(own)) - 1)[min(n, len(own)) - 1])
+            near = near[np.argsort(cost[near], kind="stable")][: n - 1]
+            best: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+            found = {}
+            for k in np.sort(near[np.isfinite(cost[near])]).tolist():
+                paths = pieces.paths(own[k], n)
+                mine = tuple(np.frombuffer(parts[a + k], np.int32).tolist())
+                found[k] = paths if paths[0][1] == mine else [(paths[0][0], mine), *(x for x in paths if x[1] != mine)][:n]
+                top = found[k][0][0]
+                best = sorted(((c + top - s, way + ((k, p),) if p else way) for c, way in best for p, (s, _) in enumerate(found[k])), key=lambda x: (x[0], x[1]))[:n]
+            place = lambda k: int(begins[a + k] - begins[a])  # noqa: B023, E731
+            others = [(score - c, [(place(k), len(parts[a + k]) // 4, found[k][p][1]) for k, p in way]) for c, way in best[1:]]
+        out.append((ids, score, others))
+        a = b
+    return out
+
+
+def encode(text: str | None, pieces: Pieces, n: int = N_BEST) -> tuple[np.ndarray, float, Changes]:
+    return encode_all([text], pieces, n)[0]
 
 
 def decode(ids: np.ndarray, pieces: Pieces) -> str:
@@ -226,7 +248,7 @@ def segmented(docs: DataFrame, path: str, *, n: int = N_BEST) -> DataFrame:
         p = held.value
         for batch in chunks(it, "text"):
             texts = batch.column("text").to_pylist()
-            paths = [encode(t, p, n) for t in texts]
+            paths = encode_all(texts, p, n)
             flat = np.concatenate([ids for ids, _, _ in paths])
             offsets = np.concatenate([[0], np.cumsum([len(ids) for ids, _, _ in paths])]).astype(np.int32)
             others = [[{"score": s, "changes": [{"place": a, "replaced": b, "ids": c} for a, b, c in changes]} for s, changes in o] for _, _, o in paths]

@@ -68,8 +68,8 @@ def greedy(items: DataFrame, pairs: DataFrame, order: list[str], *, members: int
 def stories(items: DataFrame) -> DataFrame:
     """(id, story): reports of one kind (id, kind, day, tokens) that resemble a story's first reports, oldest first."""
     d = items.select("id", "kind", "day", "tokens")
-    p = sim.sized(sim.shared_pairs(d, block=["kind"]), d).withColumn("similarity", sim.story_similarity()).where("similarity > 0")
-    return greedy(d, p.select("a", "b", "similarity"), ["day"], members=STORY_MEMBERS, least=1e-9).withColumnRenamed("lead", "story")
+    p = sim.similar_stories(d, block=["kind"])
+    return greedy(d, p, ["day"], members=STORY_MEMBERS, least=1e-9).withColumnRenamed("lead", "story")
 
 
 def split_by_kind(members: DataFrame) -> DataFrame:

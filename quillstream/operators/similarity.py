@@ -38,19 +38,40 @@ def frequencies(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def rarity_pairs(items: DataFrame, *, anchor: float = 0.025, twin: float = 0.0042) -> DataFrame:
-    """(a, b, similarity): same-event likeness of two headlines, weighted by how rare the shared words are.
+def similar_stories(items: DataFrame, *, block: list[str] = ()) -> DataFrame:
+    """(a, b, similarity) with a < b for sets whose story_similarity is not 0.
+
+    Such sets share two thirds of the smaller one at least, so one of the rarest third (and one more) of its tokens is in the
+    larger set. Only those tokens are joined on, which keeps frequent words out of the join.
+    """
+    d = items.select("id", *block, "tokens", F.size("tokens").alias("n")).where(F.size("tokens") >= 2)
+    w = d.select("id", *block, "n", F.explode("tokens").alias("token"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    rare = w.join(frequencies(items), "token").withColumn("rank", rank).where(F.col("rank") <= F.floor(F.col("n") / 3) + 1)
+    small = rare.select(F.col("id").alias("x"), *block, F.col("n").alias("nx"), "token")
+    large = w.select(F.col("id").alias("y"), *block, F.col("n").alias("ny"), "token")
+    near = small.join(large, [*block, "token"]).where("nx < ny or (nx = ny and x <> y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sets = lambda k: d.select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}"), F.col("n").alias(f"n{k}"))
+    p = near.join(sets("a"), "a").join(sets("b"), "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
+    return p.withColumn("similarity", story_similarity()).where("similarity > 0").select("a", "b", "similarity")
+
+
+def rarity_pairs(items: DataFrame, *, anchor: float = 0.025, twin: float = 0.0042, among: DataFrame | None = None, block: list[str] = ()) -> DataFrame:
+    """(a, b, shared, similarity): same-event likeness of two headlines, weighted by how rare the shared words are in `items`.
 
     Pairs share two words or more, one of them rare enough and not a number; two very rare ones make it 1. Pairs are found
-    through their rare words only, which all of them have, so frequent words are never joined on.
+    through their rare words only, which all of them have, so frequent words are never joined on. `among` (id and the columns
+    of `block`) restricts the pairs to its ids, and to those of one block.
     """
     n = items.count()
     words = items.select("id", F.explode(F.array_distinct("tokens")).alias("token")).join(frequencies(items), "token")
     idf = F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0))
     words = words.withColumn("idf", idf).withColumn("is_anchor", (F.col("df") <= max(3.0, anchor * n)) & ~F.col("token").rlike("^[0-9]+$"))
     words = words.withColumn("is_twin", (F.col("df") <= max(2.0, twin * n)) & ~F.col("token").rlike("^[0-9]+$"))
-    rare = words.where("is_anchor").select("id", "token")
-    candidates = rare.select(F.col("id").alias("a"), "token").join(rare.select(F.col("id").alias("b"), "token"), "token").where("a < b").select("a", "b").distinct()
+    if among is not None:
+        words = words.join(among.select("id", *block), "id")
+    rare = words.where("is_anchor").select("id", *block, "token")
+    candidates = rare.withColumnRenamed("id", "a").join(rare.withColumnRenamed("id", "b"), [*block, "token"]).where("a < b").select("a", "b").distinct()
     one = candidates.join(words.select(F.col("id").alias("a"), "token", "idf", "is_twin"), "a")
     both = one.join(words.select(F.col("id").alias("b"), "token"), ["b", "token"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum("idf").alias("common"), F.count_if("is_twin").alias("twins"))
     total = words.groupBy("id").agg(F.sum("idf").alias("total"))

@@ -42,9 +42,9 @@ def coverage_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def daily_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards and lines of each day, folded by event, with dense ranks: leads first, then what is folded into them."""
-    d = digest.tiers(news(spark, sf_dir)).where("tier is not null")
+    d = digest.tiers(news(spark, sf_dir)).where("tier is not null").persist()  # read three times
     k = tokenised(spark, sf_dir).select("id", "tokens")
-    same_day = sim.rarity_pairs(k).join(d.select(F.col("id").alias("a"), F.col("day").alias("da")), "a").join(d.select(F.col("id").alias("b"), F.col("day").alias("db")), "b").where("da = db")
+    same_day = sim.rarity_pairs(k, among=d.select("id", "day"), block=["day"])
     f = clusters.folds(d.select("id", "day", F.col("bs").alias("score")), same_day.select("a", "b", "similarity"))
     return digest.ranked(d.join(f, "id"))
 

@@ -32,7 +32,7 @@ SLOTS = 1 << 16
 SWITCH = 10.0
 #: What a word costs a language that was not learned in the word's script.
 FOREIGN_SCRIPT = 30.0
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 #: First code points of ranges of letters, and the script each range belongs to.
 SCRIPT_RANGES = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),

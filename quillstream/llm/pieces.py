@@ -33,7 +33,8 @@ SPACE = "▁"
 N_BEST = 4
 #: What a character without a piece costs below the least score, for each of its bytes.
 UNKNOWN = 10.0
-CACHE_ENTRIES = 700_000
+#: Words, and texts' searches, that a worker remembers; each store is emptied when full. A word takes about 300 bytes.
+CACHE_ENTRIES, SEARCHES = 400_000, 20_000
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -48,7 +49,6 @@ class Pieces:
     longest: int
     ended: dict[str, tuple[int, float] | None] = field(default_factory=dict)  # every end of a piece; with id and score if it is one
     pairs: set[str] = field(default_factory=set)  # of neighbouring characters inside pieces; no edge spans any other pair
-    parts: dict[str, tuple[bytes, float, float]] = field(default_factory=dict)
     at: dict[str, int] = field(default_factory=dict)
     ids: list[bytes] = field(default_factory=list)
     numbers: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))  # of each word: ids, score, what a second path costs
@@ -62,7 +62,7 @@ class Pieces:
             self.pairs.update(piece[k : k + 2] for k in range(len(piece) - 1))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"parts": {}, "at": {}, "ids": [], "numbers": np.zeros((0, 3)), "searched": {}}
+        return self.__dict__ | {"at": {}, "ids": [], "numbers": np.zeros((0, 3)), "searched": {}}
 
     def edges(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each end the edges (start, ids, score) that end there."""
@@ -95,7 +95,7 @@ class Pieces:
             for i, own, s in edges[place]:
                 pushed += 1
                 heapq.heappush(heap, (-(done + s + ahead[i]), -pushed, i, done + s, own + ids))
-        if len(self.searched) > CACHE_ENTRIES:
+        if len(self.searched) > SEARCHES:
             self.searched.clear()
         self.searched[word] = out
         return out
@@ -140,22 +140,27 @@ class Pieces:
         """Places of the words in `ids` and `numbers`; new ones are searched first."""
         if len(self.at) > CACHE_ENTRIES:
             self.at, self.ids, self.numbers = {}, [], np.zeros((0, 3))
-        if len(self.parts) > CACHE_ENTRIES:
-            self.parts = {}
-        at, parts, pairs = self.at, self.parts, self.pairs
-        numbers = []
+        at, pairs, numbers, first = self.at, self.pairs, [], len(self.numbers)
+
+        def keep(word: str, ids: bytes, score: float, second: float) -> tuple[bytes, float, float]:
+            at[word] = len(self.ids)
+            self.ids.append(ids)
+            numbers.append((len(ids) // 4, score, second))
+            return ids, score, second
+
         for w in {x for x in words if x not in at}:
-            at[w] = len(self.ids)
             # plain words are searched whole; others, such as those with punctuation, fall apart where no edge leads across
             cuts = [0, len(w)] if w[1:].isalpha() else [0, *(k for k in range(1, len(w)) if w[k - 1 : k + 1] not in pairs), len(w)]
             ids, score, second = b"", 0.0, np.inf
             for a, b in zip(cuts, cuts[1:]):
-                part = w[a:b]
-                if (found := parts.get(part)) is None:
-                    found = parts[part] = self.second(part)
+                k = at.get(w[a:b])
+                if k is None:
+                    found = keep(w[a:b], *self.second(w[a:b]))
+                else:
+                    found = (self.ids[k], *(self.numbers[k] if k < first else numbers[k - first])[1:])
                 ids, score, second = ids + found[0], score + found[1], min(second, found[2])
-            self.ids.append(ids)
-            numbers.append((len(ids) // 4, score, second))
+            if w not in at:
+                keep(w, ids, score, second)
         if numbers:
             self.numbers = np.concatenate([self.numbers, np.array(numbers)])
         return np.fromiter(map(at.__getitem__, words), np.int64, len(words))

@@ -16,6 +16,7 @@ decodes to a space, as it does in the library.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 from array import array
 from collections.abc import Iterator
@@ -148,7 +149,9 @@ class Pieces:
             numbers.append((len(ids) // 4, score, second))
             return ids, score, second
 
-        for w in {x for x in words if x not in at}:
+        of = np.fromiter(map(at.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(of < 0)
+        for w in {words[k] for k in new.tolist()}:
             # plain words are searched whole; others, such as those with punctuation, fall apart where no edge leads across
             cuts = [0, len(w)] if w[1:].isalpha() else [0, *(k for k in range(1, len(w)) if w[k - 1 : k + 1] not in pairs), len(w)]
             ids, score, second = b"", 0.0, np.inf
@@ -163,7 +166,8 @@ class Pieces:
                 keep(w, ids, score, second)
         if numbers:
             self.numbers = np.concatenate([self.numbers, np.array(numbers)])
-        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        of[new] = np.fromiter((at[words[k]] for k in new.tolist()), np.int64, len(new))
+        return of
 
 
 def load(path: str) -> Pieces:

@@ -23,7 +23,7 @@ from quillstream.llm.shared import written
 CUT = r"""(?<=[.,;:!?\\n])(?![.,;:!?\\n"'])"""
 #: One in so many places between lines ends a chunk, in each of CHUNKINGS independent ways of cutting.
 SPARSITY = 2
-CHUNKINGS = 1
+CHUNKINGS = 3
 #: Characters of a chunk that can be removed, at least.
 LEAST = 40
 
@@ -60,16 +60,24 @@ def _pieces(text: str) -> F.Column:
     return F.expr(f"split({text}, '{CUT.replace("'", "\\'")}')")
 
 
+def _repeated(chunk: DataFrame) -> DataFrame:
+    """_found_id, _found_key and the repeated ones of the chunks of each document, with whether they stay.
+
+    The hashes are counted first and only those seen twice get their places, so that the places of the others are never written.
+    """
+    order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    counted = written(chunk.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1").select("hash", "first"))
+    repeated = chunk.join(counted, "hash").select("doc_id", "doc_key", "start", "stop", "hash", (order == F.col("first")).alias("is_first"))
+    found = repeated.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "hash", "is_first"))).alias("spans")).withColumnsRenamed({"doc_id": "_found_id", "doc_key": "_found_key"})
+    # inside the first document the first place stays, and what overlaps it
+    found = found.withColumn("seen", F.expr("transform(spans, c -> c.hash)"))
+    stays = "c.is_first and c.start < element_at(spans, cast(array_position(seen, c.hash) as int)).stop"
+    return found.withColumn("spans", F.expr(f"transform(spans, c -> struct(c.start, c.stop, c.hash, {stays} as stays))")).drop("seen")
+
+
 def dedup_lines(docs: DataFrame, *, chunkings: int = CHUNKINGS, sparsity: int = SPARSITY, least: int = LEAST) -> DataFrame:
     """`docs` with repeated passages gone from `text`, and with `_n_removed`, the number of lines gone, behind its columns."""
-    chunk = written(_chunks(docs, chunkings, sparsity, least))
-    last = F.lit((1 << 63) - 1)
-    order = F.coalesce("doc_id", last)
-    counted = chunk.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1")
-    repeated = chunk.join(counted.select("hash", "first"), "hash").select("doc_id", "doc_key", "start", "stop", "hash", (order == F.col("first")).alias("is_first"))
-    found = repeated.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "hash", "is_first"))).alias("spans")).withColumnsRenamed({"doc_id": "_found_id", "doc_key": "_found_key"})
-    # inside the first document the first place stays
-    found = found.withColumn("seen", F.expr("transform(spans, c -> c.hash)")).withColumn("spans", F.expr("transform(spans, (c, i) -> struct(c.start, c.stop, c.hash, c.is_first and array_position(seen, c.hash) = i + 1 as stays))")).drop("seen")
+    found = _repeated(_chunks(docs, chunkings, sparsity, least))
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_found_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_found_key"))
     held = written(docs.join(found, same, "left").drop("_found_id"), compression="zstd")
     texts = _with_texts(held).groupBy(F.col("c.hash").alias("hash"), "chunk").agg(F.count(F.lit(1)).alias("n"))

@@ -156,6 +156,15 @@ def test_repeated_passages_go_from_all_but_the_first(spark):
     assert got[900].text is None and got[901].text == "" and got[902].text == " \n\t " and got[None].text == "two words"
 
 
+def test_three_ways_of_chunking_break_up_what_one_misses(spark):
+    rng = random.Random(12)
+    passages = [prose(rng, rng.randint(52, 90)) for _ in range(180)]
+    rows = [(k, f"{prose(rng, 40)}\n{passages[k % 180]}\n{prose(rng, 40)}", "en") for k in range(360)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert all(got[k] == rows[k][1] for k in range(180))
+    assert sum(passages[k] not in got[180 + k] for k in range(180)) == 180  # 179 with one
+
+
 def test_line_dedup_settles_shared_hashes(spark):
     """A hash of several texts falls back to the texts; here every chunk has one and the same hash."""
     rng = random.Random(9)

@@ -16,19 +16,20 @@ from quillstream.operators import similarity as sim
 STORY_MEMBERS, CARD_MEMBERS = 8, 3
 
 
-def blocks(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, block): connected components of pairs (a, b) by least labels; stops when nothing changes."""
+def blocks(pairs: DataFrame) -> DataFrame:
+    """(id, block): connected components of pairs (a, b) by least labels and pointer jumping; stops when nothing changes."""
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().persist()
     label = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("block"))
     durable = label.sparkSession.conf.get("spark.checkpoint.dir", None)
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select(F.col("id").alias("b"), "block"), "b").groupBy(F.col("a").alias("id")).agg(F.min("block").alias("near"))
-        new = label.join(near, "id").select("id", F.least("block", "near").alias("block"), (F.col("near") < F.col("block")).alias("changed"))
+        least = label.join(near, "id").select("id", "block", F.least("block", "near").alias("now"))
+        jump = label.select(F.col("id").alias("now"), F.col("block").alias("next"))
+        new = least.join(jump, "now").select("id", "block", F.least("now", "next").alias("now"))
         new = new.checkpoint() if durable else new.persist()
-        label = new.select("id", "block")
-        if new.where("changed").isEmpty():
-            break
-    return label
+        label = new.select("id", F.col("now").alias("block"))
+        if new.where("block <> now").isEmpty():
+            return label
 
 
 def greedy(items: DataFrame, pairs: DataFrame, order: list[str], *, members: int, least: float, block: str | None = None) -> DataFrame:

@@ -68,6 +68,12 @@ def test_greedy_compares_with_first_members_only(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
 
 
+def test_blocks_of_a_long_chain(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201)], "a long, b long")
+    got = {r.id: r.block for r in clusters.blocks(pairs).collect()}
+    assert got == {i: 0 for i in range(101)} | {200: 200, 201: 200}
+
+
 def test_spread_caps_publishers_then_fills(spark):
     d = spark.createDataFrame([(i, "p" if i < 6 else f"q{i}", float(20 - i)) for i in range(8)], "id long, publisher string, score double").withColumn("day", F.lit(1))
     got = [r.id for r in windows.spread(d, ["day"], "publisher", [F.desc("score"), F.col("id")], 6).orderBy("rank").collect()]

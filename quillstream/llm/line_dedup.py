@@ -3,9 +3,11 @@
 A text is cut into lines; a long line is cut further after punctuation, so that a paragraph is
 several lines. A rolling hash over the hashes of neighbouring lines decides between which lines a
 chunk ends, so a passage is cut alike wherever it stands. Chunks of two or more lines and of some
-length are counted over all documents by hash. In all documents but the first (least doc_id) a
-repeated chunk is removed, and inside a document all but its first place; before that, the bytes of
-all chunks with one hash are compared, and a hash shared by different texts falls back to the texts.
+length, and single lines of a passage's length, are counted over all documents by hash. Documents
+with a repeated chunk are then compared in the shortest such runs of lines from and to each line,
+so that what is found grows over all equal lines beside it. In all documents but the first (least
+doc_id) a repeated run is removed, and inside a document all but its first place; before that, the bytes
+of all runs with one hash are compared, and a hash shared by different texts falls back to the texts.
 What is left of a document keeps its bytes. Only DataFrame functions are used.
 
 Defined cases: null text stays null and empty text stays empty; a document may be left with an empty
@@ -20,19 +22,29 @@ from pyspark.sql import functions as F
 from quillstream.llm.shared import written
 
 #: Where lines end: after a line feed or punctuation that no more punctuation follows.
-CUT = r"""(?<=[.,;:!?\\n])(?![.,;:!?\\n"'])"""
+MARKS = ".,;:!?…।॥،؛؟۔。！？；：，、．｡､։።፣፤၊။។"
+CUT = rf"""(?<=[{MARKS}\\n])(?![{MARKS}\\n"'])"""
 #: One in so many places between lines ends a chunk, in each of CHUNKINGS independent ways of cutting.
 SPARSITY = 2
 CHUNKINGS = 3
 #: Characters of a chunk that can be removed, at least.
 LEAST = 40
+#: Characters of a line that is a chunk of its own, wherever the others end.
+LONG = 200
+#: Bits of the filter of repeated hashes: buckets of words of 64 bits.
+BUCKETS, WORDS = 1024, 512
 
 
-def _chunks(docs: DataFrame, chunkings: int, sparsity: int, least: int) -> DataFrame:
-    """doc_id, doc_key and the chunks (from line, to line, hash) of each text, the repeated ones inside a text marked."""
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, doc_key, and the hashes and sizes of the lines of each text."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     d = d.withColumn("lines", F.expr(f"transform(split(text, '{CUT.replace("'", "\\'")}'), x -> btrim(x, ' \\t\\n\\r'))"))
-    d = d.select("doc_id", F.xxhash64("text").alias("doc_key"), F.expr("transform(lines, x -> xxhash64(x))").alias("h"), F.expr("transform(lines, x -> length(x))").alias("sizes"))
+    return d.select("doc_id", F.xxhash64("text").alias("doc_key"), F.expr("transform(lines, x -> xxhash64(x))").alias("h"), F.expr("transform(lines, x -> length(x))").alias("sizes"))
+
+
+def _chunks(docs: DataFrame, chunkings: int, sparsity: int, least: int) -> DataFrame:
+    """doc_id, doc_key and the chunks (from line, to line, hash) of each text, the repeated ones inside a text marked."""
+    d = _hashed(docs)
     d = d.withColumn("rolling", F.expr("transform(h, (x, i) -> xxhash64(get(h, i - 1), x))"))
     # Catalyst puts an array that is named once into the expression that names it, and so into its lambda, where it would be
     # computed again for each element; an array that a lambda looks into is therefore named outside of it as well.
@@ -41,9 +53,32 @@ def _chunks(docs: DataFrame, chunkings: int, sparsity: int, least: int) -> DataF
         d = d.withColumn(f"ends{k}", F.expr(f"concat(array(0), {inner}, array(size(h)))"))
     spans = [f"filter(transform(slice(ends{k}, 1, size(ends{k}) - 1), (a, i) -> struct(a as start, ends{k}[i + 1] as stop)), c -> c.stop - c.start >= 2)" for k in range(chunkings)]
     d = d.withColumn("spans", F.expr(f"array_distinct(concat({', '.join(spans)}))"))
-    sized = f"if(size(sizes) > 1, filter(spans, c -> aggregate(slice(sizes, c.start + 1, c.stop - c.start), 0, (n, x) -> n + x) >= {least}), null)"
-    d = d.withColumn("spans", F.expr(sized))
-    hashed = "if(size(h) > 1, transform(spans, c -> struct(c.start, c.stop, xxhash64(slice(h, c.start + 1, c.stop - c.start)) as hash)), null)"
+    sized = f"if(size(sizes) > 0, filter(spans, c -> aggregate(slice(sizes, c.start + 1, c.stop - c.start), 0, (n, x) -> n + x) >= {least}), null)"
+    alone = f"filter(transform(sizes, (n, i) -> if(n >= {LONG}, struct(i as start, i + 1 as stop), null)), c -> c is not null)"
+    return _exploded(d.withColumn("spans", F.expr(f"concat({sized}, {alone})")))
+
+
+def _windows(docs: DataFrame, least: int) -> DataFrame:
+    """Like `_chunks`, the shortest removable run from each line on and up to each line: a longer run is a union of such."""
+    d = _hashed(docs)
+    # an empty line counts as one character, so a run has `least` lines at most
+    add = f"(s, n) -> if(s.n >= {least} and (s.k > 1 or s.n >= {LONG}), s, struct(s.n + greatest(n, 1) as n, s.k + 1 as k))"
+    most = max(least, 2)
+
+    def runs(part: str) -> str:  # a few lines are enough for most
+        few, every = (f"aggregate({part.format(i=i, n=n)}, struct(0 as n, 0 as k), {add}) as s" for i, n in (("i", min(most, 5)), ("c.at", most)))
+        return f"transform(transform(sizes, (x, i) -> struct(i as at, {few})), c -> if(c.s.n >= {least} and (c.s.k > 1 or c.s.n >= {LONG}), c, struct(c.at as at, {every})))"
+
+    onward = runs("slice(sizes, {i} + 1, {n})")
+    back = runs("reverse(slice(sizes, greatest({i} + 2 - {n}, 1), least({i} + 1, {n})))")
+    full = f"c -> c.s.n >= {least} and (c.s.k > 1 or c.s.n >= {LONG})"
+    d = d.withColumn("spans", F.expr(f"array_distinct(concat(transform(filter({onward}, {full}), c -> struct(c.at as start, c.at + c.s.k as stop)), transform(filter({back}, {full}), c -> struct(c.at + 1 - c.s.k as start, c.at + 1 as stop))))"))
+    return _exploded(d)
+
+
+def _exploded(d: DataFrame) -> DataFrame:
+    """The spans of each text one by one, with their hashes."""
+    hashed = "if(size(h) > 0, transform(spans, c -> struct(c.start, c.stop, xxhash64(slice(h, c.start + 1, c.stop - c.start)) as hash)), null)"
     out = d.select("doc_id", "doc_key", F.expr(hashed).alias("spans"))
     # the outer form: the plain one would filter by the whole expression before it
     return out.select("doc_id", "doc_key", F.inline_outer("spans")).where("hash is not null")
@@ -63,11 +98,19 @@ def _pieces(text: str) -> F.Column:
 def _repeated(chunk: DataFrame) -> DataFrame:
     """_found_id, _found_key and the repeated ones of the chunks of each document, with whether they stay.
 
-    The hashes are counted first and only those seen twice get their places, so that the places of the others are never written.
+    Hashes are counted first. Of the others most fail a filter of fixed size, so that they are not shuffled with their places.
     """
+    chunk = written(chunk, compression="zstd")
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     counted = written(chunk.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1").select("hash", "first"))
-    repeated = chunk.join(counted, "hash").select("doc_id", "doc_key", "start", "stop", "hash", (order == F.col("first")).alias("is_first"))
+    slot = f"hash & {64 * WORDS * BUCKETS - 1}"
+    bits = counted.selectExpr(f"{slot} as slot").selectExpr("shiftright(slot, 6) as word", "shiftleft(1L, cast(slot & 63 as int)) as bits")
+    none = chunk.sparkSession.range(WORDS * BUCKETS).selectExpr("id as word", "0L as bits")
+    bits = bits.union(none).groupBy("word").agg(F.bit_or("bits").alias("bits")).groupBy(F.expr(f"word div {WORDS}").alias("bucket"))
+    bits = bits.agg(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"].alias("bits"))
+    likely = chunk.withColumn("bucket", F.expr(f"({slot}) div {64 * WORDS}")).join(F.broadcast(bits), "bucket")
+    likely = likely.where(f"getbit(get(bits, cast(shiftright(hash, 6) & {WORDS - 1} as int)), cast(hash & 63 as int)) = 1").drop("bucket", "bits")
+    repeated = likely.join(counted, "hash").select("doc_id", "doc_key", "start", "stop", "hash", (order == F.col("first")).alias("is_first"))
     found = repeated.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "hash", "is_first"))).alias("spans")).withColumnsRenamed({"doc_id": "_found_id", "doc_key": "_found_key"})
     # inside the first document the first place stays, and what overlaps it
     found = found.withColumn("seen", F.expr("transform(spans, c -> c.hash)"))
@@ -80,6 +123,11 @@ def dedup_lines(docs: DataFrame, *, chunkings: int = CHUNKINGS, sparsity: int =
     found = _repeated(_chunks(docs, chunkings, sparsity, least))
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_found_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_found_key"))
     held = written(docs.join(found, same, "left").drop("_found_id"), compression="zstd")
+    # documents that share a chunk are compared line by line, so that whole runs go and not only the chunks inside of them
+    own = written(held.where("spans is not null").select(*docs.columns), compression="zstd")
+    runs = _repeated(_windows(own, least))
+    same = own["doc_id"].cast("long").eqNullSafe(F.col("_found_id")) & (F.xxhash64(own["text"].cast("string")) == F.col("_found_key"))
+    held = written(own.join(runs, same, "left").drop("_found_id").union(held.where("spans is null")), compression="zstd")
     texts = _with_texts(held).groupBy(F.col("c.hash").alias("hash"), "chunk").agg(F.count(F.lit(1)).alias("n"))
     mixed = written(texts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("hash"))
     if not mixed.isEmpty():

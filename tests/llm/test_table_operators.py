@@ -165,6 +165,20 @@ def test_three_ways_of_chunking_break_up_what_one_misses(spark):
     assert sum(passages[k] not in got[180 + k] for k in range(180)) == 180  # 179 with one
 
 
+def test_whole_passages_go(spark):
+    rng = random.Random(13)
+    passages = [prose(rng, 120).rstrip() for _ in range(20)]
+    one = " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(60))  # one line
+    hindi = "।".join(" ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(9)) for _ in range(8))
+    passages += [one, hindi]
+    rows = [(k, f"{prose(rng, 40)}\n{passages[k % 22]}\n{prose(rng, 40)}", "en") for k in range(44)] + [(50, one, "en")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert all(got[k] == rows[k][1] for k in range(22))
+    lines = [[x.strip() for x in re.split(line_dedup.CUT.replace("\\\\", "\\"), p)] for p in passages]
+    assert all(x not in got[22 + k] for k in range(22) for x in lines[k] if len(x) > 12)
+    assert got[50] == ""
+
+
 def test_line_dedup_settles_shared_hashes(spark):
     """A hash of several texts falls back to the texts; here every chunk has one and the same hash."""
     rng = random.Random(9)

@@ -289,6 +289,15 @@ def test_pipeline_keeps_columns_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "SentencePiece"]
 
 
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    from quillstream.llm import pipeline
+
+    words = [f"w{i}" for i in range(500)]
+    copy = ["x" + w if i % 50 == 25 else w for i, w in enumerate(words)]  # ten words changed: similarity 468 / 528 of three words, 446 / 546 of five
+    d = docs(spark, [(1, " ".join(words), "en"), (2, " ".join(copy), "en"), (3, " ".join(w + "y" for w in words), "en")])
+    assert {r.doc_id for r in pipeline.keep_one_each(spark, d, "").collect()} == {1, 3}
+
+
 def test_pipeline_on_planted_cases(spark, tmp_path):
     import corpus_pipeline
 

@@ -13,6 +13,7 @@ one by one; without pages there are no rows.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from quillstream.llm.shared import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Share of a host's score that it passes on, rounds at most and between two writes, and when to stop.
-DAMPING, ROUNDS, AT_ONCE, ENOUGH = 0.85, 24, 4, 1e-4
+#: Share of a host's score that it passes on, rounds between two writes, and the share of the threshold that a score may be off.
+DAMPING, AT_ONCE, ENOUGH = 0.85, 4, 1e-2
 #: Distrust over trust, in even shares, beyond which a host is blocked.
 THRESHOLD = 0.5
 
@@ -82,8 +83,9 @@ def host_links(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagated(hosts: DataFrame, links: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust), each adding up to the number of hosts if it has any seed."""
+def propagated(hosts: DataFrame, links: DataFrame, *, damping: float = DAMPING, rounds: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """(host, trust, distrust), each adding up to the number of hosts if it has any seed; runs until no score is off by
+    more than a small share of the threshold, or for so many rounds."""
     seeds = hosts.select("host", F.expr("inline(array(struct('trust' as kind, allowed as seed), struct('distrust' as kind, blocked as seed)))"))
     sums = seeds.groupBy("kind").agg(F.sum("seed").alias("whole"))
     seeds = written(seeds.join(F.broadcast(sums), "kind").select("kind", "host", F.when(F.col("whole") > 0, F.col("seed") / F.col("whole")).otherwise(0.0).alias("seed")))
@@ -92,14 +94,16 @@ def propagated(hosts: DataFrame, links: DataFrame, *, damping: float = DAMPING,
     edges = written(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")))
     ranks = seeds.withColumn("rank", F.col("seed"))
     if not edges.isEmpty():
-        for _ in range(0, rounds, AT_ONCE):
+        # an even share is 1 / hosts of a whole of 1 - damping at least; what is still to come is about as much as the last change
+        enough = ENOUGH * abs(threshold) * (1 - damping) / max(hosts.count(), 1)
+        for _ in itertools.count() if rounds is None else range(0, rounds, AT_ONCE):
             before = ranks
             for _ in range(AT_ONCE):
                 given = edges.join(ranks.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("given"))
                 ranks = seeds.join(given, ["kind", "host"], "left").select("kind", "host", "seed", ((1 - damping) * F.col("seed") + F.coalesce("given", F.lit(0.0))).alias("rank"))
             ranks = written(ranks)
             change = ranks.join(before.select("kind", "host", F.col("rank").alias("old")), ["kind", "host"]).agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            if not change or change < ENOUGH:
+            if not change or change < max(enough, 1e-14):
                 break
     total = ranks.groupBy("kind").agg(F.sum("rank").alias("whole"), F.count(F.lit(1)).alias("hosts"))
     scaled = ranks.join(F.broadcast(total), "kind").withColumn("rank", F.when(F.col("whole") > 0, F.col("rank") / F.col("whole") * F.col("hosts")).otherwise(0.0))
@@ -111,6 +115,6 @@ def judged(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, threshold: floa
     p = written(ruled(pages, rules))
     share = lambda v: F.avg(F.when(F.col("ruled") == v, 1.0).otherwise(0.0))
     hosts = written(p.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")))
-    scores = propagated(hosts, host_links(pages, hosts))
+    scores = propagated(hosts, host_links(pages, hosts), threshold=threshold)
     own = F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow")
     return p.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

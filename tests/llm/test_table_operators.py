@@ -262,6 +262,14 @@ def test_propagation_is_personalised_pagerank(spark):
     assert got["b"].distrust > got["a"].distrust
 
 
+def test_trust_reaches_far_hosts(spark):
+    hosts = spark.createDataFrame([(f"h{i}", float(i == 0), 0.0) for i in range(41)], "host string, allowed double, blocked double")
+    links = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(40)], "src string, dst string, n long")
+    got = {r.host: r.trust for r in url_filter.propagated(hosts, links).collect()}
+    whole = sum(0.85**i for i in range(41))
+    assert all(abs(got[f"h{i}"] - 41 * 0.85**i / whole) < 0.005 for i in range(41)) and got["h40"] > 0
+
+
 def test_template_text_is_left_out(spark):
     page = lambda k: f"<html><body><div>Share this page with all friends</div><article><p>Own text {k} is here</p><p>Share on all networks</p></article></body></html>"
     rows = [(k, f"http://h.org/{k}", page(k)) for k in range(40)] + [(100 + k, f"http://copy.org/{k}", page(0)) for k in range(30)] + [(200, None, None)]

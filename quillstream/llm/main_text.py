@@ -4,8 +4,8 @@ A page is a sequence of tokens: its tags with the path they stand in, and its te
 theirs. Tokens that occur equally often in the same pages of a host form an equivalence class; their
 occurrence vectors are compared by a hash summed over pages, so no host is ever gathered in a task. A
 class is valid if it spans nearly all pages of a host, pages of many different contents, and holds
-two tokens or more; valid classes nest in the class of the page's outermost tags and make up the
-template. Text that belongs to the template is not the page's own. Of what remains in the slots, the
+two tokens or more; the text blocks of valid classes are the template. Classes are not nested and
+pages not split into slots. Text that belongs to the template is not the page's own. Of what remains, the
 blocks of the article are kept; those in menus, headers, footers, sidebars, notices, adverts, forms,
 comments and the like, known by their tags, roles and class names, are not.
 

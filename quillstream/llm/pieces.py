@@ -6,6 +6,7 @@ scores from the left are the exact cost of what remains of a search from the rig
 paths in the order of their scores and never turns back. No piece goes on after a word into the next
 space, so the lattice falls apart into words that are searched once and remembered. The N best paths
 of a whole text differ from its best in N - 1 words at most, those in which a second path costs least.
+The best path itself comes from the Viterbi pass; only those words are searched by A-star.
 
 The model file is a parameter, read on the driver; its pieces are broadcast (their number is the
 vocabulary's). Defined cases: null and empty text have no pieces, one path and score 0; equal scores

@@ -53,7 +53,7 @@ def _chunks(docs: DataFrame, chunkings: int, sparsity: int, least: int) -> DataF
         d = d.withColumn(f"ends{k}", F.expr(f"concat(array(0), {inner}, array(size(h)))"))
     spans = [f"filter(transform(slice(ends{k}, 1, size(ends{k}) - 1), (a, i) -> struct(a as start, ends{k}[i + 1] as stop)), c -> c.stop - c.start >= 2)" for k in range(chunkings)]
     d = d.withColumn("spans", F.expr(f"array_distinct(concat({', '.join(spans)}))"))
-    sized = f"if(size(sizes) > 0, filter(spans, c -> aggregate(slice(sizes, c.start + 1, c.stop - c.start), 0, (n, x) -> n + x) >= {least}), null)"
+    sized = f"if(size(sizes) > 0, filter(spans, c -> aggregate(sequence(c.start, c.stop - 1), 0, (n, j) -> n + get(sizes, j)) >= {least}), null)"
     alone = f"filter(transform(sizes, (n, i) -> if(n >= {LONG}, struct(i as start, i + 1 as stop), null)), c -> c is not null)"
     return _exploded(d.withColumn("spans", F.expr(f"concat({sized}, {alone})")))
 
@@ -62,15 +62,16 @@ def _windows(docs: DataFrame, least: int) -> DataFrame:
     """Like `_chunks`, the shortest removable run from each line on and up to each line: a longer run is a union of such."""
     d = _hashed(docs)
     # an empty line counts as one character, so a run has `least` lines at most
-    add = f"(s, n) -> if(s.n >= {least} and (s.k > 1 or s.n >= {LONG}), s, struct(s.n + greatest(n, 1) as n, s.k + 1 as k))"
+    # slice copies its whole array each time it is asked, get does not
+    add = f"(s, n) -> if(n is null or (s.n >= {least} and (s.k > 1 or s.n >= {LONG})), s, struct(s.n + greatest(n, 1) as n, s.k + 1 as k))"
     most = max(least, 2)
 
     def runs(part: str) -> str:  # a few lines are enough for most
         few, every = (f"aggregate({part.format(i=i, n=n)}, struct(0 as n, 0 as k), {add}) as s" for i, n in (("i", min(most, 5)), ("c.at", most)))
         return f"transform(transform(sizes, (x, i) -> struct(i as at, {few})), c -> if(c.s.n >= {least} and (c.s.k > 1 or c.s.n >= {LONG}), c, struct(c.at as at, {every})))"
 
-    onward = runs("slice(sizes, {i} + 1, {n})")
-    back = runs("reverse(slice(sizes, greatest({i} + 2 - {n}, 1), least({i} + 1, {n})))")
+    onward = runs("transform(sequence(0, {n} - 1), j -> get(sizes, {i} + j))")
+    back = runs("transform(sequence(0, {n} - 1), j -> get(sizes, {i} - j))")
     full = f"c -> c.s.n >= {least} and (c.s.k > 1 or c.s.n >= {LONG})"
     d = d.withColumn("spans", F.expr(f"array_distinct(concat(transform(filter({onward}, {full}), c -> struct(c.at as start, c.at + c.s.k as stop)), transform(filter({back}, {full}), c -> struct(c.at + 1 - c.s.k as start, c.at + 1 as stop))))"))
     return _exploded(d)
@@ -78,7 +79,7 @@ def _windows(docs: DataFrame, least: int) -> DataFrame:
 
 def _exploded(d: DataFrame) -> DataFrame:
     """The spans of each text one by one, with their hashes."""
-    hashed = "if(size(h) > 0, transform(spans, c -> struct(c.start, c.stop, xxhash64(slice(h, c.start + 1, c.stop - c.start)) as hash)), null)"
+    hashed = "if(size(h) > 0, transform(spans, c -> struct(c.start, c.stop, aggregate(sequence(c.start, c.stop - 1), 0L, (a, j) -> xxhash64(a, get(h, j))) as hash)), null)"
     out = d.select("doc_id", "doc_key", F.expr(hashed).alias("spans"))
     # the outer form: the plain one would filter by the whole expression before it
     return out.select("doc_id", "doc_key", F.inline_outer("spans")).where("hash is not null")

@@ -1,155 +1,145 @@
 """Removal of passages that other documents hold already, by content-defined chunks of lines.
 
 A text is cut into lines; a long line is cut further after punctuation, so that a paragraph is
-several lines. A rolling hash over the hashes of neighbouring lines decides between which lines a
-chunk ends, so a passage is cut alike wherever it stands. Chunks of two or more lines and of some
-length, and single lines of a passage's length, are counted over all documents by hash. Documents
-with a repeated chunk are then compared in the shortest such runs of lines from and to each line,
-so that what is found grows over all equal lines beside it. In all documents but the first (least
-doc_id) a repeated run is removed, and inside a document all but its first place; before that, the bytes
-of all runs with one hash are compared, and a hash shared by different texts falls back to the texts.
-What is left of a document keeps its bytes. Only DataFrame functions are used.
+several lines. A rolling hash over the hashes of two neighbouring lines decides whether a chunk may
+begin and end around them, so a passage is cut alike wherever it stands. A chunk is a pair of lines
+of LEAST characters; where a pair is shorter, the rolling hash may let a chunk begin that runs on
+until it has them; a single line of a passage's length is one too. Pairs that are no chunks are
+links. Chunks and links are counted over all documents by hash. Overlapping repeated ones of a
+document make a run, which goes if a chunk is among them: chunks find passages, links make them
+whole. The first document (least doc_id) keeps what it shares, and inside a document the first place
+stays. Before anything goes, the bytes of all that have one hash are compared; should any differ, all
+is done again with other hashes. What is left of a document keeps its bytes. Only DataFrame
+functions are used.
 
 Defined cases: null text stays null and empty text stays empty; a document may be left with an empty
-text but is never dropped; rows with equal doc_id and text are one document; null ids come last.
+text but is never dropped; an empty table gives no rows; texts of any length are taken whole (work
+grows with their lines, memory with the longest text); rows with equal doc_id and text are one
+document, rows with equal doc_id and different texts keep what only they share; null ids come last;
+of lines repeated in a row, each place but the first is a repeat. Passages of less than LEAST
+characters stay. Other columns are passed on, whatever their names; one named as the count of removed
+lines is replaced by it.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.shared import written
+from quillstream.llm.shared import spare, written
 
 #: Where lines end: after a line feed or punctuation that no more punctuation follows.
-MARKS = ".,;:!?…।॥،؛؟۔。！？；：，、．｡､։።፣፤၊။។"
+MARKS = ".,;:!?…।॥،؛؟۔。！？；：，、．｡､։።፣፤၊။"
 CUT = rf"""(?<=[{MARKS}\\n])(?![{MARKS}\\n"'])"""
-#: One in so many places between lines ends a chunk, in each of CHUNKINGS independent ways of cutting.
-SPARSITY = 2
-CHUNKINGS = 3
-#: Characters of a chunk that can be removed, at least.
+#: The same, written so that most characters are turned down by one look at a table or a range.
+_MARK = rf"[.,;:!?\\n[\u0589-\uff64&&[{"".join(c for c in MARKS if c > "~")}]]]"
+_FAST_CUT = rf"""(?<={_MARK})(?!["']|{_MARK})"""
+#: Two in so many rolling hashes of a pair forbid that a chunk begins or ends with it.
+SPARSITY = 8
+#: One in so many rolling hashes of a short pair lets a longer chunk begin.
+SHORT = 4
+#: Characters of a stretch of lines that can be removed, at least.
 LEAST = 40
-#: Characters of a line that is a chunk of its own, wherever the others end.
+#: Characters of a line that is a chunk of its own.
 LONG = 200
 #: Bits of the filter of repeated hashes: buckets of words of 64 bits.
 BUCKETS, WORDS = 1024, 512
+LINE_HASH = "xxhash64({line}, {seed})"
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_key, and the hashes and sizes of the lines of each text."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    d = d.withColumn("lines", F.expr(f"transform(split(text, '{CUT.replace("'", "\\'")}'), x -> btrim(x, ' \\t\\n\\r'))"))
-    return d.select("doc_id", F.xxhash64("text").alias("doc_key"), F.expr("transform(lines, x -> xxhash64(x))").alias("h"), F.expr("transform(lines, x -> length(x))").alias("sizes"))
-
-
-def _chunks(docs: DataFrame, chunkings: int, sparsity: int, least: int) -> DataFrame:
-    """doc_id, doc_key and the chunks (from line, to line, hash) of each text, the repeated ones inside a text marked."""
-    d = _hashed(docs)
-    d = d.withColumn("rolling", F.expr("transform(h, (x, i) -> xxhash64(get(h, i - 1), x))"))
-    # Catalyst puts an array that is named once into the expression that names it, and so into its lambda, where it would be
-    # computed again for each element; an array that a lambda looks into is therefore named outside of it as well.
-    for k in range(chunkings):
-        inner = f"filter(transform(rolling, (x, i) -> if(i > 0 and pmod(shiftright(x, {16 * k}), {sparsity}) = 0, i, 0)), i -> i > 0)"
-        d = d.withColumn(f"ends{k}", F.expr(f"concat(array(0), {inner}, array(size(h)))"))
-    spans = [f"filter(transform(slice(ends{k}, 1, size(ends{k}) - 1), (a, i) -> struct(a as start, ends{k}[i + 1] as stop)), c -> c.stop - c.start >= 2)" for k in range(chunkings)]
-    d = d.withColumn("spans", F.expr(f"array_distinct(concat({', '.join(spans)}))"))
-    sized = f"if(size(sizes) > 0, filter(spans, c -> aggregate(sequence(c.start, c.stop - 1), 0, (n, j) -> n + get(sizes, j)) >= {least}), null)"
-    alone = f"filter(transform(sizes, (n, i) -> if(n >= {LONG}, struct(i as start, i + 1 as stop), null)), c -> c is not null)"
-    return _exploded(d.withColumn("spans", F.expr(f"concat({sized}, {alone})")))
-
-
-def _windows(docs: DataFrame, least: int) -> DataFrame:
-    """Like `_chunks`, the shortest removable run from each line on and up to each line: a longer run is a union of such."""
-    d = _hashed(docs)
-    # an empty line counts as one character, so a run has `least` lines at most
-    # slice copies its whole array each time it is asked, get does not
-    add = f"(s, n) -> if(n is null or (s.n >= {least} and (s.k > 1 or s.n >= {LONG})), s, struct(s.n + greatest(n, 1) as n, s.k + 1 as k))"
-    most = max(least, 2)
-
-    def runs(part: str) -> str:  # a few lines are enough for most
-        few, every = (f"aggregate({part.format(i=i, n=n)}, struct(0 as n, 0 as k), {add}) as s" for i, n in (("i", min(most, 5)), ("c.at", most)))
-        return f"transform(transform(sizes, (x, i) -> struct(i as at, {few})), c -> if(c.s.n >= {least} and (c.s.k > 1 or c.s.n >= {LONG}), c, struct(c.at as at, {every})))"
-
-    onward = runs("transform(sequence(0, {n} - 1), j -> get(sizes, {i} + j))")
-    back = runs("transform(sequence(0, {n} - 1), j -> get(sizes, {i} - j))")
-    full = f"c -> c.s.n >= {least} and (c.s.k > 1 or c.s.n >= {LONG})"
-    d = d.withColumn("spans", F.expr(f"array_distinct(concat(transform(filter({onward}, {full}), c -> struct(c.at as start, c.at + c.s.k as stop)), transform(filter({back}, {full}), c -> struct(c.at + 1 - c.s.k as start, c.at + 1 as stop))))"))
-    return _exploded(d)
-
-
-def _exploded(d: DataFrame) -> DataFrame:
-    """The spans of each text one by one, with their hashes."""
-    hashed = "if(size(h) > 0, transform(spans, c -> struct(c.start, c.stop, aggregate(sequence(c.start, c.stop - 1), 0L, (a, j) -> xxhash64(a, get(h, j))) as hash)), null)"
-    out = d.select("doc_id", "doc_key", F.expr(hashed).alias("spans"))
-    # the outer form: the plain one would filter by the whole expression before it
-    return out.select("doc_id", "doc_key", F.inline_outer("spans")).where("hash is not null")
-
-
-def _with_texts(held: DataFrame, *keys: str) -> DataFrame:
-    """The chunks of each row of `held` one by one: keys, c (the chunk) and its lines, trimmed and joined."""
-    own = held.where("spans is not null").select(*keys, F.transform(_pieces("text"), lambda x: F.btrim(x, F.lit(" \t\n\r"))).alias("pieces"), "spans")
-    texts = "if(size(pieces) > 0, transform(spans, c -> struct(c, array_join(slice(pieces, c.start + 1, c.stop - c.start), '\\n') as chunk)), null)"
-    return own.select(*keys, F.expr(f"inline_outer({texts})")).where("c is not null")
+def _pieces(text: str) -> str:
+    return f"split({text}, '{_FAST_CUT.replace("'", "\\'")}')"
 
 
-def _pieces(text: str) -> F.Column:
-    return F.expr(f"split({text}, '{CUT.replace("'", "\\'")}')")
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("doc_key", F.xxhash64("text"))
 
 
-def _repeated(chunk: DataFrame) -> DataFrame:
-    """_found_id, _found_key and the repeated ones of the chunks of each document, with whether they stay.
-
-    Hashes are counted first. Of the others most fail a filter of fixed size, so that they are not shuffled with their places.
-    """
-    chunk = written(chunk, compression="zstd")
-    order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    counted = written(chunk.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1").select("hash", "first"))
+def stretches(d: DataFrame, keep: list[str], seed: int = 0, *, sparsity: int = SPARSITY, short: int = SHORT, least: int = LEAST, line_hash: str = LINE_HASH) -> DataFrame:
+    """The columns `keep` of `d`, `lines`, and for each line (start, k lines, hash, is_chunk): in `spans` of its pair, in `others` of a chunk that is no pair, or null."""
+    # Catalyst puts an array that is named once into the expression that names it, and so into its lambda, where it would be
+    # computed again for each element; an array that a lambda looks into is therefore named outside of it as well.
+    d = d.select(*keep, F.expr(f"transform({_pieces('text')}, x -> btrim(x, ' \\t\\n\\r'))").alias("lines"))
+    d = d.select(*keep, "lines", F.expr(f"transform(lines, x -> {line_hash.format(line='x', seed=seed)})").alias("h"), F.expr("transform(lines, x -> length(x))").alias("sizes"))
+    d = d.withColumn("rolling", F.expr("if(size(h) > 0, transform(h, (x, i) -> xxhash64(x, get(h, i + 1))), null)"))
+    is_chunk = f"get(sizes, i) + get(sizes, i + 1) >= {least} and pmod(x, {sparsity}) > 1"
+    spans = f"if(size(rolling) > 0 and size(sizes) > 0, transform(rolling, (x, i) -> if(i + 1 < size(sizes), struct(i as start, 2 as k, x as hash, {is_chunk} as is_chunk), null)), null)"
+    k = f"aggregate(slice(sizes, i + 1, {max(least, 3)}), struct(0 as n, 0 as k), (a, m) -> if(a.n >= {least} and a.k > 2, a, struct(a.n + greatest(m, 1) as n, a.k + 1 as k)), a -> if(a.n >= {least} and a.k > 2, a.k, null))"
+    hash_ = "aggregate(slice(h, c.start + 3, c.k - 2), get(rolling, c.start), (a, y) -> xxhash64(a, y))"
+    others = f"if(size(h) > 0 and size(rolling) > 0, transform(sizes, (n, i) -> if(n >= {LONG}, struct(i as start, 1 as k), if(n + get(sizes, i + 1) < {least} and pmod(get(rolling, i), {short}) = 0, struct(i as start, {k} as k), null))), null)"
+    d = d.select(*keep, "lines", "h", "rolling", F.expr(spans).alias("spans"), F.expr(others).alias("others"))
+    hashed = f"if(size(h) > 0 and size(rolling) > 0, transform(others, c -> if(c.k is null, null, struct(c.start as start, c.k as k, if(c.k = 1, xxhash64(get(h, c.start)), {hash_}) as hash, true as is_chunk))), null)"
+    return d.select(*keep, "lines", "spans", F.expr(hashed).alias("others"))
+
+
+def _likely(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """`rows` without most of those whose hash is not in `counted`, by a filter of fixed size."""
     slot = f"hash & {64 * WORDS * BUCKETS - 1}"
     bits = counted.selectExpr(f"{slot} as slot").selectExpr("shiftright(slot, 6) as word", "shiftleft(1L, cast(slot & 63 as int)) as bits")
-    none = chunk.sparkSession.range(WORDS * BUCKETS).selectExpr("id as word", "0L as bits")
+    none = rows.sparkSession.range(WORDS * BUCKETS).selectExpr("id as word", "0L as bits")
     bits = bits.union(none).groupBy("word").agg(F.bit_or("bits").alias("bits")).groupBy(F.expr(f"word div {WORDS}").alias("bucket"))
     bits = bits.agg(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"].alias("bits"))
-    likely = chunk.withColumn("bucket", F.expr(f"({slot}) div {64 * WORDS}")).join(F.broadcast(bits), "bucket")
-    likely = likely.where(f"getbit(get(bits, cast(shiftright(hash, 6) & {WORDS - 1} as int)), cast(hash & 63 as int)) = 1").drop("bucket", "bits")
-    repeated = likely.join(counted, "hash").select("doc_id", "doc_key", "start", "stop", "hash", (order == F.col("first")).alias("is_first"))
-    found = repeated.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "hash", "is_first"))).alias("spans")).withColumnsRenamed({"doc_id": "_found_id", "doc_key": "_found_key"})
-    # inside the first document the first place stays, and what overlaps it
-    found = found.withColumn("seen", F.expr("transform(spans, c -> c.hash)"))
-    stays = "c.is_first and c.start < element_at(spans, cast(array_position(seen, c.hash) as int)).stop"
-    return found.withColumn("spans", F.expr(f"transform(spans, c -> struct(c.start, c.stop, c.hash, {stays} as stays))")).drop("seen")
-
-
-def dedup_lines(docs: DataFrame, *, chunkings: int = CHUNKINGS, sparsity: int = SPARSITY, least: int = LEAST) -> DataFrame:
-    """`docs` with repeated passages gone from `text`, and with `_n_removed`, the number of lines gone, behind its columns."""
-    found = _repeated(_chunks(docs, chunkings, sparsity, least))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_found_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_found_key"))
-    held = written(docs.join(found, same, "left").drop("_found_id"), compression="zstd")
-    # documents that share a chunk are compared line by line, so that whole runs go and not only the chunks inside of them
-    own = written(held.where("spans is not null").select(*docs.columns), compression="zstd")
-    runs = _repeated(_windows(own, least))
-    same = own["doc_id"].cast("long").eqNullSafe(F.col("_found_id")) & (F.xxhash64(own["text"].cast("string")) == F.col("_found_key"))
-    held = written(own.join(runs, same, "left").drop("_found_id").union(held.where("spans is null")), compression="zstd")
-    texts = _with_texts(held).groupBy(F.col("c.hash").alias("hash"), "chunk").agg(F.count(F.lit(1)).alias("n"))
-    mixed = written(texts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("hash"))
-    if not mixed.isEmpty():
-        held = _settled(held, mixed, docs.columns)
-    gone = "array_distinct(flatten(transform(filter(spans, c -> not c.stays), c -> sequence(c.start, c.stop - 1))))"
-    out = held.withColumn("_gone", F.coalesce(F.expr(gone), F.expr("cast(array() as array<int>)")))
-    out = out.withColumn("_pieces", F.when(F.size("_gone") > 0, _pieces("text")))
-    left = "array_join(transform(array_except(sequence(0, size(_pieces) - 1), _gone), i -> _pieces[i]), '')"
-    text = F.when(F.size("_gone") > 0, F.expr(left)).otherwise(F.col("text"))
-    return out.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), F.size("_gone").cast("long").alias("_n_removed"))
-
-
-def _settled(held: DataFrame, mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """`held` where chunks of a hash that stands for several texts stay unless an earlier document has the same bytes."""
-    own = _with_texts(held, "doc_id", "_found_key").withColumn("hash", F.col("c.hash")).join(mixed, "hash")
+    likely = rows.withColumn("bucket", F.expr(f"({slot}) div {64 * WORDS}")).join(F.broadcast(bits), "bucket")
+    return likely.where(f"getbit(get(bits, cast(shiftright(hash, 6) & {WORDS - 1} as int)), cast(hash & 63 as int)) = 1").drop("bucket", "bits")
+
+
+def repeated_runs(docs: DataFrame, seed: int = 0, **options: int | str) -> DataFrame:
+    """doc_id, doc_key, gone (the runs of lines to remove) and checked (all repeated ones), for documents with repeated lines."""
+    d = stretches(_keyed(docs).where("text is not null"), ["doc_id", "doc_key"], seed, **options)
+    # the outer form: the plain one would filter by the whole expression before it
+    every = F.expr("if(size(spans) > 0 and size(others) > 0, concat(spans, filter(others, c -> c is not null)), null)")
+    rows = written(d.select("doc_id", "doc_key", F.inline_outer(every)).where("hash is not null"), compression="zstd")
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    first = own.groupBy("hash", "chunk").agg(F.min(F.struct(order, "c.start")).alias("first"))
-    stays = own.join(first, ["hash", "chunk"]).where(F.struct(order, "c.start") == F.col("first"))
-    stays = stays.groupBy("doc_id", "_found_key").agg(F.collect_list("c.start").alias("_kept"))
-    stays = stays.withColumnsRenamed({"doc_id": "_s_id", "_found_key": "_s_key"})
-    every = mixed.agg(F.collect_set("hash").alias("_mixed"))
-    h = held.join(stays, held["doc_id"].eqNullSafe(stays["_s_id"]) & (held["_found_key"] == stays["_s_key"]), "left").join(F.broadcast(every))
-    settle = "transform(spans, c -> struct(c.start, c.stop, c.hash, if(array_contains(_mixed, c.hash), coalesce(array_contains(_kept, c.start), false), c.stays) as stays))"
-    return h.withColumn("spans", F.expr(settle)).select(*columns, "_found_key", "spans")
+    # hashes are counted first; of the places most fail the filter, so that they are not shuffled
+    counted = written(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1").select("hash", "first"))
+    repeated = _likely(rows, counted).join(counted, "hash").select("doc_id", "doc_key", "hash", "start", "k", "is_chunk", (order == F.col("first")).alias("is_first"))
+    found = repeated.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set(F.struct("hash", "start", "k", "is_chunk", "is_first"))).alias("s"))
+    goes = "not c.is_first or get(s, i - 1).hash <=> c.hash"
+    found = found.withColumn("s", F.expr(f"if(size(s) > 0, sort_array(transform(s, (c, i) -> struct(c.start as start, c.start + c.k as stop, c.is_chunk as is_chunk, {goes} as goes))), null)"))
+    zero = "struct(cast(array() as array<struct<start:int,stop:int>>) as done, -1 as start, -1 as stop, false as good)"
+    done = "if(a.good, array_append(a.done, struct(a.start as start, a.stop as stop)), a.done)"
+
+    def merged(which: str, good: str) -> str:
+        grown = f"struct(a.done as done, a.start as start, greatest(a.stop, c.stop) as stop, a.good or {good} as good)"
+        return f"aggregate({which}, {zero}, (a, c) -> if(c.start < a.stop, {grown}, struct({done} as done, c.start as start, c.stop as stop, {good} as good)), a -> {done})"
+
+    found = found.select("doc_id", "doc_key", F.expr(merged("filter(s, c -> c.goes)", "c.is_chunk")).alias("gone"), F.expr(merged("s", "true")).alias("checked"))
+    return written(found)
+
+
+def _joined(docs: DataFrame, found: DataFrame, how: str) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with the columns of `found` under names that `docs` has not."""
+    names = {c: spare(docs, f"_{c}") for c in found.columns}
+    f = found.withColumnsRenamed(names)
+    same = docs["doc_id"].cast("long").eqNullSafe(f[names["doc_id"]]) & (F.xxhash64(docs["text"].cast("string")) == f[names["doc_key"]])
+    return docs.join(f, same, how), names
+
+
+def mixed_hashes(docs: DataFrame, found: DataFrame, seed: int = 0, **options: int | str) -> DataFrame:
+    """Hashes that stand for stretches of different bytes, among all repeated ones."""
+    own, names = _joined(docs, found, "inner")
+    own = stretches(own.select(F.col("text").cast("string").alias("text"), F.col(names["checked"]).alias("checked")), ["checked"], seed, **options)
+    inside = ", ".join(f"slice({x}, r.start + 1, r.stop - r.start)" for x in ("spans", "others"))
+    inside = f"flatten(transform(checked, r -> filter(concat({inside}), c -> c is not null and c.start + c.k <= r.stop)))"
+    texts = f"if(size(lines) > 0 and size(spans) > 0 and size(others) > 0, transform({inside}, c -> struct(c.hash as hash, array_join(slice(lines, c.start + 1, c.k), '\\n') as chunk)), null)"
+    rows = own.select(F.inline_outer(F.expr(texts))).where("hash is not null")
+    return rows.groupBy("hash", "chunk").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("hash")
+
+
+def dedup_lines(docs: DataFrame, *, removed: str = "_n_removed", **options: int | str) -> DataFrame:
+    """`docs` with repeated passages gone from `text`, and with the number of lines gone behind its columns."""
+    for seed in itertools.count():
+        found = repeated_runs(docs, seed, **options)
+        if mixed_hashes(docs, found, seed, **options).isEmpty():
+            break
+    gone = written(found.where("size(gone) > 0").select("doc_id", "doc_key", "gone"))
+    out, names = _joined(docs, gone, "left")
+    g, pieces = (f"`{x}`" for x in (names["gone"], spare(out, "_pieces")))
+    out = out.withColumn(pieces.strip("`"), F.expr(f"if({g} is null, null, {_pieces('cast(text as string)')})"))
+    end = f"struct(size({pieces}) as start, size({pieces}) as stop)"
+    left = f"array_join(flatten(transform(concat({g}, array({end})), (r, i) -> slice({pieces}, coalesce(get({g}, i - 1).stop, 0) + 1, r.start - coalesce(get({g}, i - 1).stop, 0)))), '')"
+    text = F.expr(f"if({g} is null, text, {left})").cast(docs.schema["text"].dataType)
+    n = F.expr(f"coalesce(aggregate({g}, 0L, (n, r) -> n + r.stop - r.start), 0L)").alias(removed)
+    return out.select(*(text.alias(c) if c == "text" else out[c] for c in docs.columns if c.lower() != removed.lower()), n)

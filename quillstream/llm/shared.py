@@ -30,6 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """`name`, with underscores behind it while `df` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """`df`, written once to the shared folder and read again: a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -16,7 +16,7 @@ decodes to a space, as it does in the library.
 
 from __future__ import annotations
 
-import heapq
+import bisect
 import itertools
 import re
 from array import array
@@ -37,19 +37,20 @@ N_BEST = 4
 UNKNOWN = 10.0
 #: Words, and texts' searches, that a worker remembers; each store is emptied when full. A word takes about 300 bytes.
 CACHE_ENTRIES, SEARCHES = 400_000, 20_000
+#: Words searched at once, and letters up to which they are.
+AT_ONCE, SHORT_WORD = 4096, 64
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 @dataclass
 class Pieces:
-    """A vocabulary and the words already searched. Of each word: its best path's ids, score and what a second path costs."""
+    """A vocabulary as a trie, and the words already searched. Of each word: its best path's ids, score and what a second path costs."""
 
     score: dict[str, tuple[int, float]]  # of each piece its id and score
     text: list[bytes]  # what each id stands for
     bytes_: list[int]
     unknown: float
     longest: int
-    ended: dict[str, tuple[int, float] | None] = field(default_factory=dict)  # every end of a piece; with id and score if it is one
     pairs: set[str] = field(default_factory=set)  # of neighbouring characters inside pieces; no edge spans any other pair
     at: dict[str, int] = field(default_factory=dict)
     ids: list[bytes] = field(default_factory=list)
@@ -57,11 +58,21 @@ class Pieces:
     searched: dict[str, list[tuple[float, tuple[int, ...]]]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        for piece, found in self.score.items():
-            for k in range(1, len(piece)):
-                self.ended.setdefault(piece[k:], None)
-            self.ended[piece] = found
+        nodes: dict[str, int] = {"": 0}
+        steps = []
+        for piece in self.score:
             self.pairs.update(piece[k : k + 2] for k in range(len(piece) - 1))
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in nodes:
+                    steps.append((nodes[piece[: k - 1]] << 21 | ord(piece[k - 1]), len(nodes)))
+                    nodes[piece[:k]] = len(nodes)
+        steps.sort()
+        self.keys = np.array([k for k, _ in steps], np.int64)  # node and character
+        self.child = np.array([n for _, n in steps], np.int64)
+        self.piece = np.full(len(nodes), -1, np.int64)  # of each node the piece that ends there
+        self.value = np.zeros(len(nodes))
+        for piece, (i, v) in self.score.items():
+            self.piece[nodes[piece]], self.value[nodes[piece]] = i, v
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"at": {}, "ids": [], "numbers": np.zeros((0, 3)), "searched": {}}
@@ -79,7 +90,11 @@ class Pieces:
         return out
 
     def paths(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best paths by A-star from the right; fewer if there are no more."""
+        """The n best paths by A-star from the right; fewer if there are no more.
+
+        What is open is kept in order, and no more of it than paths are still wanted: with exact scores ahead every open end
+        leads to a path of just its score, so what lies behind n better ones is never needed.
+        """
         if len(found := self.searched.get(word, ())) == n:
             return found
         edges = self.edges(word)
@@ -87,89 +102,187 @@ class Pieces:
         for j in range(1, len(word) + 1):
             ahead[j] = max(s + ahead[i] for i, _, s in edges[j])
         out: list[tuple[float, tuple[int, ...]]] = []
-        heap: list[tuple[float, int, int, float, tuple[int, ...]]] = [(-ahead[-1], 0, len(word), 0.0, ())]
+        ways: list[tuple[int, tuple[int, ...]]] = [(-1, ())]  # of each step to the left the one before it, and its ids
+        open_: list[tuple[float, int, int, float, int]] = [(-ahead[-1], 0, len(word), 0.0, 0)]
         pushed = 0
-        while heap and len(out) < n:
-            _, _, place, done, ids = heapq.heappop(heap)
+        while open_ and len(out) < n:
+            _, _, place, done, way = open_.pop(0)
             if not place:
-                out.append((done, ids))
+                ids: list[int] = []
+                while way > 0:
+                    way, own = ways[way]
+                    ids += own
+                out.append((done, tuple(ids)))
                 continue
             for i, own, s in edges[place]:
                 pushed += 1
-                heapq.heappush(heap, (-(done + s + ahead[i]), -pushed, i, done + s, own + ids))
+                ahead_of = -(done + s + ahead[i])
+                if len(open_) < n - len(out) or ahead_of <= open_[-1][0]:
+                    ways.append((way, own))
+                    bisect.insort(open_, (ahead_of, -pushed, i, done + s, len(ways) - 1))
+                    del open_[n - len(out) :]
         if len(self.searched) > SEARCHES:
             self.searched.clear()
         self.searched[word] = out
         return out
 
+    def best(self, words: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """Of each word the best path's ids; and their number, its score, and how much less the second best path scores (infinite without one).
+
+        The words lie one after the other in one array; all walk through the trie at once, and then all take the
+        recurrence's step to their first, second, ... end at once.
+        """
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        stop = np.cumsum(size)
+        of = np.repeat(np.arange(len(words)), size)
+        own_stop = stop[of]
+        begin, place, node = np.arange(len(chars)), np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # of edges: begin, end, piece, score
+        plain = np.zeros(len(chars), bool)  # characters that are pieces
+        while len(begin):
+            key = node << 21 | chars[place]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[k] == key
+            begin, node, place = begin[on], self.child[k[on]], place[on] + 1
+            piece = self.piece[node]
+            is_ = piece >= 0
+            found.append((begin[is_], place[is_], piece[is_], self.value[node[is_]]))
+            if len(found) == 1:
+                plain[found[0][0]] = True
+            on = place < own_stop[begin]
+            begin, node, place = begin[on], node[on], place[on]
+        odd = np.flatnonzero(~plain)
+        raw = np.select([chars[odd] < 0x80, chars[odd] < 0x800, chars[odd] < 0x10000], [1, 2, 3], 4)
+        found.append((odd, odd + 1, np.full(len(odd), -1), self.unknown * raw))
+        a, b, piece, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        w = of[a]
+        step = b - (stop - size)[w]
+        order = np.lexsort((b, step))  # stable: shorter pieces first, bytes last
+        a, b, piece, value, step = a[order] + w[order], b[order] + w[order], piece[order], value[order], step[order]
+        first, second = np.full(len(chars) + len(words), -np.inf), np.full(len(chars) + len(words), -np.inf)
+        first[stop - size + np.arange(len(words))] = 0.0
+        via = np.zeros(len(first), np.int64)
+        cuts = np.searchsorted(step, np.arange(1, int(size.max()) + 2))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            at, to, v = a[lo:hi], b[lo:hi], value[lo:hi]
+            through = first[at] + v
+            group = np.flatnonzero(np.diff(to, prepend=-1))
+            top = np.maximum.reduceat(through, group)
+            nth = np.repeat(np.arange(len(group)), np.diff(np.append(group, hi - lo)))
+            k = np.flatnonzero(through == top[nth])
+            k = k[np.diff(nth[k], prepend=-1) != 0]  # the first of equal ones
+            through[k] = second[at[k]] + v[k]
+            to = to[group]
+            first[to], second[to], via[to] = top, np.maximum.reduceat(through, group), k + lo
+        ends = stop + np.arange(len(words))
+        at, live, taken, owner = ends.copy(), np.arange(len(words)), [], []
+        while len(live):
+            e = via[at]
+            taken.append(e)
+            owner.append(live)
+            at = a[e]
+            on = at > (stop - size)[live] + live
+            at, live = at[on], live[on]
+        edge, own = np.concatenate(taken)[::-1], np.concatenate(owner)[::-1]
+        order = np.argsort(own, kind="stable")
+        edge, own = edge[order], own[order]
+        chosen = piece[edge]
+        byte = np.flatnonzero(chosen < 0)
+        if len(byte):
+            spelt = [[self.bytes_[x] for x in chr(int(c)).encode("utf-8", "surrogatepass")] for c in chars[a[edge[byte]] - own[byte]]]
+            many = np.ones(len(edge), np.int64)
+            many[byte] = [len(x) for x in spelt]
+            starts = np.cumsum(many) - many
+            chosen, own = np.repeat(chosen, many), np.repeat(own, many)
+            for k, x in zip(starts[byte].tolist(), spelt, strict=True):
+                chosen[k : k + len(x)] = x
+        flat = chosen.astype(np.int32).tobytes()
+        cut = 4 * np.searchsorted(own, np.arange(len(words) + 1))
+        at = cut.tolist()
+        return [flat[x:y] for x, y in zip(at, at[1:])], np.stack([np.diff(cut) // 4, first[ends], first[ends] - second[ends]], 1)
+
     def second(self, word: str) -> tuple[bytes, float, float]:
-        """The best path's ids and score, and how much less the second best path scores (infinite without one)."""
-        n, ended, none = len(word), self.ended, -np.inf
-        best, next_, back = [0.0] * (n + 1), [none] * (n + 1), [(0, ())] * (n + 1)
+        """What `best` gives, for one long word: its steps would be too many for arrays of a word each."""
+        n, score, none = len(word), self.score, -np.inf
+        best, next_, back = [0.0] * (n + 1), [none] * (n + 1), [-1] * (n + 1)
         for j in range(1, n + 1):
             first = second = none
-            via, i = (0, ()), j
-            while i:
-                i -= 1
-                found = ended.get(word[i:j], self)
-                if found is self:
-                    break
+            via = j - 1
+            for i in range(j - 1, max(j - self.longest, 0) - 1, -1):
+                found = score.get(word[i:j])
                 if found is not None:
-                    s = found[1]
-                    through = best[i] + s
+                    through = best[i] + found[1]
                     if through > first:
-                        other = next_[i] + s
-                        second, first, via = first if first > other else other, through, (i, found[0])
+                        second, first, via = max(first, next_[i] + found[1]), through, i
                     elif through > second:
                         second = through
-            if word[j - 1] not in self.score:
-                raw = word[j - 1].encode("utf-8", "surrogatepass")
-                s = self.unknown * len(raw)
+            if word[j - 1] not in score:
+                s = self.unknown * len(word[j - 1].encode("utf-8", "surrogatepass"))
                 through = best[j - 1] + s
                 if through > first:
-                    second, first, via = max(first, next_[j - 1] + s), through, (j - 1, raw)
+                    second, first, via = max(first, next_[j - 1] + s), through, j - 1
                 else:
                     second = max(second, through)
             best[j], next_[j], back[j] = first, second, via
         ids: list[int] = []
         j = n
         while j:
-            j, own = back[j]
-            ids += [own] if isinstance(own, int) else [self.bytes_[x] for x in reversed(own)]
+            piece = score.get(word[back[j] : j])
+            ids += [self.bytes_[x] for x in reversed(word[j - 1].encode("utf-8", "surrogatepass"))] if piece is None else [piece[0]]
+            j = back[j]
         return array("i", reversed(ids)).tobytes(), best[n], best[n] - next_[n]
 
     def known(self, words: list[str]) -> np.ndarray:
         """Places of the words in `ids` and `numbers`; new ones are searched first."""
         if len(self.at) > CACHE_ENTRIES:
             self.at, self.ids, self.numbers = {}, [], np.zeros((0, 3))
-        at, pairs, numbers, first = self.at, self.pairs, [], len(self.numbers)
-
-        def keep(word: str, ids: bytes, score: float, second: float) -> tuple[bytes, float, float]:
-            at[word] = len(self.ids)
-            self.ids.append(ids)
-            numbers.append((len(ids) // 4, score, second))
-            return ids, score, second
-
+        at, pairs = self.at, self.pairs
         of = np.fromiter(map(at.get, words, itertools.repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(of < 0)
-        for w in {words[k] for k in new.tolist()}:
-            # plain words are searched whole; others, such as those with punctuation, fall apart where no edge leads across
-            cuts = [0, len(w)] if w[1:].isalpha() else [0, *(k for k in range(1, len(w)) if w[k - 1 : k + 1] not in pairs), len(w)]
-            ids, score, second = b"", 0.0, np.inf
-            for a, b in zip(cuts, cuts[1:]):
-                k = at.get(w[a:b])
-                if k is None:
-                    found = keep(w[a:b], *self.second(w[a:b]))
-                else:
-                    found = (self.ids[k], *(self.numbers[k] if k < first else numbers[k - first])[1:])
-                ids, score, second = ids + found[0], score + found[1], min(second, found[2])
-            if w not in at:
-                keep(w, ids, score, second)
-        if numbers:
-            self.numbers = np.concatenate([self.numbers, np.array(numbers)])
-        of[new] = np.fromiter((at[words[k]] for k in new.tolist()), np.int64, len(new))
+        if not len(new):
+            return of
+        fresh = {words[k] for k in new.tolist()}
+        if max(map(len, fresh)) <= SHORT_WORD:
+            self._search(fresh)
+        else:
+            # long words fall apart where no edge leads across
+            parts = {}
+            for w in [w for w in fresh if len(w) > SHORT_WORD]:
+                cuts = [0, *(k for k in range(1, len(w)) if w[k - 1 : k + 1] not in pairs), len(w)]
+                parts[w] = [w[a:b] for a, b in zip(cuts, cuts[1:])]
+            self._search({x for own in parts.values() for x in own if x not in at} | {w for w in fresh if w not in parts})
+            whole = []
+            for w, own in parts.items():
+                if len(own) > 1:
+                    k = [at[x] for x in own]
+                    at[w] = len(self.ids)
+                    self.ids.append(b"".join(self.ids[x] for x in k))
+                    n = self.numbers[k]
+                    whole.append((n[:, 0].sum(), n[:, 1].sum(), n[:, 2].min()))
+            if whole:
+                self.numbers = np.concatenate([self.numbers, np.array(whole)])
+        of[new] = np.fromiter(map(at.__getitem__, map(words.__getitem__, new.tolist())), np.int64, len(new))
         return of
 
+    def _search(self, words: set[str]) -> None:
+        """Adds the words to `at`, `ids` and `numbers`."""
+        short = sorted((x for x in words if len(x) <= SHORT_WORD), key=len)
+        numbers = [self.numbers]
+        for k in range(0, len(short), AT_ONCE):
+            some = short[k : k + AT_ONCE]
+            ids, n = self.best(some)
+            self.at.update(zip(some, range(len(self.ids), len(self.ids) + len(some)), strict=True))
+            self.ids += ids
+            numbers.append(n)
+        for x in words:
+            if len(x) > SHORT_WORD:
+                ids, score, gap = self.second(x)
+                self.at[x] = len(self.ids)
+                self.ids.append(ids)
+                numbers.append(np.array([[len(ids) // 4, score, gap]]))
+        self.numbers = np.concatenate(numbers)
+
 
 def load(path: str) -> Pieces:
     import sentencepiece

@@ -1,17 +1,29 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-A page is a sequence of tokens: its tags with the path they stand in, and its text blocks with
-theirs. Tokens that occur equally often in the same pages of a host form an equivalence class; their
-occurrence vectors are compared by a hash summed over pages, so no host is ever gathered in a task. A
-class is valid if it spans nearly all pages of a host, pages of many different contents, and holds
-two tokens or more; the text blocks of valid classes are the template. Classes are not nested and
-pages not split into slots. Text that belongs to the template is not the page's own. Of what remains, the
-blocks of the article are kept; those in menus, headers, footers, sidebars, notices, adverts, forms,
-comments and the like, known by their tags, roles and class names, are not.
-
-Defined cases: null html has an empty text; broken markup is read as far as it goes; hosts with few
-pages have no template, so copies of one page are not mistaken for one; pages with equal ids are
-read one by one.
+1. A page is a sequence of tokens: its elements, each with the path it stands in, and its text
+   blocks. Tokens with equal occurrence vectors over the pages of a host form an equivalence class;
+   vectors are compared by hashes summed over pages, so no host is ever gathered in a task. A class
+   is valid if it holds elements (each of which is two tokens, its begin and end) and occurs in pages of many different contents
+   and in a hundredth of the pages. A host may thus have several layouts, each with classes of its own.
+2. Valid classes nest: a class lies in the gap of another where that one's elements are around it.
+   Together they are the template. Texts in a class are part of it; all other text fills slots, the
+   gaps after each element of the template.
+3. What fills the slots is summed up over the pages: for each slot its text, linked text and kinds of
+   content, for each element what share of a page's own text it holds.
+4. The main text of a page is what fills the slots inside its main element: of the template's elements
+   that occur once a page the innermost that holds most of the own text. Slots of linked or of hardly
+   ever changing text are left out, as are elements inside the main one that HTML itself sets apart
+   (nav, aside, forms, scripts, ...); names in class and id decide only on elements inside the main one
+   that hold little text.
+
+Hosts without valid classes take the template of all pages together, found from the same counts; a
+page that this does not know either is judged by its own elements. Templates have some thousand
+elements at most, as each is in a hundredth of the pages.
+
+Defined cases: null html has an empty text; an empty table gives no rows; broken markup is read as
+far as it goes; pages of any length are read whole, one at a time; copies of one page make no
+template; pages with equal ids are read one by one, repeated rows count as pages; other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -19,6 +31,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
@@ -28,8 +41,12 @@ from pyspark.sql import functions as F
 from quillstream.llm.shared import chunks, written
 from quillstream.llm.url_filter import host_and_path
 
-#: Share of a host's pages that a class of its template is in, and how many of 64 kinds of content at least.
-SUPPORT, CONTENTS = 0.95, 8
+#: Kinds of content (of 64 by a hash) that a class of a template has to be seen with, and the share of the pages it is in.
+CONTENTS, SUPPORT = 8, 0.01
+#: Share of the own text that the main element holds at least; an article or main element needs less.
+MAIN, MARKED = 0.8, 0.5
+#: Share of the own text up to which an element can be left out by its name.
+NAMED = 0.3
 
 #: Elements that end a block, that hold nothing, and whose content is never main text.
 BLOCKS = frozenset(
@@ -42,6 +59,10 @@ DROPPED = frozenset("aside audio button canvas datalist dialog footer form head
 NAMES = frozenset(
     "ad ads adsense advert advertisement advertising adverts alert announcement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommendations recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toast toolbar widget widgets".split()
 )
+#: Elements that can be the main one: blocks that hold blocks.
+CONTAINERS = BLOCKS - frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote address caption figcaption hr legend option title".split())
+#: Words that may stand before such a name in a class or id.
+PLACES = frozenset("site page main left right top bottom post article user reader social cookie global primary secondary inline floating sticky".split())
 #: Elements that a start tag of the same name closes.
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -51,50 +72,88 @@ _HIDDEN = re.compile(r"""(?:\s|^)hidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*["']?true
 _WORD = re.compile("[a-z]+")
 
 
-def _attributes(raw: str) -> tuple[str, str, bool]:
-    """(class words as a path part, role, whether a name says that this is not main text)."""
+HOST_OF_ALL = 0
+
+
+@dataclass
+class Page:
+    """Elements (parent, name, path, set apart by HTML, named like boilerplate) and blocks (element, template slot's left neighbour, text, linked characters)."""
+
+    elements: list[tuple[int, str, str, bool, bool]] = field(default_factory=list)
+    blocks: list[tuple[int, int, str, int]] = field(default_factory=list)
+
+    def around(self, k: int) -> Iterator[int]:
+        while k >= 0:
+            yield k
+            k = self.elements[k][0]
+
+
+def _names_boilerplate(value: str) -> bool:
+    for name in value.split():
+        words = _WORD.findall(name)
+        if words and (words[0] in NAMES or len(words) > 1 and words[0] in PLACES and words[1] in NAMES):
+            return True
+    return False
+
+
+def _attributes(raw: str) -> tuple[str, str, bool, bool]:
+    """(class words as a path part, role, hidden, whether a name says that this is not main text)."""
     if not raw.strip(" /"):
-        return "", "", False
-    classes, role, off = "", "", bool(_HIDDEN.search(raw))
+        return "", "", False, False
+    classes, role, named = "", "", False
     for m in _NAMED.finditer(raw):
         value = (m[2] or m[3] or m[4] or "").lower()
-        off = off or not NAMES.isdisjoint(_WORD.findall(value))
+        named = named or _names_boilerplate(value)
         if m[1].lower() == "class":
             classes = "." + value
         elif m[1].lower() == "role":
             role = value
-    return classes, role, off
+    return classes, role, bool(_HIDDEN.search(raw)), named
 
 
-def parsed(page: str | None) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
-    """Blocks (path, text, in an article, in something dropped) and the paths of all tags, in page order."""
+def parsed(page: str | None) -> Page:
     page = page or ""
-    blocks: list[tuple[str, str, bool, bool]] = []
-    tags: list[str] = []
-    open_: list[tuple[str, str, bool, bool]] = []  # name, path, in an article, dropped
+    out = Page()
+    open_: list[tuple[str, int]] = []  # name, element
     text: list[str] = []
+    linked = muted = 0
+    last = -1  # the element begun or ended last
 
     def end_block() -> None:
+        nonlocal linked
         if text:
             t = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if t:
-                _, path, article, off = open_[-1] if open_ else ("", "", False, False)
-                blocks.append((path, t, article, off))
+                k = open_[-1][1] if open_ else -1
+                while k >= 0 and out.elements[k][1] not in BLOCKS and out.elements[k][0] >= 0:
+                    k = out.elements[k][0]
+                out.blocks.append((k, last, t, min(linked, len(t))))
+        linked = 0
 
     def close(k: int) -> None:
-        if any(x[0] in BLOCKS or x[3] for x in open_[k:]):
+        nonlocal muted, last
+        if any(name in BLOCKS for name, _ in open_[k:]):
             end_block()
+            last = open_[k][1]
+        muted -= sum(name in DROPPED and name not in BLOCKS for name, _ in open_[k:])
         del open_[k:]
 
+    def add(t: str) -> None:
+        nonlocal linked
+        if not muted:
+            text.append(t)
+            if any(name == "a" for name, _ in open_):
+                linked += len(t)
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if not m:
-            text.append(page[at:])
+            add(page[at:])
             break
         if m.start() > at:
-            text.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
@@ -118,28 +177,26 @@ def parsed(page: str | None) -> tuple[list[tuple[str, str, bool, bool]], list[st
                     break
         elif name in BLOCKS and open_ and open_[-1][0] == "p":
             close(len(open_) - 1)
-        classes, role, off = _attributes(raw)
-        _, path, article, dropped = open_[-1] if open_ else ("", "", False, False)
-        path = f"{path}/{name}{classes}"
-        tags.append(path)
         if name in BLOCKS:
             end_block()
         if name == "br":
-            text.append(" ")
+            add(" ")
         if name in VOID or raw.endswith("/") and name not in BLOCKS:
             continue
-        if name in ("html", "body"):
-            off = False
-        dropped = dropped or off or name in DROPPED or name == "header" and not article
-        if dropped and not (open_ and open_[-1][3]):
-            end_block()
-        article = article or name in ("article", "main") or role == "main" or "articlebody" in raw.lower()
+        classes, role, hidden, named = _attributes(raw)
+        parent = open_[-1][1] if open_ else -1
+        path = f"{out.elements[parent][2] if parent >= 0 else ''}/{'main' if role == 'main' else 'article' if 'articlebody' in raw.lower() else name}{classes}"
+        apart = (hidden or name in DROPPED) and name not in ("html", "body")
+        out.elements.append((parent, name, path, apart, named and name not in ("html", "body")))
         if name in RAW:
             stop = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)", re.I).search(page, at)
             at = stop.start() if stop else n
-        open_.append((name, path, article, dropped))
+        open_.append((name, len(out.elements) - 1))
+        muted += name in DROPPED and name not in BLOCKS
+        if name in BLOCKS:
+            last = len(out.elements) - 1
     end_block()
-    return blocks, tags
+    return out
 
 
 def _hash(*parts: str) -> int:
@@ -147,21 +204,54 @@ def _hash(*parts: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _content(page: Page) -> int:
+    return _hash(*(t for k, _, t, _ in page.blocks if not any(page.elements[e][3] for e in page.around(k)))) & 63
+
+
+def _bit(k: int) -> int:
+    return 1 << k if k < 63 else -(1 << 63)
+
+
+def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(names.split())
+    kinds = [pa.bool_() if n.startswith("is_") else pa.int64() for n in names.split()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names.split())
+
+
+TOKENS = "host_key token is_text is_once pages v1 v2 contents"
+FILLS = "host_key token is_slot pages chars linked own contents of_pages"
+
+
+def _ddl(names: str) -> str:
+    return ", ".join(f"{n} {'boolean' if n.startswith('is_') else 'bigint'}" for n in names.split())
+
+
 def _token_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    out: list[tuple[int, int, int, int, bool, int, int]] = []
+    """The tokens of a batch, summed up by host: in how many pages, their vectors' sums, whether at most once in each."""
+    out: dict[tuple[int, int, bool], list] = {}
     for host, key, page in zip(batch.column("host_key").to_pylist(), batch.column("page_key").to_pylist(), batch.column("html").to_pylist(), strict=True):
-        blocks, tags = parsed(page)
-        own = [t for _, t, _, off in blocks if not off]
-        content = _hash(*own) & 63
-        counted: dict[tuple[int, bool], list[int]] = {}
-        for k, path in enumerate(tags):
-            counted.setdefault((_hash("tag", path), False), [0, k])[0] += 1
-        for k, (path, t, _, _) in enumerate(blocks):
-            counted.setdefault((_hash("text", path, t), True), [0, k])[0] += 1
-        out += [(host, token, key, n, is_text, 1 << content if content < 63 else -(1 << 63), first) for (token, is_text), (n, first) in counted.items()]
-    cols = list(zip(*out, strict=True)) or [()] * 7
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host_key", "token", "page_key", "n", "is_text", "content", "first"])
+        p = parsed(page)
+        bit = _bit(_content(p))
+        counted: dict[tuple[int, bool], int] = {(0, False): 1}
+        paths: dict[str, int] = {}
+        for _, _, path, _, _ in p.elements:
+            paths[path] = paths.get(path, 0) + 1
+        counted |= {(_hash("tag", path), False): n for path, n in paths.items()}
+        for k, _, t, _ in p.blocks:
+            token = _hash("text", p.elements[k][2] if k >= 0 else "", t), True
+            counted[token] = counted.get(token, 0) + 1
+        by_count: dict[int, int] = {}
+        for (token, is_text), n in counted.items():
+            v = by_count.get(n)
+            if v is None:
+                v = by_count[n] = xxhash.xxh64_intdigest(f"{key} {n}")
+            row = out.setdefault((host, token, is_text), [True, 0, 0, 0, 0])
+            row[0] = row[0] and n == 1
+            row[1] += 1
+            row[2] += v & 0x7FFFFFFF
+            row[3] += v >> 33
+            row[4] |= bit
+    return _batch([(*k, *v) for k, v in out.items()], TOKENS)
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -171,42 +261,205 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, *, support: float = SUPPORT, contents: int = CONTENTS) -> DataFrame:
-    """Valid classes: host_key, vector, tokens in page order, texts (those tokens that are text), and whether the class is the outermost."""
-    p = _keyed(pages)
-    sizes = p.groupBy("host_key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= contents)
-    rows = p.select("host_key", "page_key", "html").mapInArrow(
-        lambda it: (_token_rows(b) for b in chunks(it, "html")), "host_key bigint, token bigint, page_key bigint, n bigint, is_text boolean, content bigint, first bigint"
-    )
-    vector = F.expr("bit_xor(xxhash64(page_key, n))")
-    tokens = rows.groupBy("host_key", "token", "is_text").agg(F.count(F.lit(1)).alias("seen"), vector.alias("vector"), F.expr("bit_or(content)").alias("contents"), F.avg("first").alias("first"))
-    tokens = tokens.where(F.expr(f"bit_count(contents) >= {contents}")).join(sizes, "host_key").where(F.col("seen") >= F.col("pages") * support)
-    c = tokens.groupBy("host_key", "vector").agg(
-        F.expr("transform(array_sort(collect_list(struct(first, token))), t -> t.token)").alias("tokens"),
+    """Valid classes: host_key, v1 and v2 (the vector), pages, elements (token, is_once) and texts; host_key HOST_OF_ALL stands for all pages."""
+    rows = _keyed(pages).select("host_key", "page_key", "html").mapInArrow(lambda it: (_token_rows(b) for b in chunks(it, "html")), _ddl(TOKENS))
+    sums = [F.min("is_once").alias("is_once"), *(F.sum(c).alias(c) for c in ("pages", "v1", "v2")), F.expr("bit_or(contents)").alias("contents")]
+    own = written(rows.groupBy("host_key", "token", "is_text").agg(*sums))
+    # vectors add up, so those over all pages are sums of those over hosts
+    every = own.where("not is_text").groupBy("token").agg(*sums).select(F.lit(HOST_OF_ALL).cast("long").alias("host_key"), "token", F.lit(False).alias("is_text"), "is_once", "pages", "v1", "v2", "contents")
+    tokens = own.union(every).where(F.expr(f"bit_count(contents) >= {contents}"))
+    is_element = "not is_text and token <> 0"
+    c = tokens.groupBy("host_key", "v1", "v2").agg(F.max("pages").alias("pages"), F.count_if(F.expr(is_element)).alias("n"))
+    whole = own.where("token = 0 and not is_text").select("host_key", F.col("pages").alias("of_pages"))
+    whole = whole.union(whole.agg(F.lit(HOST_OF_ALL).cast("long").alias("host_key"), F.sum("of_pages").alias("of_pages")))
+    c = c.where("n > 0").join(whole, "host_key").where(F.col("pages") >= F.col("of_pages") * support)
+    # only texts whose vector is that of elements are gathered: no more of them than blocks in a page
+    held = tokens.where("token <> 0").join(c.select("host_key", "v1", "v2"), ["host_key", "v1", "v2"])
+    return held.groupBy("host_key", "v1", "v2").agg(
+        F.max("pages").alias("pages"),
+        F.expr("collect_list(struct(token, is_once)) filter (where not is_text)").alias("elements"),
         F.expr("collect_list(token) filter (where is_text)").alias("texts"),
-        F.min("first").alias("first"),
     )
-    c = c.where(F.size("tokens") >= 2)
-    outer = c.groupBy("host_key").agg(F.min("first").alias("outermost"))
-    return c.join(outer, "host_key").select("host_key", "vector", "tokens", "texts", (F.col("first") == F.col("outermost")).alias("is_outermost"))
 
 
-def own_text(page: str | None, template: frozenset[int] | set[int]) -> str:
-    """The article's blocks that are not part of the template, joined by line feeds."""
-    blocks, _ = parsed(page)
-    kept = [(path, t, article) for path, t, article, off in blocks if not off and not (template and _hash("text", path, t) in template)]
-    if any(article for _, _, article in kept):
-        kept = [b for b in kept if b[2]]
-    return "\n".join(t for _, t, _ in kept)
+@dataclass
+class Template:
+    """What is known of a host: its elements (once a page or not), its texts, and later slots to leave out and shares of text."""
+
+    elements: dict[int, bool]
+    texts: set[int]
+    left_out: set[int] = field(default_factory=set)
+    shares: dict[int, float] = field(default_factory=dict)
+
+
+class Filled:
+    """A page laid over a template: tokens of its elements, its slots, and its own text."""
+
+    def __init__(self, page: Page, template: Template):
+        self.page, self.template = page, template
+        self.tokens = [_hash("tag", e[2]) for e in page.elements]
+        seen: dict[int, int] = {}
+        for t in self.tokens:
+            seen[t] = seen.get(t, 0) + 1
+        self.seen = seen
+        self.apart = []
+        for parent, _, _, apart, _ in page.elements:
+            self.apart.append(apart or parent >= 0 and self.apart[parent])
+        self.own = []  # (block, slot, characters that are no links)
+        for b, (k, last, t, linked) in enumerate(page.blocks):
+            if not (template.texts and _hash("text", page.elements[k][2] if k >= 0 else "", t) in template.texts):
+                self.own.append((b, self.slot(k, last), len(t) - linked))
+
+    def known(self, k: int) -> int:
+        """The innermost element of the template at or around `k`, by token; 0 for none."""
+        return next((self.tokens[e] for e in self.page.around(k) if self.tokens[e] in self.template.elements), 0)
+
+    def slot(self, k: int, last: int) -> int:
+        around, before = self.known(k), self.known(last)
+        return _hash("slot", str(around), str(before))
+
+    def held(self) -> tuple[dict[int, int], int]:
+        """Own characters inside each element, and in all, without what HTML sets apart."""
+        inside: dict[int, int] = {}
+        total = 0
+        for b, _, chars in self.own:
+            k = self.page.blocks[b][0]
+            if not (k >= 0 and self.apart[k]):
+                total += chars
+                for e in self.page.around(k):
+                    inside[e] = inside.get(e, 0) + chars
+        return inside, total
+
+    def text(self) -> str:
+        page, template = self.page, self.template
+        inside, total = self.held()
+
+        def share(e: int) -> float:
+            known = template.shares.get(self.tokens[e])
+            return known if known is not None else inside.get(e, 0) / total if total else 0.0
+
+        def depth(e: int) -> int:
+            return sum(1 for _ in page.around(e))
+
+        def once(e: int) -> bool:
+            return self.seen[self.tokens[e]] == 1 and template.elements.get(self.tokens[e], True)
+
+        main, marked = -1, -1
+        for e in range(len(page.elements)):
+            if not once(e):
+                continue
+            s = share(e)
+            if s >= MARKED and page.elements[e][2].rpartition("/")[2].partition(".")[0] in ("article", "main"):
+                marked = e if marked < 0 or depth(e) > depth(marked) else marked
+            if s >= MAIN and page.elements[e][1] in CONTAINERS:
+                main = e if main < 0 or depth(e) > depth(main) else main
+        if marked >= 0:
+            main = marked
+        elif main >= 0:
+            # a heading beside the main element belongs to it
+            headed = {parent for parent, name, *_ in page.elements if name in ("h1", "h2")}
+            parent = page.elements[main][0]
+            if parent in headed and page.elements[parent][1] not in ("html", "body") and not any(x[1] in ("h1", "h2") and main in page.around(k) for k, x in enumerate(page.elements)):
+                main = parent
+        kept = []
+        for b, slot, _ in self.own:
+            k, _, t, _ = page.blocks[b]
+            if slot in template.left_out:
+                continue
+            for e in page.around(k):
+                if e == main:
+                    kept.append(t)
+                    break
+                if page.elements[e][3] or page.elements[e][1] == "header" and main < 0 or page.elements[e][4] and share(e) < NAMED:
+                    break
+            else:
+                if main < 0:
+                    kept.append(t)
+        return "\n".join(kept)
+
+
+def _templates_of(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None, Template]]:
+    """(key of the template, html, template) of each row; rows of one template that follow each other share it."""
+    before, made = None, None
+    for key, html_, elements, texts, slots, shares in zip(*(batch.column(c).to_pylist() for c in ("key", "html", "elements", "texts", "slots", "shares")), strict=True):
+        if made is None or key != before:
+            made = Template({e["token"]: e["is_once"] for e in elements or ()}, set(texts or ()), set(slots or ()), {s["token"]: s["share"] for s in shares or ()})
+            before = key
+        yield key, html_, made
+
+
+def _fill_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """What fills the slots and elements of the templates in a batch, summed up by template."""
+    out: dict[tuple[int, int, bool], list[int]] = {}
+
+    def count(key: tuple[int, int, bool], chars: int, linked: int, own: int, content: int, of_page: int) -> None:
+        row = out.setdefault(key, [0] * 6)
+        row[0] += 1
+        row[1] += chars
+        row[2] += linked
+        row[3] += own
+        row[4] |= content
+        row[5] |= of_page
+
+    for key, html_, template in _templates_of(batch):
+        if not template.elements:
+            continue
+        f = Filled(parsed(html_), template)
+        inside, total = f.held()
+        page = _bit(_content(f.page))
+        slots: dict[int, list] = {}
+        for b, slot, chars in f.own:
+            own = slots.setdefault(slot, [0, 0, []])
+            t = f.page.blocks[b][2]
+            own[0] += len(t)
+            own[1] += len(t) - chars
+            own[2].append(t)
+        for slot, (chars, linked, texts) in slots.items():
+            count((key, slot, True), chars, linked, 0, _bit(_hash(*texts) & 63), page)
+        elements: dict[int, int] = {}
+        for e, t in enumerate(f.tokens):
+            if template.elements.get(t):
+                elements[t] = inside.get(e, 0)
+        for t, chars in elements.items():
+            count((key, t, False), chars, 0, total, 0, page)
+    return _batch([(*k, *v) for k, v in out.items()], FILLS)
+
+
+def _laid_over(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """page_id, url, html and the template of each page: its host's, or that of all pages."""
+    of = known.select(F.col("host_key").alias("own_key")).where(F.col("own_key") != HOST_OF_ALL)
+    p = _keyed(pages).join(of, F.col("host_key") == F.col("own_key"), "left")
+    p = p.select("page_id", "url", "html", F.coalesce("own_key", F.lit(HOST_OF_ALL).cast("long")).alias("key"))
+    return p.join(known, F.col("key") == F.col("host_key"), "left").select("page_id", "url", "html", "key", "elements", "texts", "slots", "shares")
+
+
+def learned(pages: DataFrame, *, support: float = SUPPORT, contents: int = CONTENTS) -> DataFrame:
+    """A template for each host_key: elements, texts, slots to leave out, and shares of own text by element."""
+    t = templates(pages, support=support, contents=contents).groupBy("host_key").agg(F.flatten(F.collect_list("elements")).alias("elements"), F.flatten(F.collect_list("texts")).alias("texts"))
+    t = written(t)
+    none = t.withColumns({"slots": F.expr("cast(null as array<bigint>)"), "shares": F.expr("cast(null as array<struct<token:bigint,share:double>>)")})
+    rows = _laid_over(pages, none).mapInArrow(lambda it: (_fill_rows(b) for b in chunks(it, "html")), _ddl(FILLS))
+    f = rows.groupBy("host_key", "token", "is_slot").agg(*(F.sum(c).alias(c) for c in ("pages", "chars", "linked", "own")), *(F.expr(f"bit_or({c})").alias(c) for c in ("contents", "of_pages")))
+    # rare slots and elements are judged page by page
+    f = f.where(F.expr(f"bit_count(of_pages) >= {contents}"))
+    boring = f"2 * linked > chars or {contents} * bit_count(contents) <= bit_count(of_pages)"
+    f = f.where(f"not is_slot or {boring}").groupBy("host_key").agg(
+        F.expr("collect_list(token) filter (where is_slot)").alias("slots"), F.expr("collect_list(struct(token, if(own > 0, chars / own, 0D) as share)) filter (where not is_slot)").alias("shares")
+    )
+    return written(t.join(f, "host_key", "left"))
+
+
+def own_text(page: str | None, template: Template | None = None) -> str:
+    """The main text of one page, by a template or by its own elements."""
+    return Filled(parsed(page), template or Template({}, set())).text()
 
 
 def extract(pages: DataFrame, **options: float) -> DataFrame:
     """page_id, url and text of each page."""
-    dropped = written(templates(pages, **options).groupBy("host_key").agg(F.flatten(F.collect_list("texts")).alias("template")).where(F.size("template") > 0))
-    p = _keyed(pages).join(dropped, "host_key", "left").select("page_id", "url", "html", "template")
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(it, "html"):
-            texts = [own_text(h, set(t or ())) for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
+            texts = [own_text(html_, template) for _, html_, template in _templates_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return p.mapInArrow(read, "page_id bigint, url string, text string")
+    return _laid_over(pages, learned(pages, **options)).mapInArrow(read, "page_id bigint, url string, text string")

@@ -1,14 +1,17 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors in one pass: at-signs, plus signs, URL schemes and cue words
-for identifiers. From each anchor a deterministic parser expands to both sides and validates what it
-finds, so text is never searched again from every place of a long run. Digits are their own anchors
-for IP addresses and card numbers.
+An Aho-Corasick automaton finds anchors in one pass: at-signs, plus signs, dots, digits, URL schemes
+and cue words for identifiers and credentials. From each anchor a deterministic parser expands to
+both sides and validates what it finds, so text is never searched again from every place of a long
+run; a dot is the anchor of an IP address, the first digit of a run that of a card number.
 
 Kinds of the fixed patterns: email, ip, card, phone. Added by the method: login (user names before
-the host of a URL), iban, account and ssn (numbers that follow a cue). Spans are code points, end
-exclusive; spans of one kind do not overlap. Defined cases: null counts as empty; rows with equal
-ids are searched one by one; text without an anchor or digit has no spans.
+the host of a URL), iban, account and ssn (numbers that follow a cue) and secret (what is assigned to
+a cue such as token, password or api_key). Spans are code points, end exclusive; spans of one kind do
+not overlap. Defined cases: null counts as empty; rows with equal ids are searched one by one, so
+repeated rows come out repeated; text without an anchor has no spans; an empty table gives no rows;
+texts of any length are searched whole, in work that grows with their length; `personal_data` looks
+at no other columns, `redact` passes them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,22 +27,23 @@ from pyspark.sql import functions as F
 from quillstream.llm.shared import chunks
 
 KINDS = ("email", "ip", "card", "phone")
-ADDED = ("login", "iban", "account", "ssn")
+ADDED = ("login", "iban", "account", "ssn", "secret")
 #: Cue words in lower case and the kind each announces.
 CUES = {"iban": "iban", "account": "account", "acct": "account", "konto": "account", "compte": "account", "cuenta": "account", "ssn": "ssn", "social security": "ssn"}
+CUES |= dict.fromkeys("token secret password passwd passphrase pwd api_key api-key apikey access_key private_key auth_key secret_key client_secret credential bearer".split(), "secret")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
-_DIGIT = re.compile("[0-9]")
-# the first digit of a run stands for all: later ones would fail or match alike
-_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_REST_OF_IP = re.compile(r"\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOGIN = re.compile(r"[^\s/?#@:]{1,64}(?::[^\s/?#@]{0,64})?(?=@[A-Za-z0-9])")
+_LOGIN = re.compile(r"[^\s/?#@:]++(?::[^\s/?#@]*+)?(?=@[A-Za-z0-9])")
 _GAP = r"[\s:#=.\-]{0,4}(?:(?:no|nr|number|num)\b[\s:#=.\-]{0,4})?"
 _AFTER = {
     "iban": re.compile(_GAP + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})", re.I),
     "account": re.compile(_GAP + r"([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])", re.I),
+    # a value in quotes, or one of eight letters or more that holds a digit
+    "secret": re.compile(r"""["']?\s{0,4}(?:[:=]|=>|:=|\bis\b)\s{0,4}(?:"([^"\s]{4,})"|'([^'\s]{4,})'|((?=[^\s0-9]*+[0-9])[^\s"'<>,;()]{8,}))"""),
     "ssn": re.compile(_GAP + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])", re.I),
 }
 
@@ -49,6 +53,9 @@ def _automaton() -> ahocorasick.Automaton:
     a.add_word("@", ("@", 1))
     a.add_word("+", ("+", 1))
     a.add_word("://", ("login", 3))
+    a.add_word(".", ("ip", 1))
+    for digit in "0123456789":
+        a.add_word(digit, ("card", 1))
     for cue, kind in CUES.items():
         for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
             a.add_word(form, (kind, len(form)))
@@ -83,10 +90,23 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     found: dict[str, list[tuple[int, int]]] = {}
-    done = dict.fromkeys(("email", "phone", *ADDED), 0)
+    done = dict.fromkeys((*KINDS, *ADDED), 0)
     for last, (kind, length) in _ANCHORS.iter(text):
         at = last + 1 - length
-        if kind == "@":
+        if kind == "card":
+            if at >= done["card"] and (m := _CARD.match(text, at)):
+                done["card"] = m.end()
+                if m.end() - at >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and _luhn(d):
+                    found.setdefault("card", []).append(m.span())
+        elif kind == "ip":
+            start = at
+            while start > done["ip"] and "0" <= text[start - 1] <= "9":
+                start -= 1
+            if start < at and (m := _REST_OF_IP.match(text, at)):
+                done["ip"] = m.end()
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in text[start : m.end()].split(".")):
+                    found.setdefault("ip", []).append((start, m.end()))
+        elif kind == "@":
             start = at
             while start > done["email"] and text[start - 1] in _LOCAL:
                 start -= 1
@@ -102,16 +122,12 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             if m := _LOGIN.match(text, last + 1):
                 found.setdefault("login", []).append(m.span())
         elif last + 1 >= done[kind] and not (at and text[at - 1].isalnum()) and (m := _AFTER[kind].match(text, last + 1)):
-            start, end = m.span(1)
+            start, end = m.span(m.lastindex)
             if kind == "iban":
                 end = _iban_end(text, start, end)
             if end > start:
                 found.setdefault(kind, []).append((start, end))
                 done[kind] = end
-    if _DIGIT.search(text):
-        ip = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
-        card = [m.span() for m in _CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and _luhn(d)]
-        found |= {k: v for k, v in (("ip", ip), ("card", card)) if v}
     return [(kind, a, b) for kind in (*KINDS, *ADDED) for a, b in found.get(kind, ())]
 
 
@@ -144,7 +160,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def replace(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(it, "text"):
-            at = batch.schema.get_field_index("text")
+            at = batch.schema.names.index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array([redacted(t) for t in batch.column("text").to_pylist()], batch.schema.field(at).type))
 
     return docs.mapInArrow(replace, docs.schema)

@@ -7,7 +7,9 @@ on the same diagonal join to the longest verbatim match. The benchmark is held i
 bounded size, each a broadcast; the corpus is never shuffled for one block.
 
 Defined cases: a null or wordless document has no hits; a benchmark item with a null id or without
-words is left out; rows with the same doc_id are judged one by one; items with one id count once.
+words is left out; rows with the same doc_id are judged one by one, in whatever number of blocks;
+items with one id count once; empty tables of either kind give no hits; texts of any length are
+searched whole, one at a time; other columns are passed on by `decontaminate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,21 +23,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.bytewords import ALNUM_WORDS, words_of
-from quillstream.llm.shared import chunks
+from quillstream.llm.shared import chunks, spare
 
-#: Bytes of benchmark text in a block. One block is broadcast at a time.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in a block; its index takes about 15 times that. One block is broadcast at a time.
+BLOCK_BYTES = 4 << 20
 WINDOW = 13
 HITS = "doc_id bigint, doc_key bigint, n_words bigint, items array<bigint>, spans array<struct<start:bigint,end:bigint>>, longest bigint, longest_start bigint, longest_item bigint"
 
 
 @dataclass
 class Suffixes:
-    """One block of benchmark items, ready to be searched: a row of word ids for each distinct window."""
+    """One block of benchmark items, ready to be searched: a byte string of word ids for each distinct window."""
 
     vocabulary: np.ndarray  # sorted word hashes; a word's id is its place + 1
     spelling: list[bytes]
-    tests: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # width -> rows of ids; for each row its (item, place) list by offset
+    tests: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # width -> least and greatest suffix that begins with each window; its (item, place) list by offset
     window: int
 
     @property
@@ -52,13 +54,15 @@ def suffixes(items: list[tuple[int, str]], window: int = WINDOW) -> Suffixes:
         a, b = w.first[k], w.first[k + 1]
         width = min(window, b - a)
         for p in range(a, b - width + 1) if width else ():
-            by_width.setdefault(int(width), []).append((ids[p : p + width], item, p - a))
+            by_width.setdefault(int(width), []).append((ids[p : p + width].astype(np.uint32), item, p - a))
     tests = {}
     for width, found in by_width.items():
         rows, of = np.unique(np.array([x[0] for x in found]), axis=0, return_inverse=True)
         order = np.argsort(of.ravel(), kind="stable")
         offsets = np.searchsorted(of.ravel()[order], np.arange(len(rows) + 1))
-        tests[width] = rows, np.array([x[1] for x in found])[order], np.array([x[2] for x in found])[order], offsets
+        depth = max(by_width)
+        low = _keys(rows, depth)
+        tests[width] = low, low if width == depth else _keys(rows, depth, 0xFFFFFFFF), np.array([x[1] for x in found])[order], np.array([x[2] for x in found])[order], offsets
     return Suffixes(vocabulary, [w.bytes_at(i) for i in first], tests, window)
 
 
@@ -103,9 +107,9 @@ def search(texts: pa.Array, index: Suffixes) -> tuple[np.ndarray, np.ndarray, np
     order = np.argsort(keys, kind="stable")
     place, keys = place[order], keys[order]  # the suffix array
     out: list[list[np.ndarray]] = [[], [], [], []]
-    for width, (rows, item, at_item, offsets) in index.tests.items():
-        lo = np.searchsorted(keys, _keys(rows, depth), "left")
-        hi = np.searchsorted(keys, _keys(rows, depth, 0xFFFFFFFF), "right")
+    for width, (least, most, item, at_item, offsets) in index.tests.items():
+        lo = np.searchsorted(keys, least, "left")
+        hi = np.searchsorted(keys, most, "right")
         which, k = _ranges(lo, hi)
         if len(k):
             again, j = _ranges(offsets[which], offsets[which + 1])
@@ -184,7 +188,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, bloc
     best = F.max_by(F.struct("longest", "longest_start", "longest_item"), F.struct("longest", -F.col("longest_start"), -F.col("longest_item")))
     out = out.groupBy("doc_id", "doc_key", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), best.alias("b"))
     union = "aggregate(spans, struct(0L as n, 0L as top), (a, s) -> struct(a.n + greatest(s.end - greatest(s.start, a.top), 0L) as n, greatest(a.top, s.end) as top)).n"
-    return out.select("doc_id", "doc_key", "n_words", "items", "b.longest", "b.longest_start", "b.longest_item", F.expr(union).alias("n_hit"))
+    out = out.select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key"), "n_words", "items", "b.longest", "b.longest_start", "b.longest_item", F.expr(union).alias("n_hit"))
+    # back to the rows: those with equal id and text have one result
+    rows = d.select("doc_id", "doc_key").join(out, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("doc_key").eqNullSafe(F.col("_key")))
+    return rows.select("doc_id", "doc_key", "n_words", "items", "longest", "longest_start", "longest_item", "n_hit")
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> F.Column:
@@ -199,8 +206,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     first = next(blocks)
     second = next(blocks, None)
     if second is not None:
-        bad = matches(docs, benchmark, window=window, block_bytes=block_bytes).where(contaminated()).select(F.col("doc_id").alias("_bad_id"), F.col("doc_key").alias("_bad_key")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_key")), "left_anti")
+        bad_id, bad_key = spare(docs, "_bad_id"), spare(docs, "_bad_key")
+        bad = matches(docs, benchmark, window=window, block_bytes=block_bytes).where(contaminated()).select(F.col("doc_id").alias(bad_id), F.col("doc_key").alias(bad_key)).distinct()
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad[bad_id]) & (F.xxhash64(docs["text"].cast("string")) == bad[bad_key]), "left_anti")
     held = spark.sparkContext.broadcast(first)
 
     def clean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

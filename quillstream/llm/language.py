@@ -8,7 +8,9 @@ letters in its spans (ties: the first in sorted order), its score that language'
 The model is fitted on a bounded number of labelled rows (`sample_rows`, chosen by a hash of the
 id); its size is languages x 65,536 counts. Defined cases: null text, or text without a letter, is
 `und` with score 0; a script that no language was learned in speaks for none; without labelled rows
-all is `und`; rows with a null id are predicted but never learned from.
+all is `und`; rows with a null id are predicted but never learned from; rows with equal ids are
+labelled one by one; an empty table gives no rows; texts of any length are labelled whole, in memory
+of words x languages; other columns are passed on by `keep_identified`, whatever their names.
 """
 
 from __future__ import annotations
@@ -119,7 +121,7 @@ def _paths(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
         return out
     start, size = first[:-1][mixed], sizes[mixed]
     best = scores[start].astype(np.float64)
-    back = np.zeros((int(size.sum()), kinds), np.int8)
+    back = np.zeros((int(size.sum()), kinds), np.min_scalar_type(kinds))
     at, steps = 0, []
     for t in range(1, int(size[0])):
         live = int(np.searchsorted(-size, -t, "left"))  # those of more than t words

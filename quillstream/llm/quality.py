@@ -6,7 +6,9 @@ those counts gives, for each rule and class, how often it votes good, bad or not
 probability that a document is good. There are no labels and there is no sampling.
 
 Defined cases: null text counts as empty; a document without words has zeros everywhere and fails;
-rows with equal ids are judged one by one; an empty table has no patterns and no rows.
+rows with equal ids are judged one by one; an empty table has no patterns and no rows; texts of any
+length are counted whole, and no rule asks for more or less of a long text; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from quillstream.llm.shared import written
 
 SPACE = r"[\\x20\\x09-\\x0D]"
-WINDOW = 8
+WINDOW, STRETCH = 8, 50
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -41,7 +43,9 @@ def statistics(docs: DataFrame) -> DataFrame:
     # hashes of 1, 2, 4 and 8 neighbouring words
     for step in (1, 2, 4):
         of = f"h, {{}}, greatest(size(h) - {step}, 0)"
-        d = d.withColumn("n_distinct", F.size(F.array_distinct("h")).cast("long")) if step == 1 else d
+        if step == 1:  # distinct words of every stretch of so many words, which do not get fewer in a long text
+            varied = f"aggregate(sequence(1, greatest(size(h), 1), {STRETCH}), 0L, (n, i) -> n + size(array_distinct(slice(h, i, {STRETCH}))))"
+            d = d.withColumn("n_varied", F.expr(varied))
         d = d.withColumn("h", F.expr(f"zip_with(slice({of.format(1)}), slice({of.format(1 + step)}), (a, b) -> xxhash64(a, b))"))
     # most documents have no window twice; only the others are sorted
     d = d.withColumn("h", F.expr("if(size(array_distinct(h)) < size(h), sort_array(transform(h, (x, i) -> struct(x, i))), null)"))
@@ -69,7 +73,7 @@ RULES: dict[str, tuple[str, str]] = {
     "upper_case": ("n_upper > 0.4 * word_chars", "false"),
     "sentences": ("n_words >= 40 and 100 * n_stops < n_words", "40 * n_stops >= n_words and 4 * n_stops <= n_words"),
     "shouting": ("2 * n_stops > n_words and n_words >= 20", "false"),
-    "variety": ("n_words >= 40 and 5 * n_distinct < n_words and n_words < 5000", "n_words >= 20 and 5 * n_distinct >= 2 * n_words"),
+    "variety": ("n_words >= 40 and 10 * n_varied < 3 * n_words", "n_words >= 20 and 2 * n_varied >= n_words"),
 }
 #: What is believed of every rule before any document is seen, and the share of all documents that this belief weighs.
 BELIEF = {"good": {-1: 0.005, 1: 0.5}, "bad": {-1: 0.3, 1: 0.3}}

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, jaccard, language, line_dedup, main_text, pieces, quality, token_counts, url_filter
+from quillstream.llm import decontaminate, jaccard, language, line_dedup, main_text, personal_data, pieces, quality, token_counts, url_filter
 from quillstream.llm import components as cc
 from quillstream.llm.queries import vocabulary
 
@@ -37,6 +37,18 @@ def prose(rng, n, words=WORDS):
 ODD = [(900, None, "en"), (901, "", "en"), (902, " \n\t ", None), (903, "one", "en"), (None, "two words", "en"), (904, "x " * 3000, "en")]
 
 
+def test_repeated_rows_stay_in_several_blocks(spark):
+    b = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(8)], "item_id long, text string")
+    text = " ".join(f"w1x{j}" for j in range(20))
+    d = spark.createDataFrame([(1, text, 5), (1, text, 6), (2, "other words", 7), (None, None, 8)], "doc_id long, text string, _bad_id int")
+    results = []
+    for block_bytes in (1 << 20, 100):
+        results.append(sorted((str(r.doc_id), r.n_words, r.n_hit, r.longest, r.longest_start, r.longest_item) for r in decontaminate.matches(d, b, block_bytes=block_bytes).collect()))
+        kept = decontaminate.decontaminate(d, b, block_bytes=block_bytes)
+        assert kept.columns == d.columns and sorted(r["_bad_id"] for r in kept.collect()) == [7, 8]
+    assert results[0] == results[1] == [("1", 20, 20, 20, 0, 1), ("1", 20, 20, 20, 0, 1), ("2", 2, 0, 0, None, None), ("None", 0, 0, 0, None, None)]
+
+
 def test_decontamination_is_that_of_brute_force(spark):
     rng = random.Random(4)
     bench = [(k, prose(rng, rng.randint(5, 40))) for k in range(12)] + [(None, "the of and"), (50, None), (51, "!!"), (3, "Only Three Words")]
@@ -313,6 +325,25 @@ def test_language_on_held_out_rows(spark):
     assert [r.lang_pred for r in language.identify(mixed, empty).collect()] == ["und"]
 
 
+def test_variety_does_not_depend_on_length(spark):
+    few = [f"word{k}" for k in range(12)]
+    rng = random.Random(1)
+    rows = [(n, " ".join(rng.choice(few) for _ in range(n)), "en") for n in (200, 4990, 5010, 20_000)]
+    got = quality.judged(docs(spark, rows)).select("vote_variety").collect()
+    assert [r[0] for r in got] == [-1] * 4
+
+
+def test_personal_data_of_tables(spark):
+    rows = [(1, None, "x"), (2, "", "x"), (3, "mail a.b@c.de", "x"), (3, "mail a.b@c.de", "x"), (None, 'token = "04dbebab91ab85687d33"', None), (4, "a" * 300_000 + " 1.2.3.4 " + "9" * 100_000, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, found string")
+    got = sorted((str(r.doc_id), [tuple(s) for s in r.found]) for r in personal_data.personal_data(d).collect())
+    assert got == [("1", []), ("2", []), ("3", [("email", 5, 13)]), ("3", [("email", 5, 13)]), ("4", [("ip", 300_001, 300_008)]), ("None", [("secret", 9, 29)])]
+    clean = personal_data.redact(d)
+    assert clean.columns == d.columns
+    assert sorted(str(r.text)[:30] for r in clean.collect() if r.doc_id != 4) == ["", "None", "mail <email>", "mail <email>", 'token = "<secret>"']
+    assert personal_data.personal_data(d.limit(0)).count() == 0
+
+
 def test_pages_verdicts(spark):
     rows = [(1, "http://A.com/x", '<a href="http://B.org/x">'), (2, "http://b.org/q", "<a href=https://c.net/es/>x</a>"), (3, "http://c.net/es/1", None), (4, None, None), (5, "nourl", "x"), (6, "http://www.EXAMPLE.com/en/?q", ""), (7, "http://x.example.com/en/", ""), (8, "http://A.com?x", "")]
     got = {r.page_id: r for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
@@ -346,8 +377,80 @@ def test_template_text_is_left_out(spark):
     assert got[3] == "Own text 3 is here"
     assert got[100] == "Own text 0 is here\nShare on all networks"  # copies of one page make no template
     assert got[200] == ""
-    classes = main_text.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert any(c.is_outermost for c in classes)
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def unnamed_page(rng, k, layout=0):
+    """A page whose menu, notice and foot have no telling names: only the template tells them from the text."""
+    paragraphs = [prose(rng, rng.randint(20, 60)).replace("\n", " ") for _ in range(rng.randint(1, 5))]
+    menu = "".join(f"<div class=k1><a href=/{w}>{w} {k % 7}</a></div>" for w in WORDS[:6])
+    notice = "<div class=k2>This is a notice that all pages of the site show.</div>"
+    foot = f"<div class=k9>Number {k} of all pages</div>"
+    body = "".join(f"<p>{x}</p>" for x in paragraphs)
+    if layout:
+        page = f"<html><body><table><tr><td class=k5>{menu}</td><td class=k6><h2>Title {k}</h2>{body}{notice}</td></tr></table>{foot}</body></html>"
+    else:
+        page = f"<html><body><div class=k0>{menu}</div><div class=k4><h1>Title {k}</h1>{notice}{body}</div>{foot}</body></html>"
+    return page, "\n".join([f"Title {k}", *(" ".join(x.split()) for x in paragraphs)])
+
+
+def test_slots_tell_text_from_unnamed_boilerplate(spark):
+    rng = random.Random(6)
+    made = [unnamed_page(rng, k, k % 2) for k in range(60)]
+    rows = [(k, f"http://two-layouts.org/{k}", made[k][0]) for k in range(60)]
+    small = [unnamed_page(rng, 100 + k, k % 2) for k in range(6)]  # six hosts of one page each, like the others
+    rows += [(100 + k, f"http://small{k}.org/", small[k][0]) for k in range(6)]
+    got = {r.page_id: r.text for r in main_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[k] == made[k][1] for k in range(60))
+    notice = "This is a notice that all pages of the site show."
+    for k in range(6):  # the template of all pages knows the elements, but no host's texts
+        lines = [x for x in got[100 + k].split("\n") if x != notice]
+        assert "\n".join(lines) == small[k][1]
+    assert sum(main_text.own_text(made[k][0]) != got[k] for k in range(60)) > 50  # without a template most pages come out otherwise
+    twice = {(r.page_id, r.text) for r in main_text.extract(spark.createDataFrame(rows[:60] * 2, PAGES)).collect()}
+    assert twice == {(k, made[k][1]) for k in range(60)}
+
+
+def test_names_decide_on_little_text_only():
+    read = main_text.own_text
+    assert read('<body><main class="content no-sidebar"><p>All of the text.</p></main></body>') == "All of the text."
+    assert read('<article class="post has-related"><p>Some text of an article here.</p><div class="market-share">Shares of the market</div></article>').endswith("Shares of the market")
+    assert read('<body><div class="comments"><p>' + "long text " * 50 + '</p></div></body>').startswith("long text")
+    assert read('<article><p>' + "long text " * 50 + '</p><div class="post-comments"><p>nice one</p></div><div id="sidebar-left">x</div></article>') == ("long text " * 50).strip()
+
+
+def test_classes_are_those_of_brute_force(spark):
+    rng = random.Random(16)
+    rows = [(k, f"http://h{k % 3}.org/{k}", unnamed_page(rng, k, k % 2)[0]) for k in range(90)]
+    vectors = {}
+    for k, url, page in rows:
+        p = main_text.parsed(page)
+        for host in (url[7:9], "all"):
+            for path, n in Counter(e[2] for e in p.elements).items():
+                vectors.setdefault((host, False, path), {})[k] = n
+            if host != "all":
+                for (e, _, t, _), n in Counter(p.blocks).items():
+                    key = vectors.setdefault((host, True, p.elements[e][2] + "\x1f" + t), {})
+                    key[k] = key.get(k, 0) + n
+    content = {k: main_text._content(main_text.parsed(page)) for k, _, page in rows}
+    classes = defaultdict(lambda: [0, 0])
+    for (host, is_text, _), v in vectors.items():
+        if len(v) >= (18 if host == "all" else 6) and len({content[k] for k in v}) >= 8:
+            classes[host, tuple(sorted(v.items()))][is_text] += 1
+    expected = sorted((len(v), n, m) for (_, v), (n, m) in classes.items() if n)
+    found = main_text.templates(spark.createDataFrame(rows, PAGES), contents=8, support=0.2).collect()
+    assert sorted((r.pages, len(r.elements), len(r.texts)) for r in found) == expected and len(expected) > 8
+
+
+def test_main_text_of_odd_tables(spark):
+    assert main_text.extract(spark.createDataFrame([], PAGES)).count() == 0
+    long = "<article>" + "".join(f"<p>Paragraph {k} of many.</p>" for k in range(20_000)) + "</article>"
+    rows = [(1, None, "<p>a</p>", 1), (1, None, "<p>a</p>", 2), (None, "x", None, 3), (2, "http://h.org/", "", 4), (3, "http://h.org/", long, 5)]
+    got = main_text.extract(spark.createDataFrame(rows, PAGES + ", elements int")).collect()
+    assert sorted((str(r.page_id), len(r.text)) for r in got)[:4] == [("1", 1), ("1", 1), ("2", 0), ("3", len(main_text.own_text(long)))]
+    assert max(r.text.count("\n") for r in got) == 19_999
 
 
 def test_counts_and_pieces_of_tables(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -52,6 +53,46 @@ def test_added_spans_and_redaction():
     assert personal_data.find_spans("IBAN GB82 WEST 1234 5698 7654 33") == []
 
 
+def test_secrets_and_long_logins():
+    cases = {'TOKEN = "9233A8ECF7C5"': "9233A8ECF7C5", "password: hunter22x": "hunter22x", "api_key='abcd1234'": "abcd1234", "secret=>s3cr3tvalue,": "s3cr3tvalue", "Bearer: 12345678": "12345678"}
+    for text, value in cases.items():
+        assert [(k, text[a:b]) for k, a, b in personal_data.find_spans(text) if k == "secret"] == [("secret", value)]
+    for text in ("the secret of success", "tokens = 3", "a password is needed", "mytoken = 12345678"):
+        assert not [s for s in personal_data.find_spans(text) if s[0] == "secret"]
+    assert personal_data.find_spans("http://" + "u" * 70 + ":p@x.org")[-1] == ("login", 7, 79)
+
+
+def test_many_languages_keep_their_numbers():
+    n = 200
+    scores = np.full((6, n), -50.0, np.float32)
+    scores[:3, 150] = scores[3:, 180] = 0.0
+    assert language._paths(scores, np.array([0, 6]), 1.0).tolist() == [150] * 3 + [180] * 3
+
+
+@pytest.fixture(scope="module")
+def sp():
+    return pieces.load(vocabulary("piece_bpe_32k.model"))
+
+
+def test_words_searched_together_and_alone_are_alike(sp):
+    rng = random.Random(4)
+    letters = "etaoinshrdlu" * 4 + "ABCxyz.,'-0189éßждあ漢😀\ud800" + pieces.SPACE
+    words = [pieces.SPACE * rng.randint(0, 2) + "".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    ids, numbers = sp.best(words)
+    for w, i, (n, score, gap) in zip(words, ids, numbers.tolist(), strict=True):
+        assert (i, score, gap) == sp.second(w) and n == len(i) // 4
+
+
+def test_alternatives_of_a_very_long_word(sp):
+    rng = random.Random(5)
+    w = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    tracemalloc.start()
+    ids, score, others = pieces.encode(w, sp)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert pieces.decode(ids, sp) == w and len(others) == pieces.N_BEST - 1 and all(s <= score for s, _ in others)
+
+
 @pytest.fixture(scope="module")
 def bpe():
     return token_counts.load(vocabulary("word_bpe_49k.json"))

@@ -15,8 +15,10 @@
    are never written out.
 
 Defined cases: null or wordless text has an empty set, linked with nothing; a text of fewer words
-than a shingle is one shingle; rows with equal ids and sets are one document, rows with equal ids
-and different sets share a component only by their id.
+than a shingle is one shingle; rows with equal ids and sets are one document; rows with equal ids
+and different sets are linked by their id, each with what it is near to; rows with a null id are
+linked with nothing; an empty table gives no rows; texts of any length are taken whole, one at a time;
+`keep_one_each` passes other columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.bytewords import SPACE_WORDS, shingles, words_of
 from quillstream.llm.components import components
-from quillstream.llm.shared import chunks, written
+from quillstream.llm.shared import chunks, spare, written
 
 SLOT_BITS = 18
 #: Members of a cluster that are compared with each other at once.
@@ -67,8 +69,9 @@ def slot_counts(d: DataFrame, n: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, *, n: int, percent: int) -> DataFrame:
-    """doc_id, size, two hashes of the set, its prefix and its bitmap."""
+    """doc_id, a hash of the text, size, two hashes of the set, its prefix and its bitmap."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = d.withColumn("text_key", F.xxhash64("text"))
     held = d.sparkSession.sparkContext.broadcast(slot_counts(d, n))
 
     def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,11 +91,11 @@ def features(docs: DataFrame, *, n: int, percent: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(bits, pa.binary())],
-                names=["doc_id", "size", "set1", "set2", "prefix", "bits"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(bits, pa.binary())],
+                names=["doc_id", "text_key", "size", "set1", "set2", "prefix", "bits"],
             )
 
-    return d.mapInArrow(describe, "doc_id bigint, size bigint, set1 bigint, set2 bigint, prefix array<bigint>, bits binary")
+    return d.mapInArrow(describe, "doc_id bigint, text_key bigint, size bigint, set1 bigint, set2 bigint, prefix array<bigint>, bits binary")
 
 
 def _parts(near: np.ndarray) -> np.ndarray:
@@ -256,14 +259,18 @@ def _dealt(members: DataFrame, queries: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) for each row of `docs`."""
     f = written(features(docs, n=n, percent=percent))
-    sets = f.where("size > 0 and doc_id is not null").groupBy("size", "set1", "set2").agg(F.min("doc_id").alias("rep"))
-    sets = written(sets)
+    full = f.where("size > 0 and doc_id is not null")
+    sets = written(full.groupBy("size", "set1", "set2").agg(F.min("doc_id").alias("named")))
+    # a set goes by the least id that has it; of several sets of such an id each goes by a hash
+    several = sets.groupBy("named").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("named", F.lit(True).alias("shared"))
+    node = F.when(F.col("shared"), F.xxhash64("named", "size", "set1", "set2", F.lit("set"))).otherwise(F.col("named"))
+    sets = written(sets.join(several, "named", "left").select("size", "set1", "set2", "named", node.alias("rep")))
     whole = f.where("bits is not null").withColumn("prefix_hash", F.xxhash64("prefix"))
-    whole = whole.join(sets, ["size", "set1", "set2"]).where("doc_id = rep").dropDuplicates(["doc_id", "size", "set1", "set2"])
-    whole = whole.select("rep", "size", "prefix", "prefix_hash", "bits")
+    whole = whole.join(sets, ["size", "set1", "set2"]).where("doc_id = named").dropDuplicates(["rep"])
+    whole = whole.select("rep", "named", "text_key", "size", "prefix", "prefix_hash", "bits")
     groups = whole.groupBy("size", "prefix_hash").agg(F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members"))
-    members = written(whole.select("rep", "size", "prefix_hash").join(groups, ["size", "prefix_hash"]).select("rep", "gid", "members"))
-    heads = whole.join(members.where("rep = gid"), "rep").select("gid", "size", "prefix", F.when(F.col("members") == 1, F.col("bits")).alias("bits"))
+    members = written(whole.select("rep", "named", "text_key", "size", "prefix_hash").join(groups, ["size", "prefix_hash"]).select("rep", "named", "text_key", "gid", "members"))
+    heads = whole.join(members.where("rep = gid").select("rep", "gid", "members"), "rep").select("gid", "size", "prefix", F.when(F.col("members") == 1, F.col("bits")).alias("bits"))
     heads = written(heads)
     listed = heads.select("gid", F.explode("prefix").alias("token"))
     often = listed.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.min("gid").alias("head")).where("groups > 1")
@@ -273,11 +280,11 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFr
     links = links.union(listed.where(F.col("groups") > BUCKET).select("gid", "head"))
     own = members.where("members > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     clusters = components(links.union(own))
-    c = members.join(clusters, members["gid"] == clusters["id"]).select(F.col("rep").alias("doc_id"), F.col("component").alias("cluster"))
+    c = members.join(clusters, members["gid"] == clusters["id"]).select(F.col("rep").alias("doc_id"), "named", "text_key", F.col("component").alias("cluster"))
     sized = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("shares", F.expr(f"(m + {SHARE} - 1) div {SHARE}"))
     c = c.join(sized, "cluster").withColumn("h", F.xxhash64("doc_id"))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    c = d.join(c, "doc_id").withColumn("share", F.pmod("h", F.col("shares"))).dropDuplicates(["doc_id"])
+    d = docs.select(F.col("doc_id").cast("long").alias("named"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    c = d.join(c, ["named", "text_key"]).drop("named", "text_key").withColumn("share", F.pmod("h", F.col("shares"))).dropDuplicates(["doc_id"])
     c = written(c)
     first = c.where(F.col("m") <= BLOCK).select("cluster", "doc_id", F.lit(0).cast("long").alias("block"))
     large = c.where(F.col("m") > BLOCK).select("cluster", "doc_id", "h", "m")
@@ -293,10 +300,17 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFr
         left = written(_blocks(left))
         in_left = c.where(F.col("m") > BLOCK).select("cluster", "doc_id", "share", "shares", "text")
         edges = written(edges.union(_verified(_dealt(in_left, left), n, percent)))
-    parts = components(edges.select("a", "b"))
-    named = sets.join(parts, sets["rep"] == parts["id"], "left").select("size", "set1", "set2", F.coalesce("component", "rep").alias("component_id"))
+    # ids with several sets link them
+    apart = full.groupBy("doc_id").agg(*(agg(c).alias(f"{name}_{c}") for c in ("size", "set1", "set2") for name, agg in (("least", F.min), ("most", F.max))))
+    apart = apart.where(" or ".join(f"least_{c} <> most_{c}" for c in ("size", "set1", "set2"))).select("doc_id")
+    own = full.join(apart, "doc_id").join(sets, ["size", "set1", "set2"])
+    first = own.groupBy("doc_id").agg(F.min("rep").alias("first"))
+    parts = written(components(edges.select("a", "b").union(own.join(first, "doc_id").select("rep", "first"))))
+    named = sets.join(parts, sets["rep"] == parts["id"], "left").select("size", "set1", "set2", "named", F.coalesce("component", "rep").alias("component"))
+    least = named.groupBy("component").agg(F.min("named").alias("component_id"))
+    named = named.join(least, "component").select("size", "set1", "set2", "component_id")
     empty = f.where("size = 0 or doc_id is null").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return f.where("size > 0 and doc_id is not null").join(named, ["size", "set1", "set2"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id").union(empty)
+    return full.join(named, ["size", "set1", "set2"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id").union(empty)
 
 
 def _blocks(queries: DataFrame) -> DataFrame:
@@ -313,5 +327,6 @@ def _blocks(queries: DataFrame) -> DataFrame:
 def keep_one_each(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
     """One document of each component, the one that names it, and all documents without shingles; columns as they are."""
     near = near_duplicates(docs, n=n, percent=percent)
-    gone = written(near.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).dropDuplicates())
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = spare(docs, "_gone")
+    gone = written(near.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).dropDuplicates())
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

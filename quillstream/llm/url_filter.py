@@ -2,13 +2,17 @@
 
 Hosts whose pages the rules allow are trusted seeds, hosts whose pages they block are distrusted
 ones, weighted by the share of their pages. Personalised PageRank carries trust along links and
-distrust against them; links are counted per pair of hosts before anything is joined, and a host is
-also linked with the host that its own name lies under. A host is blocked whose distrust exceeds its
-trust by more than a threshold, in units of an even share over all hosts.
+distrust against them; links are counted per pair of hosts before anything is joined, and hosts
+that are only linked to are nodes too. Links are absolute, without a scheme, or relative to a base of
+another host. With `kin` above 0 a host is also linked, by that weight, each way with the host that
+its own name lies under: such edges are no links, but sites that share a name share an owner. A host
+is blocked whose distrust exceeds its trust by more than a threshold, in units of an even share over
+all hosts.
 
 Defined cases: a null URL or one without :// has an empty host and path and fits no rule; a null page
 has no links; a host without seeds and links around it is allowed; pages with equal ids are judged
-one by one; without pages there are no rows.
+one by one, repeated rows count as pages; an empty table gives no rows; pages of any length are
+searched whole, for links only; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,6 +28,12 @@ from quillstream.llm.shared import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Share of a host's score that it passes on, rounds between two writes, and the share of the threshold that a score may be off.
 DAMPING, AT_ONCE, ENOUGH = 0.85, 4, 1e-2
+#: Weight of an edge between a host and the one its name lies under, in links; 0 for no such edges.
+KIN = 1.0
+#: Links in a page, those that name a host, and the base of the others.
+HREF = r"""(?i)<(?!base\b|link\b)[a-z][^>]*?\shref\s*+=\s*+["']?\s*+([^"'\s>]++)"""
+ABSOLUTE = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*+:)?//"
+BASE = r"""(?i)<base\b[^>]*?\shref\s*+=\s*+["']?\s*+([^"'\s>]++)"""
 #: Distrust over trust, in even shares, beyond which a host is blocked.
 THRESHOLD = 0.5
 
@@ -68,19 +78,40 @@ def ruled(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return p.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"))
 
 
-def host_links(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(src, dst, n): links between different hosts of `hosts`, counted, and one each way between a host and its parent."""
+def linked_hosts(pages: DataFrame) -> DataFrame:
+    """(src, dst, n): links between different hosts, counted."""
+    html = F.col("html").cast("string")
     host, _ = host_and_path(F.col("url").cast("string"))
-    to, _ = host_and_path(F.col("link"))
-    found = F.regexp_extract_all(F.col("html").cast("string"), F.lit(r"""(?i)\bhref\s{0,8}=\s{0,8}["']?([a-z][a-z0-9+.\-]{0,15}://[^"'\s>]+)"""), F.lit(1))
-    links = pages.select(host.alias("src"), F.explode(found).alias("link")).select("src", to.alias("dst")).where("src <> dst and src <> '' and dst <> ''")
-    links = links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    known = hosts.select(F.col("host").alias("dst"))
+    base, _ = host_and_path(_with_scheme(F.regexp_extract(html, BASE, 1)))
+    p = pages.select(host.alias("src"), base.alias("base"), F.regexp_extract_all(html, F.lit(HREF), F.lit(1)).alias("links")).where("src <> '' and links is not null")
+    p = p.select("src", "base", F.explode("links").alias("link"))
+    absolute = F.col("link").rlike(ABSOLUTE)
+    to, _ = host_and_path(_with_scheme(F.col("link")))
+    # what is neither absolute nor of another scheme is relative to the base
+    p = p.select("src", F.when(absolute, to).when(~F.col("link").rlike(r"^(?:#|[A-Za-z][A-Za-z0-9+.\-]*+:)"), F.col("base")).alias("dst"))
+    return p.where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _with_scheme(url: Column) -> Column:
+    return F.when(url.startswith("//"), F.concat(F.lit("http:"), url)).otherwise(url)
+
+
+def kin_of(hosts: DataFrame) -> DataFrame:
+    """(src, dst): a host and the one its name lies under, if that is a host here, each way."""
     up = hosts.select(F.col("host").alias("src"), F.expr("substring(host, instr(host, '.') + 1, length(host))").alias("dst")).where("instr(src, '.') > 0")
-    up = up.join(known, "dst", "left_semi").select("src", "dst")
-    kin = up.union(up.select("dst", "src")).withColumn("n", F.lit(1).cast("long"))
-    both = links.join(known, "dst", "left_semi").select("src", "dst", "n").union(kin)
-    return both.groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    up = up.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return up.union(up.select("dst", "src"))
+
+
+def host_graph(pages: DataFrame, hosts: DataFrame, kin: float = KIN) -> tuple[DataFrame, DataFrame]:
+    """All hosts (host, allowed, blocked) and edges between them (src, dst, n)."""
+    links = written(linked_hosts(pages))
+    ends = links.select(F.col("dst").alias("host")).distinct().join(hosts, "host", "left_anti")
+    nodes = written(hosts.select("host", "allowed", "blocked").union(ends.select("host", F.lit(0.0), F.lit(0.0))))
+    edges = links.select("src", "dst", F.col("n").cast("double").alias("n"))
+    if kin > 0:
+        edges = edges.union(kin_of(nodes).withColumn("n", F.lit(float(kin)))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    return nodes, edges
 
 
 def propagated(hosts: DataFrame, links: DataFrame, *, damping: float = DAMPING, rounds: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -110,11 +141,11 @@ def propagated(hosts: DataFrame, links: DataFrame, *, damping: float = DAMPING,
     return scaled.groupBy("host").agg(F.max(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"), F.max(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust"))
 
 
-def judged(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judged(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, kin: float = KIN) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of each page."""
     p = written(ruled(pages, rules))
     share = lambda v: F.avg(F.when(F.col("ruled") == v, 1.0).otherwise(0.0))
     hosts = written(p.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")))
-    scores = propagated(hosts, host_links(pages, hosts), threshold=threshold)
+    scores = propagated(*host_graph(pages, hosts, kin), threshold=threshold)
     own = F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow")
     return p.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

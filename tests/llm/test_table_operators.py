@@ -144,6 +144,18 @@ def test_near_duplicates_of_nothing(spark):
     assert sorted((str(r.doc_id), r.component_id) for r in jaccard.near_duplicates(docs(spark, rows)).collect()) == [("1", 1), ("2", 2), ("2", 2), ("None", None)]
 
 
+def test_ids_with_several_texts_lose_no_link(spark):
+    rng = random.Random(19)
+    a, b, c = (prose(rng, 100) for _ in range(3))
+    near = lambda t: t + " more"
+    rows = [(1, a, "en"), (1, b, "en"), (7, near(a), "en"), (9, near(b), "en"), (5, near(c), "en"), (12, c, "en"), (12, near(near(a)), "en"), (20, prose(rng, 50), "en"), (20, prose(rng, 50), "en")]
+    got = {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {(1, 1), (7, 1), (9, 1), (12, 1), (5, 1), (20, 20)}
+    own = spark.createDataFrame([(1, a, 0, 0), (2, a, 1, 1)], "doc_id long, text string, _gone int, rep int")
+    kept = jaccard.keep_one_each(own)
+    assert kept.columns == own.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 40), (60, 60)], "a long, b long")
     got = {r.id: r.component for r in cc.components(e).collect()}
@@ -362,6 +374,63 @@ def test_propagation_is_personalised_pagerank(spark):
     assert got["b"].distrust > got["a"].distrust
 
 
+def power_iteration(names, seeds, edges, damping=0.85):
+    """PageRank of restarts at the seeds, with what has nowhere to go lost, scaled to the number of hosts."""
+    total = sum(seeds.values())
+    start = {h: seeds.get(h, 0.0) / total for h in names}
+    out = Counter()
+    for (a, _), n in edges.items():
+        out[a] += n
+    rank = dict(start)
+    for _ in range(300):
+        new = {h: (1 - damping) * start[h] for h in names}
+        for (a, b), n in edges.items():
+            new[b] += damping * rank[a] * n / out[a]
+        rank = new
+    whole = sum(rank.values())
+    return {h: r / whole * len(names) for h, r in rank.items()}
+
+
+def test_link_graph_is_that_of_brute_force(spark):
+    rng = random.Random(14)
+    names = [f"h{k}.{t}" for k in range(12) for t in ("com", "net", "org")]
+    rows, edges = [], Counter()
+    for k in range(150):
+        host = rng.choice(names)
+        targets = [rng.choice([*names, "only-linked.io", "sub.only-linked.io"]) for _ in range(rng.randint(0, 4))]
+        forms = ['<a class=x href="http://{}/p">', "<a href='//{}'>", "<a title=y HREF = HTTPS://{}/>"]
+        html = "".join(rng.choice(forms).format(t.upper() if rng.random() < 0.2 else t) for t in targets) + '<a href="/own"><a href="mailto:a@b.c"><link href="http://style.org/x">'
+        if k % 10 == 0:
+            base = rng.choice(names)
+            html = f'<base href="//{base}/d/">' + html
+            targets.append(base)
+        for t in targets:
+            edges[host, t] += t != host
+        rows.append((k, f"https://{host}/{rng.choice(['en', 'es', 'fr'])}/{k}", html))
+    edges = Counter({e: n for e, n in edges.items() if n})
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {(r.src, r.dst): r.n for r in url_filter.linked_hosts(pages).collect()} == dict(edges)
+    got = {r.page_id: r for r in url_filter.judged(pages, kin=0).collect()}
+    every = {r[1].split("/")[2] for r in rows} | {b for _, b in edges}
+    share = {"allow": Counter(), "block": Counter()}
+    of = Counter(r[1].split("/")[2] for r in rows)
+    for k, url, _ in rows:
+        host, lang = url.split("/")[2:4]
+        ruled = "allow" if host.endswith("com") else "block" if host.endswith("net") and lang != "en" else None
+        if ruled:
+            share[ruled][host] += 1 / of[host]
+    trust = power_iteration(every, share["allow"], edges)
+    distrust = power_iteration(every, share["block"], Counter({(b, a): n for (a, b), n in edges.items()}))
+    for k, url, _ in rows:
+        host = url.split("/")[2]
+        assert abs(got[k].trust - trust[host]) < 0.01 and abs(got[k].distrust - distrust[host]) < 0.01
+        if got[k].rule is None and abs(distrust[host] - trust[host] - 0.5) > 0.02:
+            assert got[k].verdict == ("block" if distrust[host] - trust[host] > 0.5 else "allow")
+    assert url_filter.kin_of(spark.createDataFrame([("a.b",), ("b",), ("c.b",), ("x.y",)], "host string")).count() == 4
+    twice = url_filter.judged(spark.createDataFrame(rows * 2, "page_id long, url string, html string"), kin=0)
+    assert twice.count() == 300 and url_filter.judged(pages.limit(0)).count() == 0
+
+
 def test_trust_reaches_far_hosts(spark):
     hosts = spark.createDataFrame([(f"h{i}", float(i == 0), 0.0) for i in range(41)], "host string, allowed double, blocked double")
     links = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(40)], "src string, dst string, n long")

@@ -13,7 +13,7 @@ MUST, ALSO, FLOOR_SCORE, FLOOR = 4.2, 3.4, 2.0, 3
 TIERS = ("top", "prelims", "more")
 
 
-def with_signals(items: DataFrame, table: DataFrame) -> DataFrame:
+def with_signals(items: DataFrame, table: list[rules.Rule]) -> DataFrame:
     """Adds event and talk: how much of a development or of comment a title reports."""
     s = rules.weighted_terms(items, table, {"title": 1.0})
     s = s.groupBy("id").agg(F.max(F.when(F.col("bucket") == "event", F.col("score"))).alias("event"), F.max(F.when(F.col("bucket") == "talk", F.col("score"))).alias("talk"))

@@ -1,7 +1,7 @@
 """Weighted-term rules over token tables: scores, grades, tags and how coverage lifts a story.
 
-Rules are small tables (bounded by the configuration, not by the data) and are broadcast; items are
-exploded to tokens once and joined with all rules at the same time.
+Rules are small tables, bounded by the configuration and not by the data. The words of an item are
+cut down to those that a rule names before anything is exploded or joined, in one pass over all fields.
 """
 
 from __future__ import annotations
@@ -15,18 +15,33 @@ TIER_WEIGHT = {"official": 2.0, "premium": 1.5, "quality": 1.2, "general": 1.0}
 REJECT = 0.0
 
 
-def rule_table(spark: SparkSession, rules: list[tuple[str, str, float]]) -> DataFrame:
+#: A rule: bucket, term, weight.
+Rule = tuple[str, str, float]
+
+
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """(bucket, term, weight), ready to be joined."""
     return F.broadcast(spark.createDataFrame(rules, "bucket string, term string, weight double"))
 
 
-def weighted_terms(texts: DataFrame, rules: DataFrame, fields: dict[str, float]) -> DataFrame:
-    """(id, bucket, score, terms): each distinct term of a field counts once, times the field's factor."""
-    found = [texts.select("id", F.explode(F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"))).alias("term"), F.lit(factor).alias("factor")) for c, factor in fields.items()]
-    every = found[0]
-    for f in found[1:]:
-        every = every.union(f)
-    return every.join(rules, "term").groupBy("id", "bucket").agg(F.sum(F.col("weight") * F.col("factor")).alias("score"), F.countDistinct("term").alias("terms"))
+def weighted_terms(texts: DataFrame, rules: list[Rule], fields: dict[str, float]) -> DataFrame:
+    """(id, bucket, score, terms): each distinct term of a field, a column or expression, counts once, times the field's factor.
+
+    Scores are rounded to four places, so that rows are ranked alike in whatever order they were summed.
+    """
+    terms = F.array(*(F.lit(x) for x in sorted({term for _, term, _ in rules})))
+
+    def found(field: str, factor: float) -> Column:
+        words = F.split(F.lower(F.coalesce(F.expr(field), F.lit(""))), "[^a-z0-9]+")
+        return F.transform(F.array_intersect(words, terms), lambda x: F.struct(x.alias("term"), F.lit(factor).alias("factor")))
+
+    every = texts.select("id", F.inline(F.concat(*(found(c, factor) for c, factor in fields.items()))))
+    return scored(every.join(rule_table(texts.sparkSession, rules), "term"))
+
+
+def scored(matches: DataFrame) -> DataFrame:
+    """(id, bucket, score, terms) of matches (id, bucket, term, weight, factor)."""
+    return matches.groupBy("id", "bucket").agg(F.round(F.sum(F.col("weight") * F.col("factor")), 4).alias("score"), F.countDistinct("term").alias("terms"))
 
 
 def leading_buckets(scores: DataFrame, *, least: float, most: int = 3) -> DataFrame:

@@ -56,6 +56,31 @@ def similar_stories(items: DataFrame, *, block: list[str] = ()) -> DataFrame:
     return p.withColumn("similarity", story_similarity()).where("similarity > 0").select("a", "b", "similarity")
 
 
+def rarest(sets: DataFrame, of: DataFrame, share: float) -> DataFrame:
+    """(id, n, token): of each set as many of its tokens, those rarest in `of` first, as leave less than `share` of it out."""
+    w = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(frequencies(of), "token", "left")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "token"))
+    return w.withColumn("rank", rank).where(F.col("rank") <= F.floor((1 - share) * F.col("n") + 1e-9) + 1).select("id", "n", "token")
+
+
+def contained(small: DataFrame, large: DataFrame, *, share: float) -> DataFrame:
+    """(a, b, na, nb, shared): sets a of `small` of which `share` or more is in a set b of `large`.
+
+    Such a set has one of its rarest tokens in the other, so frequent tokens are never joined on.
+    """
+    few = rarest(small, large, share).select(F.col("id").alias("a"), "token")
+    near = few.join(large.select(F.col("id").alias("b"), F.explode("tokens").alias("token")), "token").select("a", "b").distinct()
+    sets = lambda d, k: d.select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}"), F.size("tokens").alias(f"n{k}"))
+    p = near.join(sets(small, "a"), "a").join(sets(large, "b"), "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")).cast("long"))
+    return p.where(F.col("shared") >= share * F.col("na")).select("a", "b", "na", "nb", "shared")
+
+
+def overlapping(sets: DataFrame, *, share: float, least: int = 2) -> DataFrame:
+    """(a, b, shared) with a < b: pairs that share `least` tokens and `share` of the smaller set or more."""
+    p = contained(sets, sets, share=share).where((F.col("shared") >= least) & (F.col("a") != F.col("b")))
+    return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared").distinct()
+
+
 def rarity_pairs(items: DataFrame, *, anchor: float = 0.025, twin: float = 0.0042, among: DataFrame | None = None, block: list[str] = ()) -> DataFrame:
     """(a, b, shared, similarity): same-event likeness of two headlines, weighted by how rare the shared words are in `items`.
 

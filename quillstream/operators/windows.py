@@ -52,3 +52,19 @@ def runs(df: DataFrame, by: list[str], place: Column, gap: float) -> DataFrame:
     d = df.withColumn("_place", place)
     new = F.when(F.col("_place") - F.lag("_place").over(w) > gap, 1).otherwise(0)
     return d.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_place")
+
+
+def places(df: DataFrame, coarse: list[Column], order: list[Column], name: str) -> DataFrame:
+    """Adds the place of each row in the order of all rows, from 1, without sorting them in one task.
+
+    `coarse` are values that the order goes by first, with few rows each; rows are counted by them, only the counts are
+    summed in one task, and rows are ranked among those of the same values. They sort
+    ascending, so callers negate what descends, and none is null.
+    """
+    keys = [f"_{name}_{k}" for k in range(len(coarse))]
+    d = df.withColumns(dict(zip(keys, coarse, strict=True)))
+    counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.join(counts.withColumn("_before", before).drop("_n"), keys)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return d.withColumn(name, (F.col("_before") + rank).cast("long")).drop("_before", *keys)

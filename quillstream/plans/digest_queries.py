@@ -21,7 +21,7 @@ _TIERS = f"""{_NEWS}, t AS (SELECT *, CASE WHEN NOT (bs >= 3.4 OR (place <= 3 AN
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graded(spark, sf_dir).where("kind = 'news' and grade <> 'LOW'")
-    return digest.with_signals(g, rules.rule_table(spark, digest.SIGNALS))
+    return digest.with_signals(g, digest.SIGNALS)
 
 
 @query(f"{_TIERS} SELECT id, day, bs, place, tier FROM t WHERE tier IS NOT NULL")
@@ -76,7 +76,7 @@ def digest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     + CASE tier WHEN 'official' THEN 0.3 ELSE 0 END - CASE WHEN contains(title, '!!') THEN 4.0 ELSE 0 END - CASE WHEN contains(title, ' | ') THEN 1.5 ELSE 0 END, 4) AS value,
     CAST(CASE kind WHEN 'editorial' THEN 6 WHEN 'explained' THEN 5 ELSE 3 END + CASE WHEN grade = 'NOTE' THEN 1 ELSE 0 END + CASE WHEN pubs >= 5 THEN 1 ELSE 0 END AS INTEGER) AS minutes FROM y""")
 def focus_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = digest.with_signals(graded(spark, sf_dir), rules.rule_table(spark, digest.SIGNALS))
+    g = digest.with_signals(graded(spark, sf_dir), digest.SIGNALS)
     pubs = items(spark, sf_dir).groupBy(F.lower("title").alias("k")).agg(F.countDistinct("publisher").alias("pubs"))
     lab = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 2).when(F.col("quality") == 1, 1).when(F.col("quality") == 0, 0).alias("up"))
     d = g.join(pubs, F.lower("title") == F.col("k")).join(lab, "id", "left")

@@ -38,12 +38,12 @@ def unseen_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ITEMS_SQL}, x AS (SELECT id, publisher, EXISTS (SELECT 1 FROM labels WHERE doc_id = id AND quality = 0) AS flagged,
-  (SELECT min(toxic) FROM labels WHERE doc_id = id) AS toxic FROM items) SELECT id, flagged, toxic, row_number() OVER (ORDER BY flagged DESC, publisher, id) AS place FROM x ORDER BY place LIMIT 200""")
+  (SELECT min(toxic) FROM labels WHERE doc_id = id) AS toxic FROM items) SELECT id, flagged, toxic, row_number() OVER (ORDER BY flagged DESC, publisher, id) AS place FROM x""")
 def flagged_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.bool_or(F.col("quality") == 0).alias("f"), F.min("toxic").alias("toxic"))
     x = items(spark, sf_dir).select("id", "publisher").join(lab, "id", "left").withColumn("flagged", F.coalesce("f", F.lit(False)))
-    top = x.orderBy(F.desc("flagged"), "publisher", "id").limit(200)
-    return top.select("id", "flagged", "toxic", F.row_number().over(Window.orderBy(F.desc("flagged"), "publisher", "id")).cast("long").alias("place"))
+    x = windows.places(x, [(~F.col("flagged")).cast("int"), F.coalesce("publisher", F.lit("")), F.expr("id div 65536")], [F.col("id")], "place")
+    return x.select("id", "flagged", "toxic", "place")
 
 
 @query(f"""{GRADED_SQL}, picks AS (SELECT day, id, row_number() OVER (PARTITION BY day ORDER BY score DESC, id) AS rank FROM g WHERE grade <> 'LOW')
@@ -95,10 +95,10 @@ def best_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.best_match(p.where("similarity >= 0.15")).select(F.col("b").alias("piece"), F.col("a").alias("card"))
 
 
-@query("""SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS d FROM events WHERE event_type = 'purchase') e
+@query("""SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS d FROM events) e
   JOIN (SELECT o_orderkey, o_custkey, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) % 31 AS BIGINT) AS d FROM orders) o ON o.o_custkey = e.user_id AND o.d BETWEEN e.d - 2 AND e.d + 4""")
 def date_window_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "user_id", F.datediff("ts", F.lit("2024-01-01")).alias("d"))
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", F.datediff("ts", F.lit("2024-01-01")).alias("d"))
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), (F.datediff("o_orderdate", F.lit("1992-01-01")) % 31).alias("od"))
     near = e.withColumn("od", F.explode(F.expr("sequence(d - 2, d + 4)")))  # the range as days, so that the join is on equal days
     return near.join(o, ["user_id", "od"]).select("event_id", "o_orderkey")
@@ -114,11 +114,11 @@ def alias_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.longest_alias(p, spark.createDataFrame(ALIASES, "key string, alias string"))
 
 
-@query("""WITH s AS (SELECT DISTINCT user_id AS id, strftime(ts, '%Y-%m-%d') AS w FROM events WHERE event_type = 'purchase'), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS w FROM lineitem), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
   p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM s a JOIN s b ON a.w = b.w AND a.id < b.id GROUP BY ALL) SELECT a, b, shared FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE shared >= 2 AND shared >= 0.6 * least(x.n, y.n)""")
 def overlapping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = read(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy(F.col("user_id").alias("id")).agg(F.collect_set(F.date_format("ts", "yyyy-MM-dd")).alias("tokens"))
-    return sim.sized(sim.shared_pairs(s), s).where("shared >= 0.6 * least(na, nb)").select("a", "b", "shared")
+    s = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("tokens"))
+    return sim.overlapping(s, share=0.6).select("a", "b", "shared")
 
 
 _BENCH = r"regexp_extract_all(lower(%s), '[a-z0-9]+')"
@@ -129,8 +129,8 @@ _BENCH = r"regexp_extract_all(lower(%s), '[a-z0-9]+')"
 def free_copy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = lambda d, i: d.select(F.col(i).alias("id"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("tokens")).where("id is not null and tokens is not null")
     d, b = split(read(spark, sf_dir, "documents"), "doc_id"), split(read(spark, sf_dir, "benchmark"), "item_id")
-    p = sim.shared_pairs(d, b).join(b.select(F.col("id").alias("b"), F.size("tokens").alias("n")), "b").where("shared >= 0.9 * n")
-    return p.select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), F.round(F.col("shared") / F.col("n"), 4).alias("share"))
+    p = sim.contained(b, d, share=0.9).where("shared >= 2")
+    return p.select(F.col("b").alias("doc_id"), F.col("a").alias("item_id"), F.round(F.col("shared") / F.col("na"), 4).alias("share"))
 
 
 @query(f"""WITH {ITEMS_SQL}, m AS (SELECT DISTINCT id, day, lower(left(title, 90)) AS h FROM items WHERE regexp_matches(' ' || lower(title), '[^a-z0-9]the') AND regexp_matches(' ' || lower(title), '[^a-z0-9]er')),

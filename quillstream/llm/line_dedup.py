@@ -66,8 +66,9 @@ def stretches(d: DataFrame, keep: list[str], seed: int = 0, *, sparsity: int = S
     d = d.withColumn("rolling", F.expr("if(size(h) > 0, transform(h, (x, i) -> xxhash64(x, get(h, i + 1))), null)"))
     is_chunk = f"get(sizes, i) + get(sizes, i + 1) >= {least} and pmod(x, {sparsity}) > 1"
     spans = f"if(size(rolling) > 0 and size(sizes) > 0, transform(rolling, (x, i) -> if(i + 1 < size(sizes), struct(i as start, 2 as k, x as hash, {is_chunk} as is_chunk), null)), null)"
-    k = f"aggregate(slice(sizes, i + 1, {max(least, 3)}), struct(0 as n, 0 as k), (a, m) -> if(a.n >= {least} and a.k > 2, a, struct(a.n + greatest(m, 1) as n, a.k + 1 as k)), a -> if(a.n >= {least} and a.k > 2, a.k, null))"
-    hash_ = "aggregate(slice(h, c.start + 3, c.k - 2), get(rolling, c.start), (a, y) -> xxhash64(a, y))"
+    # slice would copy the whole array each time it is asked, get does not
+    k = f"aggregate(sequence(i, i + {max(least, 3) - 1}), struct(0 as n, 0 as k), (a, j) -> if(a.n >= {least} and a.k > 2 or get(sizes, j) is null, a, struct(a.n + greatest(get(sizes, j), 1) as n, a.k + 1 as k)), a -> if(a.n >= {least} and a.k > 2, a.k, null))"
+    hash_ = "aggregate(sequence(c.start + 2, c.start + c.k - 1), get(rolling, c.start), (a, j) -> xxhash64(a, get(h, j)))"
     others = f"if(size(h) > 0 and size(rolling) > 0, transform(sizes, (n, i) -> if(n >= {LONG}, struct(i as start, 1 as k), if(n + get(sizes, i + 1) < {least} and pmod(get(rolling, i), {short}) = 0, struct(i as start, {k} as k), null))), null)"
     d = d.select(*keep, "lines", "h", "rolling", F.expr(spans).alias("spans"), F.expr(others).alias("others"))
     hashed = f"if(size(h) > 0 and size(rolling) > 0, transform(others, c -> if(c.k is null, null, struct(c.start as start, c.k as k, if(c.k = 1, xxhash64(get(h, c.start)), {hash_}) as hash, true as is_chunk))), null)"
@@ -121,9 +122,10 @@ def mixed_hashes(docs: DataFrame, found: DataFrame, seed: int = 0, **options: in
     """Hashes that stand for stretches of different bytes, among all repeated ones."""
     own, names = _joined(docs, found, "inner")
     own = stretches(own.select(F.col("text").cast("string").alias("text"), F.col(names["checked"]).alias("checked")), ["checked"], seed, **options)
-    inside = ", ".join(f"slice({x}, r.start + 1, r.stop - r.start)" for x in ("spans", "others"))
-    inside = f"flatten(transform(checked, r -> filter(concat({inside}), c -> c is not null and c.start + c.k <= r.stop)))"
-    texts = f"if(size(lines) > 0 and size(spans) > 0 and size(others) > 0, transform({inside}, c -> struct(c.hash as hash, array_join(slice(lines, c.start + 1, c.k), '\\n') as chunk)), null)"
+    # slice would copy the whole array each time it is asked, get does not
+    inside = "flatten(transform(checked, r -> flatten(transform(sequence(r.start, r.stop - 1), i -> array(get(spans, i), get(others, i))))))"
+    chunk = "if(c.k = 2, concat(get(lines, c.start), '\\n', get(lines, c.start + 1)), array_join(transform(sequence(c.start, c.start + c.k - 1), j -> get(lines, j)), '\\n'))"
+    texts = f"if(size(lines) > 0 and size(spans) > 0 and size(others) > 0, transform(filter({inside}, c -> c is not null), c -> struct(c.hash as hash, {chunk} as chunk)), null)"
     rows = own.select(F.inline_outer(F.expr(texts))).where("hash is not null")
     return rows.groupBy("hash", "chunk").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("hash")
 
@@ -139,7 +141,8 @@ def dedup_lines(docs: DataFrame, *, removed: str = "_n_removed", **options: int
     g, pieces = (f"`{x}`" for x in (names["gone"], spare(out, "_pieces")))
     out = out.withColumn(pieces.strip("`"), F.expr(f"if({g} is null, null, {_pieces('cast(text as string)')})"))
     end = f"struct(size({pieces}) as start, size({pieces}) as stop)"
-    left = f"array_join(flatten(transform(concat({g}, array({end})), (r, i) -> slice({pieces}, coalesce(get({g}, i - 1).stop, 0) + 1, r.start - coalesce(get({g}, i - 1).stop, 0)))), '')"
+    before = f"coalesce(get({g}, i - 1).stop, 0)"
+    left = f"array_join(flatten(transform(concat({g}, array({end})), (r, i) -> if(r.start > {before}, transform(sequence({before}, r.start - 1), j -> get({pieces}, j)), array('')))), '')"
     text = F.expr(f"if({g} is null, text, {left})").cast(docs.schema["text"].dataType)
     n = F.expr(f"coalesce(aggregate({g}, 0L, (n, r) -> n + r.stop - r.start), 0L)").alias(removed)
     return out.select(*(text.alias(c) if c == "text" else out[c] for c in docs.columns if c.lower() != removed.lower()), n)

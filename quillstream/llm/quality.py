@@ -44,7 +44,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     for step in (1, 2, 4):
         of = f"h, {{}}, greatest(size(h) - {step}, 0)"
         if step == 1:  # distinct words of every stretch of so many words, which do not get fewer in a long text
-            varied = f"aggregate(sequence(1, greatest(size(h), 1), {STRETCH}), 0L, (n, i) -> n + size(array_distinct(slice(h, i, {STRETCH}))))"
+            varied = f"aggregate(sequence(1, greatest(size(h), 1), {STRETCH}), 0L, (n, i) -> n + size(array_distinct(transform(sequence(i, least(i + {STRETCH - 1}, greatest(size(h), 1))), j -> get(h, j - 1)))))"
             d = d.withColumn("n_varied", F.expr(varied))
         d = d.withColumn("h", F.expr(f"zip_with(slice({of.format(1)}), slice({of.format(1 + step)}), (a, b) -> xxhash64(a, b))"))
     # most documents have no window twice; only the others are sorted

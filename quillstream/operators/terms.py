@@ -67,15 +67,13 @@ def matched(texts: DataFrame, rules: list[Rule], fields: dict[str, float]) -> Da
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("p"), F.lit(1))), lambda i: F.lower(F.get("p", i - 1)).isin(heads))
 
     def runs_of(n: int) -> Column:
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice("p", i, n), "").alias("run")))
+        # null at the end of a text; slice would copy the whole array for each run
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.concat(*(F.get("p", i - 1 + k) for k in range(n))).alias("run")))
 
     runs = F.concat(*(runs_of(n) for n in lengths))
-    d = d.where(F.size("p") > 0).select("id", "field", "factor", F.inline(runs))
-    # a run at the end of a text is shorter than it should be, and stands there for the shorter length as well
-    d = d.where(F.size(F.regexp_extract_all("run", F.lit(r"([A-Za-z0-9]+|[^A-Za-z0-9])"), F.lit(1))) == F.col("n"))
-    exact = d.join(known.where("is_exact"), F.col("run") == F.col("form"))
-    lower = d.join(known.where("not is_exact"), F.lower("run") == F.col("form"))
-    found = exact.union(lower).select("id", "field", "factor", "is_exact", "start", "n", "term")
+    # the outer form: the plain one would be filtered by the whole expression before, once for each element
+    d = d.select("id", "field", "factor", F.inline_outer(F.when(F.size("p") > 0, runs))).where("run is not null")
+    found = d.join(known, F.lower("run") == F.lower("form")).where("not is_exact or run = form").select("id", "field", "factor", "is_exact", "start", "n", "term")
     # longest first among those that begin together, the term itself before a plural
     order = F.struct(F.col("start"), (-F.length("term")).alias("longest"), (-F.col("n")).alias("n"), F.col("term"))
     kept = found.groupBy("id", "field", "factor", "is_exact").agg(F.array_sort(F.collect_list(order)).alias("m"))

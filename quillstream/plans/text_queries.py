@@ -14,7 +14,7 @@ _STOP = "(" + ", ".join(f"'{w}'" for w in t.STOPWORDS) + ")"
 _STEM = r"""CASE WHEN length(w) <= 3 OR regexp_matches(w, '^[0-9]+$') OR regexp_matches(w, '(ss|us|is)$') THEN w
   WHEN w LIKE '%ies' AND length(w) > 4 THEN left(w, length(w) - 3) || 'y' WHEN regexp_matches(w, '(ses|xes|zes|ches|shes)$') THEN left(w, length(w) - 2)
   WHEN w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END"""
-_FOLD = f"translate(%s, '{t.ACCENTED}', '{t.FOLDED}')"
+_FOLD = f"regexp_replace(translate(%s, '{t.ACCENTED}', '{t.FOLDED}'), '{t.MARKS}', '', 'g')"
 #: tok(id, w): the distinct tokens of each item.
 TOKENS_SQL = rf"""{ITEMS_SQL}, raw AS (SELECT id, unnest(regexp_extract_all(lower({_FOLD % "title"}), '[a-z0-9]+(?:\.[0-9]+)?')) AS w FROM items),
   tok AS (SELECT DISTINCT id, {_STEM} AS w FROM raw WHERE w NOT IN {_STOP} AND (length(w) > 1 OR regexp_matches(w, '^[0-9]$')))"""

@@ -39,15 +39,26 @@ def due(sources: DataFrame, state: DataFrame, now: Column, *, grace: int = 30) -
 
 
 def feed(spark: SparkSession, path: str, *, limit: int = 100) -> DataFrame:
-    """Entries of RSS files: title, url, summary, published; at most `limit` of each file, in file order."""
-    schema = "title string, link string, description string, pubDate string"
-    e = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).withColumn("file", F.input_file_name())
-    e = e.withColumn("at", F.monotonically_increasing_id())
+    """Entries of RSS and Atom files: title, url, summary, published; at most `limit` of each file, in file order."""
+    reader = spark.read.format("xml")
+    rss = reader.option("rowTag", "item").schema("title string, link string, description string, pubDate string").load(path)
+    rss = rss.select(F.input_file_name().alias("file"), "title", F.col("link").alias("url"), F.col("description").alias("summary"), F.col("pubDate").alias("date"))
+    link = "struct<_href:string,_rel:string>"
+    atom = reader.option("rowTag", "entry").schema(f"title string, link array<{link}>, summary string, content string, published string, updated string").load(path)
+    # the first link that is no edition of another kind
+    href = F.coalesce(F.get(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0)), F.get("link", F.lit(0)))["_href"]
+    atom = atom.select(F.input_file_name().alias("file"), "title", href.alias("url"), F.coalesce("summary", "content").alias("summary"), F.coalesce("published", "updated").alias("date"))
     from pyspark.sql import Window
 
+    e = rss.union(atom).withColumn("at", F.monotonically_increasing_id()).where("title is not null and url is not null")
     e = e.withColumn("rn", F.row_number().over(Window.partitionBy("file").orderBy("at"))).where(F.col("rn") <= limit)
-    published = F.try_to_timestamp(F.regexp_replace("pubDate", r"^[A-Za-z]{3},\s*|\s+(GMT|\+0000)$", ""), F.lit("d MMM yyyy HH:mm:ss"))
-    return e.select(t.clean_title(F.col("title")).alias("title"), F.col("link").alias("url"), t.clean_summary(t.strip_tags(F.col("description"))).alias("summary"), published.alias("published"), "file")
+    plain = F.regexp_replace("date", r"^[A-Za-z]{3,9},?\s*|\s+(GMT|UTC?|Z|\+00:?00)$", "")
+    zone = F.regexp_extract("date", r"([+-][0-9]{2}):?([0-9]{2})$", 0)
+    minutes = F.coalesce(F.substring(F.replace(zone, F.lit(":")), 2, 2).try_cast("int") * 60 + F.substring(F.replace(zone, F.lit(":")), 4, 2).try_cast("int"), F.lit(0)) * F.when(zone.startswith("-"), -1).otherwise(1)
+    local = F.trim(F.regexp_replace(plain, r"\s*[+-][0-9]{2}:?[0-9]{2}$", ""))
+    mail = F.coalesce(*(F.try_to_timestamp(local, F.lit(f)) for f in ("d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm")))
+    published = F.when(F.col("date").rlike("^[0-9]{4}-"), F.try_to_timestamp("date")).otherwise(mail - F.make_dt_interval(mins=minutes))
+    return e.select(t.clean_title(F.col("title")).alias("title"), "url", t.clip(t.clean_summary(t.strip_tags(F.col("summary"))), 700).alias("summary"), published.alias("published"), "file")
 
 
 def links(pages: DataFrame, *, least: int = 25, most: int = 240) -> DataFrame:

@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UP_BASE = {3: 6.0, 2: 3.6, 1: 1.6, 0: 0.0}
-GRADE_BASE = {"NOTE": 4.8, "SKIM": 3.2, "READ": 1.6, "LOW": 0.5}
+#: What an item is worth by its verdict, or without one by its grade, and what its section in the digest adds.
+WORTH_BY_VERDICT = {3: 6.0, 2: 3.6, 1: 1.6, 0: 0.0}
+WORTH_BY_GRADE = {"NOTE": 4.8, "SKIM": 3.2, "READ": 1.6, "LOW": 0.5}
+WORTH_BY_SECTION = {"news": 1.0, "prelims": 0.3}
+WORTH_OTHERWISE = 1.0
+#: Facts about an item, what one unit of each adds, and how many units count.
+LIFTS = (
+    ("event", 0.5, 3.0), ("talk", -0.6, 2.0), ("soft", -0.6, 1.0), ("official", 0.3, 1.0), ("syllabus", 0.3, 1.0), ("running_topic", 0.3, 1.0),
+    ("notice", -4.0, 1.0), ("local", -2.0, 1.0), ("routine", -1.5, 1.0),
+)
+#: Factor and power of the outlets beyond the first, ten at most.
+OUTLETS_FACTOR, OUTLETS_POWER, OUTLETS_MOST = 0.12, 0.8, 10
+#: Verdict that no routine of a place of its own lowers.
+TOP_VERDICT = 3
 
 
 def lookup(key: Column, table: dict, otherwise: float) -> Column:
@@ -16,12 +28,25 @@ def lookup(key: Column, table: dict, otherwise: float) -> Column:
     return out
 
 
-def focus_value(up: Column, grade: Column, event: Column, talk: Column, publishers: Column, tier: Column, notice: Column, routine: Column) -> Column:
-    """What an item is worth to a reader: the verdict or else the grade, lifted by events and coverage, lowered by talk, notices and routine."""
-    base = F.when(up.isNotNull(), lookup(up, UP_BASE, 0.0)).otherwise(lookup(grade, GRADE_BASE, 1.0))
-    wide = F.pow(F.greatest(F.lit(1), F.least(publishers, F.lit(10))).cast("double") - 1.0, F.lit(0.8)) * 0.12
-    v = base + F.least(event, F.lit(3.0)) * 0.5 - F.least(talk, F.lit(2.0)) * 0.6 + wide + F.when(tier == "official", 0.3).otherwise(0.0)
-    return v - F.when(notice, 4.0).otherwise(0.0) - F.when(routine, 1.5).otherwise(0.0)
+def focus_value(verdict: Column, grade: Column, publishers: Column, facts: dict[str, Column], section: Column | None = None) -> Column:
+    """What an item is worth to a reader: the verdict's worth or else the grade's, the section's, the outlets', and all LIFTS.
+
+    `facts` are numbers or conditions by the names in LIFTS; what is not given, or null, counts nothing. A notice is not
+    lowered as local news as well, nor is what the best verdict has.
+    """
+    whole = F.when(verdict.isNotNull(), lookup(verdict, WORTH_BY_VERDICT, 0.0)).otherwise(lookup(grade, WORTH_BY_GRADE, WORTH_OTHERWISE))
+    beyond = F.greatest(F.lit(1), F.least(publishers, F.lit(OUTLETS_MOST))).cast("double") - 1.0
+    whole = whole + F.pow(beyond, F.lit(OUTLETS_POWER)) * OUTLETS_FACTOR
+    if section is not None:
+        whole = whole + lookup(section, WORTH_BY_SECTION, 0.0)
+    given = {name: F.coalesce(c.cast("double"), F.lit(0.0)) for name, c in facts.items()}
+    if "local" in given:
+        exempt = F.coalesce(verdict == TOP_VERDICT, F.lit(False)) | (given.get("notice", F.lit(0.0)) > 0)
+        given["local"] = F.when(exempt, 0.0).otherwise(given["local"])
+    for name, unit, most in LIFTS:
+        if name in given:
+            whole = whole + F.least(given[name], F.lit(most)) * unit
+    return whole
 
 
 def reading_minutes(kind: Column, grade: Column, publishers: Column) -> Column:

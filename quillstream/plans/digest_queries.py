@@ -19,6 +19,10 @@ _NEWS = f"""{GRADED_SQL}, e AS ({_terms_sql([("event", "on", 1.5), ("event", "th
 _TIERS = f"""{_NEWS}, t AS (SELECT *, CASE WHEN NOT (bs >= 3.4 OR (place <= 3 AND bs >= 2.0)) THEN NULL WHEN bs >= 4.2 AND grade IN ('NOTE', 'SKIM') AND talk < 1 THEN 'top' WHEN bs >= 3.4 AND event >= 1.5 AND talk = 0 THEN 'prelims' ELSE 'more' END AS tier FROM r)"""
 
 
+#: Stands for titles of a place's own routine.
+_LOCAL = "^(The|Of|And) "
+
+
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graded(spark, sf_dir).where("kind = 'news' and grade <> 'LOW'")
     return digest.with_signals(g, digest.SIGNALS)
@@ -73,7 +77,7 @@ def digest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_NEWS}, p AS (SELECT lower(title) AS k, count(DISTINCT publisher) AS pubs FROM items GROUP BY 1), y AS (SELECT x.*, pubs, CASE WHEN quality = 1 AND toxic = 0 THEN 2 WHEN quality = 1 THEN 1 WHEN quality = 0 THEN 0 END AS up FROM x JOIN p ON k = lower(title) LEFT JOIN labels ON doc_id = id)
   SELECT id, round(CASE up WHEN 2 THEN 3.6 WHEN 1 THEN 1.6 WHEN 0 THEN 0.0 ELSE CASE grade WHEN 'NOTE' THEN 4.8 WHEN 'SKIM' THEN 3.2 WHEN 'READ' THEN 1.6 ELSE 0.5 END END + 0.5 * least(event, 3.0) - 0.6 * least(talk, 2.0) + 0.12 * pow(greatest(1, least(pubs, 10)) - 1, 0.8)
-    + CASE tier WHEN 'official' THEN 0.3 ELSE 0 END - CASE WHEN contains(title, '!!') THEN 4.0 ELSE 0 END - CASE WHEN contains(title, ' | ') THEN 1.5 ELSE 0 END, 4) AS value,
+    + CASE tier WHEN 'official' THEN 0.3 ELSE 0 END - CASE WHEN contains(title, '?') THEN 0.6 ELSE 0 END - CASE WHEN contains(title, '!!') THEN 4.0 WHEN regexp_matches(title, '{_LOCAL}') THEN 2.0 ELSE 0 END - CASE WHEN contains(title, ' | ') THEN 1.5 ELSE 0 END, 4) AS value,
     CAST(CASE kind WHEN 'editorial' THEN 6 WHEN 'explained' THEN 5 ELSE 3 END + CASE WHEN grade = 'NOTE' THEN 1 ELSE 0 END + CASE WHEN pubs >= 5 THEN 1 ELSE 0 END AS INTEGER) AS minutes FROM y""")
 def focus_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = digest.with_signals(graded(spark, sf_dir), digest.SIGNALS)
@@ -81,7 +85,9 @@ def focus_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 2).when(F.col("quality") == 1, 1).when(F.col("quality") == 0, 0).alias("up"))
     d = g.join(pubs, F.lower("title") == F.col("k")).join(lab, "id", "left")
     c = F.col
-    value = products.focus_value(c("up"), c("grade"), c("event"), c("talk"), c("pubs"), c("tier"), F.contains("title", F.lit("!!")), F.contains("title", F.lit(" | ")))
+    title = c("title")
+    facts = {"event": c("event"), "talk": c("talk"), "official": c("tier") == "official", "soft": title.contains("?"), "notice": title.contains("!!"), "local": title.rlike(_LOCAL), "routine": title.contains(" | ")}
+    value = products.focus_value(c("up"), c("grade"), c("pubs"), facts)
     return d.select("id", F.round(value, 4).alias("value"), products.reading_minutes(c("kind"), c("grade"), c("pubs")).alias("minutes"))
 
 

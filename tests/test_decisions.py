@@ -56,6 +56,20 @@ def test_story_clusters(spark):
     assert len(set(expected.values())) < len(expected)
 
 
+def test_story_cards_are_of_the_clusters(spark):
+    of, members = {r.id: r.story for r in run(spark, "story_clusters")}, defaultdict(list)
+    for r in items(spark, DATA).select("id", "publisher", "day", "tier", "body").collect():
+        members[of[r.id]].append(r)
+    tier = {"official": 7, "premium": 6, "quality": 5, "general": 3}
+    got = {r.story: r for r in run(spark, "story_cards")}
+    assert set(got) == set(members)
+    for story, own in members.items():
+        own.sort(key=lambda r: (-tier[r.tier], not (r.body or "").strip(" "), r.day, r.id))
+        assert (got[story].lead, got[story].n_items) == (own[0].id, len(own))
+        assert got[story].publishers == ",".join(dict.fromkeys(r.publisher for r in own if r.publisher is not None))
+        assert got[story].days == ",".join(map(str, sorted({r.day for r in own})))
+
+
 def test_daily_digest(spark):
     picks = {r.id: r for r in run(spark, "digest_tiers")}
     pairs = sim.rarity_pairs(tokenised(spark, DATA).select("id", "tokens")).where("similarity >= 0.25").collect()

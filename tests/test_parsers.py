@@ -159,3 +159,19 @@ def test_places_and_contained_sets(spark):
     for share in (0.5, 0.6, 0.9, 1.0):
         got = {(r.a, r.b, r.shared) for r in similarity.contained(a, b, share=share).collect()}
         assert got == {(i, j, len({*x} & {*y})) for i, x in small for j, y in large if len({*x} & {*y}) >= share * len(x)}
+
+
+def test_settings_and_guards(spark):
+    from quillstream import settings
+
+    assert settings.Settings.of(spark).keep_days == 400
+    spark.conf.set("spark.quillstream.keep_days", "30")
+    assert settings.Settings.of(spark).keep_days == 30
+    spark.conf.unset("spark.quillstream.keep_days")
+    assert settings.day_range("2024-01-01", "2024-04-03") and settings.rows_asked(9999) == 500 and settings.ids_asked(["a", "a"]) == ["a"] and settings.inside("/x", "a/b") == "/x/a/b"
+    for call in (lambda: settings.day_range("2024-01-01", "2024-04-04"), lambda: settings.day_range("2024-1", "x"), lambda: settings.ids_asked(["a"] * 1001), lambda: settings.note_given("x" * 5001), lambda: settings.inside("/x", "../y"), lambda: settings.inside("/x", "/y")):
+        try:
+            call()
+        except ValueError:
+            continue
+        raise AssertionError(call)

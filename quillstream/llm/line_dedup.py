@@ -57,22 +57,30 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("doc_key", F.xxhash64("text"))
 
 
-def stretches(d: DataFrame, keep: list[str], seed: int = 0, *, sparsity: int = SPARSITY, short: int = SHORT, least: int = LEAST, line_hash: str = LINE_HASH) -> DataFrame:
-    """The columns `keep` of `d`, `lines`, and for each line (start, k lines, hash, is_chunk): in `spans` of its pair, in `others` of a chunk that is no pair, or null."""
+def _lines(d: DataFrame, keep: list[str], seed: int, line_hash: str) -> DataFrame:
+    """The columns `keep` of `d`, and the lines of each text, their hashes h and sizes."""
     # Catalyst puts an array that is named once into the expression that names it, and so into its lambda, where it would be
     # computed again for each element; an array that a lambda looks into is therefore named outside of it as well.
     d = d.select(*keep, F.expr(f"transform({_pieces('text')}, x -> btrim(x, ' \\t\\n\\r'))").alias("lines"))
-    d = d.select(*keep, "lines", F.expr(f"transform(lines, x -> {line_hash.format(line='x', seed=seed)})").alias("h"), F.expr("transform(lines, x -> length(x))").alias("sizes"))
-    d = d.withColumn("rolling", F.expr("if(size(h) > 0, transform(h, (x, i) -> xxhash64(x, get(h, i + 1))), null)"))
-    is_chunk = f"get(sizes, i) + get(sizes, i + 1) >= {least} and pmod(x, {sparsity}) > 1"
-    spans = f"if(size(rolling) > 0 and size(sizes) > 0, transform(rolling, (x, i) -> if(i + 1 < size(sizes), struct(i as start, 2 as k, x as hash, {is_chunk} as is_chunk), null)), null)"
-    # slice would copy the whole array each time it is asked, get does not
+    return d.select(*keep, "lines", F.expr(f"transform(lines, x -> {line_hash.format(line='x', seed=seed)})").alias("h"), F.expr("transform(lines, x -> length(x))").alias("sizes"))
+
+
+def stretches(docs: DataFrame, seed: int = 0, *, sparsity: int = SPARSITY, short: int = SHORT, least: int = LEAST, line_hash: str = LINE_HASH) -> DataFrame:
+    """doc_id, doc_key, start, k lines, hash and is_chunk of all pairs of lines, and of the chunks that are no pairs."""
+    d = _lines(_keyed(docs).where("text is not null"), ["doc_id", "doc_key"], seed, line_hash)
+    # slice would copy the whole array each time a lambda asks for it, get does not
     k = f"aggregate(sequence(i, i + {max(least, 3) - 1}), struct(0 as n, 0 as k), (a, j) -> if(a.n >= {least} and a.k > 2 or get(sizes, j) is null, a, struct(a.n + greatest(get(sizes, j), 1) as n, a.k + 1 as k)), a -> if(a.n >= {least} and a.k > 2, a.k, null))"
-    hash_ = "aggregate(sequence(c.start + 2, c.start + c.k - 1), get(rolling, c.start), (a, j) -> xxhash64(a, get(h, j)))"
-    others = f"if(size(h) > 0 and size(rolling) > 0, transform(sizes, (n, i) -> if(n >= {LONG}, struct(i as start, 1 as k), if(n + get(sizes, i + 1) < {least} and pmod(get(rolling, i), {short}) = 0, struct(i as start, {k} as k), null))), null)"
-    d = d.select(*keep, "lines", "h", "rolling", F.expr(spans).alias("spans"), F.expr(others).alias("others"))
-    hashed = f"if(size(h) > 0 and size(rolling) > 0, transform(others, c -> if(c.k is null, null, struct(c.start as start, c.k as k, if(c.k = 1, xxhash64(get(h, c.start)), {hash_}) as hash, true as is_chunk))), null)"
-    return d.select(*keep, "lines", "spans", F.expr(hashed).alias("others"))
+    others = f"filter(transform(sizes, (n, i) -> if(n >= {LONG} or n + get(sizes, i + 1) < {least}, i, null)), i -> i is not null)"
+    others = f"transform({others}, i -> if(get(sizes, i) >= {LONG}, struct(i as start, 1 as k), if(pmod(xxhash64(get(h, i), get(h, i + 1)), {short}) = 0, struct(i as start, {k} as k), null)))"
+    d = d.select("doc_id", "doc_key", "h", "sizes", F.expr(f"if(size(h) > 0 and size(sizes) > 0, filter({others}, c -> c.k is not null), null)").alias("others"))
+    hash_ = "aggregate(sequence(c.start + 2, c.start + c.k - 1), xxhash64(get(h, c.start), get(h, c.start + 1)), (a, j) -> xxhash64(a, get(h, j)))"
+    hash_ = f"if(c.k = 1, xxhash64(get(h, c.start)), {hash_})"
+    kind = "array<struct<start:int,a:bigint,b:bigint,m:int,n:int>>"
+    pairs = "arrays_zip(sequence(0, size(h) - 2), slice(h, 1, size(h) - 1), slice(h, 2, size(h)), slice(sizes, 1, size(h) - 1), slice(sizes, 2, size(h)))"
+    every = f"concat(if(size(h) > 1, cast({pairs} as {kind}), cast(array() as {kind})), if(size(h) > 0 and size(sizes) > 0, cast(transform(others, c -> struct(c.start, {hash_}, cast(null as bigint), c.k, cast(null as int))) as {kind}), null))"
+    # the outer form: the plain one would filter by the whole expression before it
+    d = d.select("doc_id", "doc_key", F.inline_outer(F.expr(every))).where("start is not null")
+    return d.selectExpr("doc_id", "doc_key", "start", "if(b is null, m, 2) as k", "if(b is null, a, xxhash64(a, b)) as hash", f"b is null or (m + n >= {least} and pmod(xxhash64(a, b), {sparsity}) > 1) as is_chunk")
 
 
 def _likely(rows: DataFrame, counted: DataFrame) -> DataFrame:
@@ -88,10 +96,7 @@ def _likely(rows: DataFrame, counted: DataFrame) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, seed: int = 0, **options: int | str) -> DataFrame:
     """doc_id, doc_key, gone (the runs of lines to remove) and checked (all repeated ones), for documents with repeated lines."""
-    d = stretches(_keyed(docs).where("text is not null"), ["doc_id", "doc_key"], seed, **options)
-    # the outer form: the plain one would filter by the whole expression before it
-    every = F.expr("if(size(spans) > 0 and size(others) > 0, concat(spans, filter(others, c -> c is not null)), null)")
-    rows = written(d.select("doc_id", "doc_key", F.inline_outer(every)).where("hash is not null"), compression="zstd")
+    rows = written(stretches(docs, seed, **options), compression="zstd")
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     # hashes are counted first; of the places most fail the filter, so that they are not shuffled
     counted = written(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1").select("hash", "first"))
@@ -100,11 +105,13 @@ def repeated_runs(docs: DataFrame, seed: int = 0, **options: int | str) -> DataF
     goes = "not c.is_first or get(s, i - 1).hash <=> c.hash"
     found = found.withColumn("s", F.expr(f"if(size(s) > 0, sort_array(transform(s, (c, i) -> struct(c.start as start, c.start + c.k as stop, c.is_chunk as is_chunk, {goes} as goes))), null)"))
     zero = "struct(cast(array() as array<struct<start:int,stop:int>>) as done, -1 as start, -1 as stop, false as good)"
-    done = "if(a.good, array_append(a.done, struct(a.start as start, a.stop as stop)), a.done)"
+    done = "if(a.good and a.stop > a.start, array_append(a.done, struct(a.start as start, a.stop as stop)), a.done)"
 
     def merged(which: str, good: str) -> str:
-        grown = f"struct(a.done as done, a.start as start, greatest(a.stop, c.stop) as stop, a.good or {good} as good)"
-        return f"aggregate({which}, {zero}, (a, c) -> if(c.start < a.stop, {grown}, struct({done} as done, c.start as start, c.stop as stop, {good} as good)), a -> {done})"
+        # the lines of a longer chunk are in pairs that are repeated as well; it only says that there is one
+        stop = "if(c.stop - c.start > 2, c.start, c.stop)"
+        grown = f"struct(a.done as done, a.start as start, greatest(a.stop, {stop}) as stop, a.good or {good} as good)"
+        return f"aggregate({which}, {zero}, (a, c) -> if(c.start < a.stop, {grown}, struct({done} as done, c.start as start, {stop} as stop, {good} as good)), a -> {done})"
 
     found = found.select("doc_id", "doc_key", F.expr(merged("filter(s, c -> c.goes)", "c.is_chunk")).alias("gone"), F.expr(merged("s", "true")).alias("checked"))
     return written(found)
@@ -118,14 +125,13 @@ def _joined(docs: DataFrame, found: DataFrame, how: str) -> tuple[DataFrame, dic
     return docs.join(f, same, how), names
 
 
-def mixed_hashes(docs: DataFrame, found: DataFrame, seed: int = 0, **options: int | str) -> DataFrame:
+def mixed_hashes(docs: DataFrame, found: DataFrame, seed: int = 0, *, line_hash: str = LINE_HASH) -> DataFrame:
     """Hashes that stand for stretches of different bytes, among all repeated ones."""
     own, names = _joined(docs, found, "inner")
-    own = stretches(own.select(F.col("text").cast("string").alias("text"), F.col(names["checked"]).alias("checked")), ["checked"], seed, **options)
-    # slice would copy the whole array each time it is asked, get does not
-    inside = "flatten(transform(checked, r -> flatten(transform(sequence(r.start, r.stop - 1), i -> array(get(spans, i), get(others, i))))))"
-    chunk = "if(c.k = 2, concat(get(lines, c.start), '\\n', get(lines, c.start + 1)), array_join(transform(sequence(c.start, c.start + c.k - 1), j -> get(lines, j)), '\\n'))"
-    texts = f"if(size(lines) > 0 and size(spans) > 0 and size(others) > 0, transform(filter({inside}, c -> c is not null), c -> struct(c.hash as hash, {chunk} as chunk)), null)"
+    own = _lines(own.select(F.col("text").cast("string").alias("text"), F.col(names["checked"]).alias("checked")), ["checked"], seed, line_hash)
+    pairs = "if(r.stop > r.start + 1, transform(sequence(r.start, r.stop - 2), i -> struct(xxhash64(get(h, i), get(h, i + 1)) as hash, concat(get(lines, i), '\\n', get(lines, i + 1)) as chunk)), array())"
+    alone = f"transform(filter(sequence(r.start, r.stop - 1), i -> get(sizes, i) >= {LONG}), i -> struct(xxhash64(get(h, i)) as hash, get(lines, i) as chunk))"
+    texts = f"if(size(lines) > 0 and size(h) > 0 and size(sizes) > 0 and size(checked) > 0, flatten(transform(checked, r -> concat({pairs}, {alone}))), null)"
     rows = own.select(F.inline_outer(F.expr(texts))).where("hash is not null")
     return rows.groupBy("hash", "chunk").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("hash")
 
@@ -134,7 +140,7 @@ def dedup_lines(docs: DataFrame, *, removed: str = "_n_removed", **options: int
     """`docs` with repeated passages gone from `text`, and with the number of lines gone behind its columns."""
     for seed in itertools.count():
         found = repeated_runs(docs, seed, **options)
-        if mixed_hashes(docs, found, seed, **options).isEmpty():
+        if mixed_hashes(docs, found, seed, line_hash=str(options.get("line_hash", LINE_HASH))).isEmpty():
             break
     gone = written(found.where("size(gone) > 0").select("doc_id", "doc_key", "gone"))
     out, names = _joined(docs, gone, "left")

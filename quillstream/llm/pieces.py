@@ -9,9 +9,13 @@ of a whole text differ from its best in N - 1 words at most, those in which a se
 The best path itself comes from the Viterbi pass; only those words are searched by A-star.
 
 The model file is a parameter, read on the driver; its pieces are broadcast (their number is the
-vocabulary's). Defined cases: null and empty text have no pieces, one path and score 0; equal scores
-are ordered by the earlier deviation; rows with equal ids are segmented one by one; U+2581 in a text
-decodes to a space, as it does in the library.
+vocabulary's). The paths are those of the lattice under the pieces' scores: for a vocabulary made by
+merges the best one need not be the ids that the merges give.
+
+Defined cases: null and empty text have no pieces, one path and score 0; equal scores are ordered by
+the earlier deviation; rows with equal ids are segmented one by one; an empty table gives no rows;
+texts of any length are segmented whole, in memory that grows with a text and its longest word; U+2581
+in a text decodes to a space, as it does in the library; other columns are not looked at.
 """
 
 from __future__ import annotations

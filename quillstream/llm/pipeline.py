@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.llm import decontaminate, jaccard, language, line_dedup, pieces
-from quillstream.llm.shared import table, written
+from quillstream.llm.shared import spare, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -18,8 +18,11 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs)
-    n = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    removed = spare(docs, "_n_removed")
+    out = line_dedup.dedup_lines(docs, removed=removed)
+    if "n_chars" not in docs.columns:
+        return out.drop(removed)
+    n = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return out.select(*(n if c == "n_chars" else F.col(c) for c in docs.columns))
 
 

@@ -7,7 +7,8 @@ remembered in a cache of a bounded number of entries.
 
 The vocabulary file is a parameter and read where it lies on the driver; its merges are broadcast
 (their size is that of the vocabulary, not of the data). Defined cases: null counts as empty, with
-no bytes and no tokens; rows with equal ids are counted one by one.
+no bytes and no tokens; rows with equal ids are counted one by one; an empty table gives no rows; texts
+of any length are counted whole, one at a time; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -538,6 +538,46 @@ def test_pipeline_keeps_columns_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "SentencePiece"]
 
 
+def test_operators_on_empty_tables_long_texts_and_other_columns(spark):
+    rng = random.Random(23)
+    long = prose(rng, 30_000)
+    names = "doc_id long, text string, lang string, spans string, found int, ids int, named int, rep int, component_id int, h int, items int, held_out int"
+    rows = [(1, long, "en", *[None] * 9), (2, None, None, *[1] * 8, None), (3, "two words", "en", *[2] * 9), (3, "two words", "en", *[2] * 9)]
+    rows = [(*r[:3], None if r[3] is None else str(r[3]), *r[4:]) for r in rows]
+    d = spark.createDataFrame(rows, names)
+    b = spark.createDataFrame([(1, " ".join(long.split()[100:140]))], "item_id long, text string")
+    model = language.fit(d)
+    ops = {
+        "counts": lambda x: token_counts.token_counts(x, vocabulary("word_bpe_49k.json")),
+        "pieces": lambda x: pieces.segmented(x, vocabulary("piece_bpe_32k.model")),
+        "language": lambda x: language.identify(x, model),
+        "matches": lambda x: decontaminate.matches(x, b),
+        "near": jaccard.near_duplicates,
+        "quality": quality.judged,
+        "personal": personal_data.personal_data,
+    }
+    for name, op in ops.items():
+        assert op(d.limit(0)).count() == 0, name
+        assert sorted(r.doc_id for r in op(d).collect()) == [1, 2, 3, 3], name
+    for name, op in {"language": lambda x: language.keep_identified(x, model), "clean": lambda x: decontaminate.decontaminate(x, b), "one": jaccard.keep_one_each, "redact": personal_data.redact}.items():
+        assert op(d).columns == d.columns and op(d.limit(0)).count() == 0 and {3} <= {r.doc_id for r in op(d).collect()}, name
+    counted = {r.doc_id: r for r in ops["matches"](d).collect()}
+    assert (counted[1].longest, counted[1].longest_start, counted[1].n_hit) == (40, 100, 40)
+
+
+def test_pipeline_stages_return_the_columns_of_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "nothing of it here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rng = random.Random(31)
+    d = docs(spark, [(k, prose(rng, 60), "en") for k in range(12)] + [(20, None, None)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, d, str(tmp_path))
+        assert kept.schema.simpleString() == d.schema.simpleString(), name
+        assert {r.doc_id for r in kept.collect()} >= set(range(12)), name
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0, name
+
+
 def test_pipeline_drops_near_copies_of_five_words(spark):
     from quillstream.llm import pipeline
 

@@ -88,3 +88,48 @@ def cloze(sentences: DataFrame, names: DataFrame, *, most: int = 2) -> DataFrame
     options = F.array_sort(F.transform(F.concat(F.transform(others, lambda o: o["n"]), F.array("name")), lambda n: F.struct(F.sha1(F.concat(n, F.col("seed"))).alias("h"), n.alias("n"))))
     blank = F.regexp_replace(F.lower("text"), F.concat(F.lit("(^|[^a-z0-9])"), F.col("name"), F.lit("([^a-z0-9]|$)")), F.lit("$1____$2"))
     return q.select("id", "place", blank.alias("question"), F.transform(options, lambda o: o["n"]).alias("options"), F.col("name").alias("answer"))
+
+
+def swapped_statements(sentences: DataFrame, by: list[str], place: str) -> DataFrame:
+    """True statements, the sentences that have a figure, and false ones: with their first figure replaced by that of the next such sentence.
+
+    The last sentence of a group takes the first one's figure; where both are alike there is no false statement.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*by).orderBy(place)
+    f = sentences.withColumn("n", F.regexp_extract("text", r"[0-9]+(?:\.[0-9]+)?", 0)).where("n <> ''")
+    f = f.withColumn("other", F.coalesce(F.lead("n").over(w), F.first("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    at = F.instr("text", F.col("n"))
+    false = F.concat(F.substring("text", 1, at - 1), F.col("other"), F.substring("text", at + F.length("n"), F.length("text")))
+    return f.select(*by, place, F.lit(True).alias("holds"), F.col("text").alias("statement")).union(f.where("other <> n").select(*by, place, F.lit(False), false))
+
+
+#: Likeness at which a piece goes under a card, and at which two lines are one; worth that a line needs.
+ATTACHED_FROM, TWINS_FROM, LINE_FROM = 0.15, 0.25, 3.0
+
+
+def focus_layout(picks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """day, id, part and under of picks (id, day, tier, value), by the likeness of pairs (a, b, similarity) of one day.
+
+    Cards are the top tier. Another pick goes under the card it is most like (ties: the lesser id). Of the others those of
+    worth are facts or lines, best first; one that is like an earlier one is its twin. The rest has no part.
+    """
+    from quillstream.operators import clusters
+    from quillstream.operators import similarity as sim
+
+    cards = picks.where("tier = 'top'").select("id")
+    both = pairs.union(pairs.select("b", "a", "similarity"))
+    to_card = both.join(cards.withColumnRenamed("id", "a"), "a", "left_semi").join(cards.withColumnRenamed("id", "b"), "b", "left_anti")
+    attached = sim.best_match(to_card.select("a", "b", "similarity"), least=ATTACHED_FROM).select(F.col("b").alias("id"), F.col("a").alias("card"))
+    d = picks.join(attached, "id", "left")
+    rest = d.where(F.col("card").isNull() & (F.col("tier") != "top") & (F.col("value") >= LINE_FROM)).withColumn("worse", -F.col("value"))
+    # all who are alike are so to the same degree, so a twin goes to the best of them
+    alike = pairs.where(F.col("similarity") >= TWINS_FROM).select("a", "b", F.lit(1.0).alias("similarity"))
+    for side in ("a", "b"):
+        alike = alike.join(rest.select(F.col("id").alias(side)), side, "left_semi").select("a", "b", "similarity")
+    lead = clusters.greedy(rest, alike, ["worse"], members=1, least=TWINS_FROM, block="day")
+    out = d.join(lead, "id", "left")
+    part = F.when(F.col("tier") == "top", "card").when(F.col("card").isNotNull(), "attached").when(F.col("lead").isNull(), None).when(F.col("lead") != F.col("id"), "twin").when(F.col("tier") == "prelims", "fact").otherwise("line")
+    under = F.coalesce("card", F.when(F.col("lead") != F.col("id"), F.col("lead")))
+    return out.select("day", "id", part.alias("part"), under.alias("under")).where("part is not null")

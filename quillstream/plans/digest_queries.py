@@ -98,6 +98,23 @@ def focus_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.skip_ahead_budget(v, ["day"], ["worse", "id"], "minutes", 30).drop("worse")
 
 
+@query()
+def focus_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pick's part in a day's focus: cards; what is attached to a card; lines and facts of worth; twins of these."""
+    d = digest.tiers(news(spark, sf_dir)).where("tier is not null").select("id", "day", "tier").join(focus_value(spark, sf_dir).select("id", "value"), "id").persist()  # read four times
+    k = tokenised(spark, sf_dir).select("id", "tokens")
+    pairs = sim.rarity_pairs(k, among=d.select("id", "day"), block=["day"]).select("a", "b", "similarity").persist()
+    return products.focus_layout(d, pairs)
+
+
+@query("""WITH f AS (SELECT conv_id, turn, text, regexp_extract(text, '[0-9]+(?:\\.[0-9]+)?', 0) AS n FROM conversations WHERE text IS NOT NULL),
+  o AS (SELECT *, coalesce(lead(n) OVER w, first_value(n) OVER w) AS other FROM f WHERE n <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  SELECT conv_id, turn, true AS holds, text AS statement FROM o UNION ALL SELECT conv_id, turn, false, substr(text, 1, instr(text, n) - 1) || other || substr(text, instr(text, n) + length(n)) FROM o WHERE other <> n""")
+def swapped_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", "text")
+    return products.swapped_statements(s, ["conv_id"], "turn")
+
+
 @query()
 def srs_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spaced repetition: each reader's cards (event types) after all reviews."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.functions import reading
 from quillstream.functions import text as t
 
 #: Parts of a listing page that hold no headlines.
@@ -136,3 +137,21 @@ def description(html: Column, *, least: int = 40, most: int = 700) -> Column:
 
     every = F.array(named("property", "og:description"), named("name", "description"), named("name", "twitter:description"))
     return F.coalesce(F.get(F.filter(every, lambda x: F.length(x) >= least), F.lit(0)), F.lit(""))
+
+
+#: Names of tags that say when a page was published, in the order they are believed.
+PUBLISHED = (("property", "article:published_time"), ("name", "publish-date"), ("name", "pubdate"), ("name", "date"), ("itemprop", "datepublished"))
+
+
+def published_day(html: Column) -> Column:
+    """The day of a page by its tags, else by its structured data, else as written near the beginning of its text."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b([^>]*)>"), F.lit(1))
+
+    def tagged(attr: str, value: str) -> Column:
+        return attribute(F.coalesce(F.get(F.filter(tags, lambda m: F.lower(attribute(m, attr)) == value), F.lit(0)), F.lit("")), "content")
+
+    iso = lambda c: F.try_to_timestamp(F.nullif(F.regexp_extract(c, r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("")), F.lit("yyyy-MM-dd")).cast("date")
+    structured = F.regexp_extract(html, r'''(?is)"datePublished"\s*:\s*"([^"]+)"''', 1)
+    timed = F.regexp_extract(html, r"""(?is)<time\b[^>]*\bdatetime=["']([^"']+)["']""", 1)
+    written = reading.text_day(F.left(t.strip_tags(html), F.lit(400)))
+    return F.coalesce(*(iso(tagged(a, v)) for a, v in PUBLISHED), iso(structured), iso(timed), written)

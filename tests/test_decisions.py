@@ -88,6 +88,31 @@ def test_daily_digest(spark):
     assert {(r.day, r["rank"], r.id, r.tier, r.lead) for r in run(spark, "daily_digest")} == expected
 
 
+def test_focus_layout(spark):
+    value = {r.id: r.value for r in digest_queries.focus_value(spark, DATA).collect()}
+    picks = {r.id: r for r in run(spark, "digest_tiers")}
+    pairs = sim.rarity_pairs(tokenised(spark, DATA).select("id", "tokens")).collect()
+    near = {frozenset((r.a, r.b)): r.similarity for r in pairs if r.a in picks and r.b in picks and picks[r.a].day == picks[r.b].day}
+    expected = set()
+    for day in {r.day for r in picks.values()}:
+        own = [r for r in picks.values() if r.day == day]
+        cards = sorted(r.id for r in own if r.tier == "top")
+        lines = []
+        for r in sorted(own, key=lambda r: (-value[r.id], r.id)):
+            like = {c: near.get(frozenset((r.id, c)), 0.0) for c in cards}
+            best = min(cards, key=lambda c: (-like[c], c), default=None)  # noqa: B023
+            if r.tier == "top":
+                expected.add((day, r.id, "card", None))
+            elif best is not None and like[best] >= 0.15:
+                expected.add((day, r.id, "attached", best))
+            elif value[r.id] >= 3.0:
+                twin = next((x for x in lines if near.get(frozenset((r.id, x)), 0.0) >= 0.25), None)
+                if twin is None:
+                    lines.append(r.id)
+                expected.add((day, r.id, "twin" if twin is not None else "fact" if r.tier == "prelims" else "line", twin))
+    assert {(r.day, r.id, r.part, r.under) for r in run(spark, "focus_layout")} == expected
+
+
 def test_focus_plan(spark):
     days = {r.id: r.day for r in items(spark, DATA).select("id", "day").collect()}
     of = defaultdict(list)

@@ -103,6 +103,18 @@ def test_descriptions(spark):
         assert one(spark, parsers.description, page) == expected
 
 
+def test_published_days(spark):
+    cases = {
+        '<meta property="article:published_time" content="2024-03-05T10:00:00Z"><script>{"datePublished": "2023-01-01"}</script>': date(2024, 3, 5),
+        '<script type="application/ld+json">{"datePublished" : "2023-01-02T00:00"}</script>': date(2023, 1, 2),
+        "<p>New Delhi, 5 January 2024: text</p>": date(2024, 1, 5),
+        "<time datetime='2022-02-03'>x</time>": date(2022, 2, 3),
+        "<p>none</p>": None,
+    }
+    for page, day in cases.items():
+        assert one(spark, parsers.published_day, page) == day
+
+
 def reference_matches(text, rules_):
     """Distinct terms by two alternations, longest term first, over the text."""
     out = set()

@@ -190,15 +190,9 @@ def _verified(rows: DataFrame, n: int, percent: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, queries, ids, parent = None, [], [], {}
-        held: dict[int, tuple[list[int], np.ndarray]] = {}  # bitmap words -> places in queries and their bitmaps
-        sizes = np.zeros(2 * BLOCK, np.int64)
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+        at, queries, ids, parts = None, [], [], 0
+        held: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}  # bitmap words -> how many queries, their places and bitmaps
+        sizes, part = np.zeros(2 * BLOCK, np.int64), np.zeros(2 * BLOCK, np.int64)  # of queries; part numbers what is linked so far
 
         for batch in chunks(it, "text", 1 << 20):
             found = []
@@ -206,7 +200,7 @@ def _verified(rows: DataFrame, n: int, percent: int) -> DataFrame:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "block", "share", "is_query", "doc_id")), strict=True))
             for k, (*key, is_query, doc) in enumerate(keys):
                 if key != at:
-                    at, queries, ids, parent, held = key, [], [], {}, {}
+                    at, queries, ids, parts, held = key, [], [], 0, {}
                 s = sets[k]
                 size = len(s)
                 own = _bitmap(s)
@@ -214,28 +208,35 @@ def _verified(rows: DataFrame, n: int, percent: int) -> DataFrame:
                 may = np.zeros(m, bool)
                 for words, fold_own, fold_held in ((w, False, False), (w // 2, True, False), (2 * w, False, True)):
                     if words in held:
-                        places, maps = held[words]
-                        maps = maps[: len(places)]
+                        h, places, maps = held[words]
+                        places, maps = places[:h], maps[:h]
                         mine = own[: w // 2] | own[w // 2 :] if fold_own else own
                         theirs = maps[:, :w] | maps[:, w:] if fold_held else maps
-                        total = sizes[places] + size
+                        other = sizes[places]
                         differ = np.bitwise_count(theirs ^ mine).sum(1, dtype=np.int64)
-                        may[places] = ((100 + percent) * differ <= (100 - percent) * total) & (100 * np.minimum(sizes[places], size) >= percent * np.maximum(sizes[places], size))
-                for q in np.flatnonzero(may).tolist():
-                    if root(ids[q]) != root(doc):
-                        both = np.concatenate([queries[q], s])
-                        both.sort()
-                        inter = int((both[1:] == both[:-1]).sum())
-                        if 100 * inter >= percent * (int(sizes[q]) + size - inter):
-                            parent[root(doc)] = root(ids[q])
-                            found.append((doc, ids[q]))
+                        may[places] = ((100 + percent) * differ <= (100 - percent) * (other + size)) & (100 * np.minimum(other, size) >= percent * np.maximum(other, size))
+                own_part, left = -1, np.flatnonzero(may)
+                while len(left):
+                    q, left = int(left[0]), left[1:]
+                    both = np.concatenate([queries[q], s])
+                    both.sort()
+                    inter = int((both[1:] == both[:-1]).sum())
+                    if 100 * inter >= percent * (int(sizes[q]) + size - inter):
+                        found.append((doc, ids[q]))
+                        if own_part < 0:
+                            own_part = int(part[q])
+                        else:
+                            part[:m][part[:m] == part[q]] = own_part
+                        left = left[part[left] != own_part]  # links within a part change nothing
                 if is_query:
-                    places, maps = held.get(w, ([], np.zeros((16, w), np.uint64)))
-                    if len(places) == len(maps):
-                        maps = np.concatenate([maps, np.zeros_like(maps)])
-                    maps[len(places)] = own
-                    held[w] = [*places, m], maps
+                    h, places, maps = held.get(w) or (0, np.zeros(16, np.int64), np.zeros((16, w), np.uint64))
+                    if h == len(maps):
+                        places, maps = np.concatenate([places, places]), np.concatenate([maps, maps])
+                    places[h], maps[h] = m, own
+                    held[w] = h + 1, places, maps
                     sizes[m] = size
+                    part[m] = parts if own_part < 0 else own_part
+                    parts += 1
                     queries.append(s)
                     ids.append(doc)
             if found:

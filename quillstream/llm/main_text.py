@@ -45,8 +45,8 @@ from quillstream.llm.url_filter import host_and_path
 CONTENTS, SUPPORT = 8, 0.01
 #: Share of the own text that the main element holds at least; an article or main element needs less.
 MAIN, MARKED = 0.8, 0.5
-#: Share of the own text up to which an element can be left out by its name.
-NAMED = 0.3
+#: Shares of the own text up to which an element is left out for a name: one that has the name among others, and one that is just named so.
+NAMED = (0.5, MAIN)
 
 #: Elements that end a block, that hold nothing, and whose content is never main text.
 BLOCKS = frozenset(
@@ -77,9 +77,9 @@ HOST_OF_ALL = 0
 
 @dataclass
 class Page:
-    """Elements (parent, name, path, set apart by HTML, named like boilerplate) and blocks (element, template slot's left neighbour, text, linked characters)."""
+    """Elements (parent, name, path, set apart by HTML, named like boilerplate: 1 among others, 2 just so) and blocks (element, template slot's left neighbour, text, linked characters)."""
 
-    elements: list[tuple[int, str, str, bool, bool]] = field(default_factory=list)
+    elements: list[tuple[int, str, str, bool, int]] = field(default_factory=list)
     blocks: list[tuple[int, int, str, int]] = field(default_factory=list)
 
     def around(self, k: int) -> Iterator[int]:
@@ -88,22 +88,26 @@ class Page:
             k = self.elements[k][0]
 
 
-def _names_boilerplate(value: str) -> bool:
+def _names_boilerplate(value: str) -> int:
+    """2 if a class, id or role is such a name, 1 if it begins with one or with a place and one, else 0."""
+    out = 0
     for name in value.split():
         words = _WORD.findall(name)
+        if name in NAMES:
+            return 2
         if words and (words[0] in NAMES or len(words) > 1 and words[0] in PLACES and words[1] in NAMES):
-            return True
-    return False
+            out = 1
+    return out
 
 
-def _attributes(raw: str) -> tuple[str, str, bool, bool]:
+def _attributes(raw: str) -> tuple[str, str, bool, int]:
     """(class words as a path part, role, hidden, whether a name says that this is not main text)."""
     if not raw.strip(" /"):
-        return "", "", False, False
-    classes, role, named = "", "", False
+        return "", "", False, 0
+    classes, role, named = "", "", 0
     for m in _NAMED.finditer(raw):
         value = (m[2] or m[3] or m[4] or "").lower()
-        named = named or _names_boilerplate(value)
+        named = max(named, _names_boilerplate(value))
         if m[1].lower() == "class":
             classes = "." + value
         elif m[1].lower() == "role":
@@ -187,7 +191,7 @@ def parsed(page: str | None) -> Page:
         parent = open_[-1][1] if open_ else -1
         path = f"{out.elements[parent][2] if parent >= 0 else ''}/{'main' if role == 'main' else 'article' if 'articlebody' in raw.lower() else name}{classes}"
         apart = (hidden or name in DROPPED) and name not in ("html", "body")
-        out.elements.append((parent, name, path, apart, named and name not in ("html", "body")))
+        out.elements.append((parent, name, path, apart, 0 if name in ("html", "body") else named))
         if name in RAW:
             stop = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)", re.I).search(page, at)
             at = stop.start() if stop else n
@@ -319,15 +323,16 @@ class Filled:
         return _hash("slot", str(around), str(before))
 
     def held(self) -> tuple[dict[int, int], int]:
-        """Own characters inside each element, and in all, without what HTML sets apart."""
+        """Own characters inside each element, and in all, without what HTML sets apart and, if anything is left, what is just named boilerplate."""
         inside: dict[int, int] = {}
         total = 0
-        for b, _, chars in self.own:
-            k = self.page.blocks[b][0]
-            if not (k >= 0 and self.apart[k]):
-                total += chars
-                for e in self.page.around(k):
-                    inside[e] = inside.get(e, 0) + chars
+        kept = [(self.page.blocks[b][0], chars) for b, _, chars in self.own]
+        kept = [(k, chars) for k, chars in kept if not (k >= 0 and self.apart[k])]
+        plain = [(k, chars) for k, chars in kept if not any(self.page.elements[e][4] == 2 for e in self.page.around(k))]
+        for k, chars in plain if any(chars for _, chars in plain) else kept:
+            total += chars
+            for e in self.page.around(k):
+                inside[e] = inside.get(e, 0) + chars
         return inside, total
 
     def text(self) -> str:
@@ -361,6 +366,7 @@ class Filled:
             parent = page.elements[main][0]
             if parent in headed and page.elements[parent][1] not in ("html", "body") and not any(x[1] in ("h1", "h2") and main in page.around(k) for k, x in enumerate(page.elements)):
                 main = parent
+        whole = main < 0 or page.elements[main][1] in ("html", "body")
         kept = []
         for b, slot, _ in self.own:
             k, _, t, _ = page.blocks[b]
@@ -370,7 +376,8 @@ class Filled:
                 if e == main:
                     kept.append(t)
                     break
-                if page.elements[e][3] or page.elements[e][1] == "header" and main < 0 or page.elements[e][4] and share(e) < NAMED:
+                _, name, _, apart, named = page.elements[e]
+                if apart or name == "header" and whole or named and share(e) < NAMED[named - 1]:
                     break
             else:
                 if main < 0:

@@ -490,6 +490,13 @@ def test_names_decide_on_little_text_only():
     assert read('<article><p>' + "long text " * 50 + '</p><div class="post-comments"><p>nice one</p></div><div id="sidebar-left">x</div></article>') == ("long text " * 50).strip()
 
 
+def test_comments_go_however_long(spark):
+    read = main_text.own_text
+    comments = "<section id=comments>" + "<div class=comment><p>nice one, and more of it</p></div>" * 30 + "</section>"
+    assert read(f"<body><article><h1>Title</h1><p>A short article.</p>{comments}</article></body>") == "Title\nA short article."
+    assert read(f"<body><header>Site</header><article><h1>Title</h1><p>A short article.</p></article>{comments}</body>") == "Title\nA short article."
+
+
 def test_classes_are_those_of_brute_force(spark):
     rng = random.Random(16)
     rows = [(k, f"http://h{k % 3}.org/{k}", unnamed_page(rng, k, k % 2)[0]) for k in range(90)]

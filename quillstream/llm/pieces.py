@@ -40,9 +40,9 @@ N_BEST = 4
 #: What a character without a piece costs below the least score, for each of its bytes.
 UNKNOWN = 10.0
 #: Words, and texts' searches, that a worker remembers; each store is emptied when full. A word takes about 300 bytes.
-CACHE_ENTRIES, SEARCHES = 400_000, 20_000
-#: Words searched at once, and letters up to which they are.
-AT_ONCE, SHORT_WORD = 4096, 64
+CACHE_ENTRIES, SEARCHES = 150_000, 2_000
+#: Words searched at once, letters up to which they are, and bytes of text taken at once.
+AT_ONCE, SHORT_WORD, BATCH_BYTES = 2048, 64, 512 << 10
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -373,7 +373,7 @@ def segmented(docs: DataFrame, path: str, *, n: int = N_BEST) -> DataFrame:
 
     def segment(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.value
-        for batch in chunks(it, "text"):
+        for batch in chunks(it, "text", BATCH_BYTES):
             texts = batch.column("text").to_pylist()
             paths = encode_all(texts, p, n)
             flat = np.concatenate([ids for ids, _, _ in paths])

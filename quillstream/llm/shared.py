@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a worker handles at once; a single longer text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +62,4 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
                 start, held = i, 0
             held += size
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()

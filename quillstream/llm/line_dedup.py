@@ -28,7 +28,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.shared import spare, written
+from quillstream.llm.shared import release, spare, written
 
 #: Where lines end: after a line feed or punctuation that no more punctuation follows.
 MARKS = ".,;:!?…।॥،؛؟۔。！？；：，、．｡､։።፣፤၊။"
@@ -100,6 +100,7 @@ def repeated_runs(docs: DataFrame, seed: int = 0, **options: int | str) -> DataF
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     # hashes are counted first; of the places most fail the filter, so that they are not shuffled
     counted = written(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1").select("hash", "first"))
+    release(docs.sparkSession)
     repeated = _likely(rows, counted).join(counted, "hash").select("doc_id", "doc_key", "hash", "start", "k", "is_chunk", (order == F.col("first")).alias("is_first"))
     found = repeated.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set(F.struct("hash", "start", "k", "is_chunk", "is_first"))).alias("s"))
     goes = "not c.is_first or get(s, i - 1).hash <=> c.hash"
@@ -140,8 +141,10 @@ def dedup_lines(docs: DataFrame, *, removed: str = "_n_removed", **options: int
     """`docs` with repeated passages gone from `text`, and with the number of lines gone behind its columns."""
     for seed in itertools.count():
         found = repeated_runs(docs, seed, **options)
+        release(docs.sparkSession)
         if mixed_hashes(docs, found, seed, line_hash=str(options.get("line_hash", LINE_HASH))).isEmpty():
             break
+    release(docs.sparkSession)
     gone = written(found.where("size(gone) > 0").select("doc_id", "doc_key", "gone"))
     out, names = _joined(docs, gone, "left")
     g, pieces = (f"`{x}`" for x in (names["gone"], spare(out, "_pieces")))

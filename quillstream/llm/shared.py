@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,6 +47,12 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver find what nothing refers to any more, so that Spark deletes the shuffle files of steps whose results are written."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of each take `most` bytes at most, or are one text."""
     for batch in batches:

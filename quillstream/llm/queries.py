@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, jaccard, language, line_dedup, main_text, personal_data, pieces, quality, token_counts, url_filter
+from quillstream.llm import decontaminate, fill_middle, filter_audit, jaccard, language, line_dedup, main_text, packing, personal_data, pieces, quality, token_counts, url_filter
 from quillstream.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = packing.pack(packing.encoded(docs, vocabulary("byte_bpe_50k.json"), end=1), rows=docs.count())
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -98,6 +113,9 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard": op8_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_language": op10_language,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_packing": op13_packing,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -112,7 +130,7 @@ win AS (SELECT DISTINCT item_id, k, g FROM winp),
 dw AS (SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) WHERE len(ws) >= k)),
 m AS (SELECT doc_id, item_id, k, i FROM dw JOIN win USING (k, g)),
 h AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS q FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id),
 dg AS (SELECT doc_id, item_id, i, i - p AS diagonal, max(k) AS k FROM dw JOIN winp USING (k, g) GROUP BY ALL),
 isl AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS run FROM dg),
 rn AS (SELECT doc_id, item_id, max(i + k) - min(i) AS size, min(i) - 1 AS start FROM isl GROUP BY doc_id, item_id, diagonal, run),
@@ -129,4 +147,28 @@ e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, ways.b FROM r JOIN ways ON ways.a = r.reached)
 SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.reached) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.id = d.doc_id GROUP BY d.doc_id""",
+    "op11_filter_audit": """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS q, max(CAST(toxic = 1 AS INTEGER)) AS x FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(q, 0) AS q, coalesce(x, 0) AS x, CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(q) AS q, sum(x) AS x FROM f GROUP BY ALL),
+letters(k) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT concat(a.k, b.k, c.k, d.k, e.k) AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS k, filter_order[1:step - 1] AS earlier FROM orders, range(1, 6) AS r(step)),
+r AS (SELECT c.*, s.*, contains(fails, k) AS failing, translate(earlier, fails, '') <> earlier AS gone FROM c, s),
+g AS (SELECT part, filter_order, step, k, sum(n) FILTER (WHERE NOT gone AND NOT failing) AS kept, sum(n) FILTER (WHERE NOT gone AND failing) AS removed, sum(n) FILTER (WHERE gone AND failing) AS redundant,
+  sum(n) FILTER (WHERE fails = k) AS unique_fails, sum(q) FILTER (WHERE NOT gone AND failing) AS good_lost, sum(x) FILTER (WHERE NOT gone AND failing) AS toxic_lost FROM r GROUP BY part, filter_order, step, k)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM g""",
+    "op12_fill_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS us, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+f AS (SELECT *, len(us) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM f),
+p AS (SELECT *, array_to_string(us[1:a], '') AS p, array_to_string(us[a + 1:b], '') AS m, array_to_string(us[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) WHEN 'spm' THEN concat('<S>', s, '<P>', p, '<M>', m) ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
 }

@@ -170,36 +170,66 @@ def _wide(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4", len(data) // 4) if len(data) % 2 else np.frombuffer(data, "<u2")
 
 
-def pack(examples: DataFrame, limits: Limits = Limits(), *, rows: int, cut: bool = True) -> DataFrame:  # noqa: B008
-    """(doc_id, start, length, doc_tokens, ids, sequence_id, offset): the pieces of all examples and where they lie.
+def _cut(doc: int | None, ids: np.ndarray, cum: np.ndarray | None, limits: Limits) -> Iterator[tuple]:
+    """Rows of the pieces of an example that keep the limits."""
+    piece = Piece(doc, 0, len(ids), ids, cum) if len(ids) else None
+    while piece is not None:
+        k = max(1, piece.fitting(limits.tokens, limits.loss))
+        first, piece = (piece, None) if k >= len(piece.ids) else piece.cut(k)
+        yield first.doc, first.start, first.doc_tokens, _narrow(first.ids), None if first.cum is None else np.diff(first.cum).astype(np.uint8).tobytes()
+
+
+def _batched(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    out, held = [], 0
+    for row in rows:
+        out.append(row)
+        held += len(row[3])
+        if held > 1 << 21:
+            yield _rows(out, _PIECES)
+            out, held = [], 0
+    yield _rows(out, _PIECES)
 
-    `examples` has doc_id, ids (array<int>) and perhaps mask (array<boolean>, whether a token bears loss); `rows` is about how many
-    there are. The ids of a piece are little-endian unsigned 32-bit numbers.
-    """
 
-    def cut_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pieces_of(examples: DataFrame, limits: Limits) -> DataFrame:
+    """The pieces of examples (doc_id, ids array<int>, perhaps mask array<boolean>: whether a token bears loss)."""
+
+    def cum_of(mask: pa.Scalar, n: int) -> np.ndarray | None:
+        if mask.values is None:
+            return None
+        bears = mask.values.fill_null(False).to_numpy(zero_copy_only=False)[:n]
+        return np.append(0, np.cumsum(np.append(bears, np.zeros(n - len(bears), bool)), dtype=np.int64))
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in it:
-            out: list[tuple] = []
-            held = 0
-            ids, mask = batch.column("ids"), batch.column("mask")
-            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-                values = ids[i].values
-                if values is None or not len(values):
-                    continue
-                values = values.to_numpy(zero_copy_only=False)
-                bears = mask[i].values
-                cum = None if bears is None else np.append(0, np.cumsum(np.resize(bears.fill_null(False).to_numpy(zero_copy_only=False), len(values)) if len(bears) else np.zeros(len(values), bool)))
-                piece = Piece(doc, 0, len(values), values, cum)
-                while piece is not None:
-                    k = max(1, piece.fitting(limits.tokens, limits.loss))
-                    first, piece = (piece, None) if k >= len(piece.ids) else piece.cut(k)
-                    data = _narrow(first.ids)
-                    out.append((first.doc, first.start, first.doc_tokens, data, None if first.cum is None else np.diff(first.cum).astype(np.uint8).tobytes()))
-                    held += len(data)
-                    if held > 1 << 22:
-                        yield _rows(out, _PIECES)
-                        out, held = [], 0
-            yield _rows(out, _PIECES)
+            for doc, ids, mask in zip(*(batch.column(c) for c in ("doc_id", "ids", "mask")), strict=True):
+                if ids.values is not None:
+                    values = ids.values.to_numpy(zero_copy_only=False)
+                    yield from _cut(doc.as_py(), values, cum_of(mask, len(values)), limits)
+
+    mask = F.col("mask").cast("array<boolean>") if "mask" in examples.columns else F.lit(None).cast("array<boolean>")
+    e = examples.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"), mask.alias("mask"))
+    return e.mapInArrow(lambda it: _batched(rows(it)), _PIECES)
+
+
+def pieces_of_texts(docs: DataFrame, path: str, limits: Limits, end: int | None = None) -> DataFrame:
+    """The pieces of the ids of texts, each text's with the id `end` behind it, by the tokenizer in the file at `path`."""
+    held = docs.sparkSession.sparkContext.broadcast(Encoder(open(path, encoding="utf-8").read(), end))
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in chunks(it, "text"):
+            ids, at = held.value.encode([t or "" for t in batch.column("text").to_pylist()])
+            for doc, start, stop in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                yield from _cut(doc, ids[start:stop], None, limits)
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return d.mapInArrow(lambda it: _batched(rows(it)), _PIECES)
+
+
+def place(pieces: DataFrame, limits: Limits, *, rows: int, cut: bool = True) -> DataFrame:
+    """(doc_id, start, length, doc_tokens, ids, sequence_id, offset): where each piece lies, perhaps cut further.
+
+    `rows` is about how many examples there are. The ids of a piece are little-endian unsigned 32-bit numbers.
+    """
 
     def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: list[int] = []
@@ -230,30 +260,23 @@ def pack(examples: DataFrame, limits: Limits = Limits(), *, rows: int, cut: bool
                 out = []
         yield _rows(out, _PACKED)
 
-    mask = F.col("mask").cast("array<boolean>") if "mask" in examples.columns else F.lit(None).cast("array<boolean>")
-    e = examples.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"), mask.alias("mask"))
     shards = max(1, -(-rows // PER_SHARD))
-    d = e.mapInArrow(cut_up, _PIECES).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(shards)))
+    d = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(shards)))
     d = d.repartition("shard").sortWithinPartitions("shard", "doc_id", "start", "ids", "mask")
     return d.mapInArrow(packed, _PACKED)
 
 
-def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    names, kinds = zip(*(c.split(" ") for c in schema.split(", ")), strict=True)
-    cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, {"long": pa.int64(), "binary": pa.binary()}[k]) for c, k in zip(cols, kinds, strict=True)], names=list(names))
+def pack(examples: DataFrame, limits: Limits = Limits(), *, rows: int, cut: bool = True) -> DataFrame:  # noqa: B008
+    """Packed pieces of examples that have their ids."""
+    return place(pieces_of(examples, limits), limits, rows=rows, cut=cut)
 
 
-def encoded(docs: DataFrame, path: str, end: int | None = None) -> DataFrame:
-    """(doc_id, ids): the ids of each text, with the id `end` behind them."""
-    held = docs.sparkSession.sparkContext.broadcast(Encoder(open(path, encoding="utf-8").read()))
+def pack_texts(docs: DataFrame, path: str, limits: Limits = Limits(), *, end: int | None = None, cut: bool = True) -> DataFrame:  # noqa: B008
+    """Packed pieces of texts."""
+    return place(pieces_of_texts(docs, path, limits, end), limits, rows=docs.count(), cut=cut)
 
-    def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.array([] if end is None else [end], np.int32)
-        for batch in chunks(it, "text"):
-            found = [np.append(x, tail) for x in held.value.encode([t or "" for t in batch.column("text").to_pylist()])]
-            ends = np.cumsum([0] + [len(x) for x in found])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int32)]), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids array<int>")
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split(" ") for c in schema.split(", ")), strict=True)
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, {"long": pa.int64(), "binary": pa.binary()}[k]) for c, k in zip(cols, kinds, strict=True)], names=list(names))

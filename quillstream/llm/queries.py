@@ -91,8 +91,7 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = packing.pack(packing.encoded(docs, vocabulary("byte_bpe_50k.json"), end=1), rows=docs.count())
+    found = packing.pack_texts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=1)
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from quillstream.operators import similarity as sim
 
-#: Members of a story that a new report is compared with, and of a card.
-STORY_MEMBERS, CARD_MEMBERS = 8, 3
+#: Members of a card that a new one is compared with.
+CARD_MEMBERS = 3
 
 
 def blocks(pairs: DataFrame) -> DataFrame:
@@ -51,14 +51,16 @@ def greedy(items: DataFrame, pairs: DataFrame, order: list[str], *, members: int
             near.setdefault(c, {})[a] = s
         lead: dict[int, int] = {}
         first: dict[int, list[int]] = {}
+        number: dict[int, int] = {}
         for x in rows.sort_values("place")["id"]:
             best, top = None, 0.0
-            for g in sorted({lead[y] for y in near.get(x, {}) if y in lead}, key=lambda g: list(first).index(g)):
+            for g in sorted({lead[y] for y in near.get(x, {}) if y in lead}, key=number.__getitem__):
                 s = max((near[x].get(m, 0.0) for m in first[g][:members]), default=0.0)
                 if s > top:
                     best, top = g, s
             g = x if best is None else best
             lead[x] = g
+            number.setdefault(g, len(number))
             first.setdefault(g, []).append(x)
         return pd.DataFrame({"id": list(lead), "lead": list(lead.values())})
 
@@ -66,13 +68,6 @@ def greedy(items: DataFrame, pairs: DataFrame, order: list[str], *, members: int
     return items.select("id").join(grouped, "id", "left").select("id", F.coalesce("lead", "id").alias("lead"))
 
 
-def stories(items: DataFrame) -> DataFrame:
-    """(id, story): reports of one kind (id, kind, day, tokens) that resemble a story's first reports, oldest first."""
-    d = items.select("id", "kind", "day", "tokens")
-    p = sim.similar_stories(d, block=["kind"])
-    return greedy(d, p, ["day"], members=STORY_MEMBERS, least=1e-9).withColumnRenamed("lead", "story")
-
-
 def split_by_kind(members: DataFrame) -> DataFrame:
     """(id, kind, story) with stories of one kind only: the founder's kind keeps the story, each other kind founds its own."""
     w = Window.partitionBy("story")

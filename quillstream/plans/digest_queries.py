@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as t
-from quillstream.operators import clusters, digest, products, rules, windows
+from quillstream.operators import clusters, digest, memory, products, rules, windows
 from quillstream.operators import similarity as sim
 from quillstream.plans.registry import query
 from quillstream.plans.rule_queries import GRADED_SQL, SUBJECTS, _terms_sql, graded, subject_scores
@@ -55,7 +55,8 @@ def daily_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def story_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.stories(tokenised(spark, sf_dir))
+    """Stories with a memory of three days over the whole history."""
+    return memory.assigned(tokenised(spark, sf_dir)).select("id", "story")
 
 
 @query("""WITH m AS (SELECT doc_id AS id, doc_id - doc_id % 7 AS story, CASE doc_id % 10 WHEN 0 THEN 'editorial' WHEN 1 THEN 'explained' ELSE 'news' END AS kind FROM documents WHERE doc_id IS NOT NULL),

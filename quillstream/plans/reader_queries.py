@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.operators import clusters, rules, stories, windows
+from quillstream.operators import memory, rules, stories, windows
 from quillstream.plans.registry import query
 from quillstream.plans.rule_queries import _RANKED, _SCORES, _TAG_SQL, GRADED_SQL, TAGS, WATCH, graded, subject_scores
 from quillstream.sources.tables import ITEMS_SQL, items, read, tokenised
@@ -49,7 +49,7 @@ def story_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def story_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories of the reports that were clustered together."""
-    of = clusters.stories(tokenised(spark, sf_dir)).select("id", "story")
+    of = memory.assigned(tokenised(spark, sf_dir)).select("id", "story")
     return _listed(stories.aggregated(reports(spark, sf_dir).join(of, "id"), TIER_RANKS))
 
 

@@ -51,7 +51,16 @@ def test_story_clusters(spark):
                 near[frozenset((a.id, b.id))] = 2.0
             elif shared >= 3 and (jaccard >= 0.5 or (contain >= 0.75 and shared >= 4)):
                 near[frozenset((a.id, b.id))] = jaccard + contain
-    expected = greedy([r.id for r in sorted(rows, key=lambda r: (r.day, r.id))], near, 8)
+    expected, groups, last = {}, {}, {}
+    for r in sorted(rows, key=lambda r: (r.day, r.id)):
+        best, top = r.id, 0.0
+        for g, own in groups.items():
+            s = max(near.get(frozenset((r.id, m)), 0.0) for m in own[:8])
+            if s > top and last[g] >= r.day - 3:
+                best, top = g, s
+        expected[r.id] = best
+        groups.setdefault(best, []).append(r.id)
+        last[best] = r.day
     assert {r.id: r.story for r in run(spark, "story_clusters")} == expected
     assert len(set(expected.values())) < len(expected)
 

@@ -16,17 +16,21 @@ from quillstream.operators import similarity as sim
 CARD_MEMBERS = 3
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """`df` computed once: written to the checkpoint folder, or where none is set kept by the executors."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
 def blocks(pairs: DataFrame) -> DataFrame:
     """(id, block): connected components of pairs (a, b) by least labels and pointer jumping; stops when nothing changes."""
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().persist()
     label = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("block"))
-    durable = label.sparkSession.conf.get("spark.checkpoint.dir", None)
     while True:
         near = both.join(label.select(F.col("id").alias("b"), "block"), "b").groupBy(F.col("a").alias("id")).agg(F.min("block").alias("near"))
         least = label.join(near, "id").select("id", "block", F.least("block", "near").alias("now"))
         jump = label.select(F.col("id").alias("now"), F.col("block").alias("next"))
         new = least.join(jump, "now").select("id", "block", F.least("now", "next").alias("now"))
-        new = new.checkpoint() if durable else new.persist()
+        new = durable(new)
         label = new.select("id", F.col("now").alias("block"))
         if new.where("block <> now").isEmpty():
             return label

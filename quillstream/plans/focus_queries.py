@@ -57,18 +57,18 @@ def focus_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return focus.fitted(d, ["day"], "budget", [-F.col("value"), F.col("id")])
 
 
-@query(f"""{_TIERS}, ps AS (SELECT id, day, CASE tier WHEN 'top' THEN 'card' WHEN 'prelims' THEN 'fact' ELSE 'line' END AS part, bs AS score, grade, 3 AS base FROM t WHERE tier IS NOT NULL
+@query(f"""{_TIERS}, picked AS (SELECT id, day, CASE tier WHEN 'top' THEN 'card' WHEN 'prelims' THEN 'fact' ELSE 'line' END AS part, bs AS score, grade, 3 AS base FROM t WHERE tier IS NOT NULL
     UNION ALL SELECT id, day, CASE kind WHEN 'editorial' THEN 'ed' ELSE 'bg' END, score, grade, CASE kind WHEN 'editorial' THEN 6 ELSE 5 END FROM g WHERE kind <> 'news' AND grade <> 'LOW'),
-  b AS (SELECT *, base + CASE WHEN grade = 'NOTE' THEN 1 ELSE 0 END AS minutes, score >= 5.0 AS must FROM ps, (VALUES (30), (60), (90)) v(budget)),
-  w AS (SELECT *, sum(minutes) OVER p AS spent, row_number() OVER p AS nth FROM b WINDOW p AS (PARTITION BY day, budget, part ORDER BY score DESC, id)),
-  c AS (SELECT *, part = 'card' AND (nth <= 3 OR spent <= budget * 0.5) AS card FROM w),
-  o AS (SELECT *, part = 'card' AND NOT card AND must AS isover FROM c),
-  l AS (SELECT *, isover OR (part = 'line' AND nth <= floor(budget * 0.15 / 0.5 + 0.5) - count(*) FILTER (WHERE isover) OVER (PARTITION BY day, budget)) AS line, part = 'fact' AND nth <= floor(budget * 0.15 / 0.5 + 0.5) AS fact FROM o),
-  r AS (SELECT *, budget - sum(CASE WHEN card THEN minutes WHEN line OR fact THEN 0.5 ELSE 0 END) OVER (PARTITION BY day, budget) AS rest FROM l),
-  e AS (SELECT *, part = 'ed' AND (nth <= 1 OR spent <= rest - CASE WHEN budget >= 90 THEN 5 ELSE 0 END) AS ed FROM r),
-  f AS (SELECT *, part = 'bg' AND budget >= 90 AND spent <= rest - sum(CASE WHEN ed THEN minutes ELSE 0 END) OVER (PARTITION BY day, budget) AS bg FROM e),
-  k AS (SELECT day, budget, id, score, isover, CASE WHEN isover THEN 'line' ELSE part END AS part FROM f WHERE card OR line OR fact OR ed OR bg)
-  SELECT day, budget, id, part, row_number() OVER (PARTITION BY day, budget, part ORDER BY NOT isover, score DESC, id) AS place FROM k""")
+  budgets AS (SELECT *, base + CASE WHEN grade = 'NOTE' THEN 1 ELSE 0 END AS minutes, score >= 5.0 AS must FROM picked, (VALUES (30), (60), (90)) v(budget)),
+  running AS (SELECT *, sum(minutes) OVER p AS spent, row_number() OVER p AS nth FROM budgets WINDOW p AS (PARTITION BY day, budget, part ORDER BY score DESC, id)),
+  carded AS (SELECT *, part = 'card' AND (nth <= 3 OR spent <= budget * 0.5) AS card FROM running),
+  overs AS (SELECT *, part = 'card' AND NOT card AND must AS isover FROM carded),
+  lined AS (SELECT *, isover OR (part = 'line' AND nth <= floor(budget * 0.15 / 0.5 + 0.5) - count(*) FILTER (WHERE isover) OVER (PARTITION BY day, budget)) AS line, part = 'fact' AND nth <= floor(budget * 0.15 / 0.5 + 0.5) AS fact FROM overs),
+  resting AS (SELECT *, budget - sum(CASE WHEN card THEN minutes WHEN line OR fact THEN 0.5 ELSE 0 END) OVER (PARTITION BY day, budget) AS rest FROM lined),
+  read_ AS (SELECT *, part = 'ed' AND (nth <= 1 OR spent <= rest - CASE WHEN budget >= 90 THEN 5 ELSE 0 END) AS ed FROM resting),
+  fitting AS (SELECT *, part = 'bg' AND budget >= 90 AND spent <= rest - sum(CASE WHEN ed THEN minutes ELSE 0 END) OVER (PARTITION BY day, budget) AS bg FROM read_),
+  kept AS (SELECT day, budget, id, score, isover, CASE WHEN isover THEN 'line' ELSE part END AS part FROM fitting WHERE card OR line OR fact OR ed OR bg)
+  SELECT day, budget, id, part, row_number() OVER (PARTITION BY day, budget, part ORDER BY NOT isover, score DESC, id) AS place FROM kept""")
 def budget_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares of 30, 60 and 90 minutes over a day's tiers as they are, by score."""
     d = section_picks(spark, sf_dir)

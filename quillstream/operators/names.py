@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.operators.clusters import durable
+
 #: Words of a titled person's name at most.
 PERSON_WORDS = 3
 
@@ -39,7 +41,7 @@ def starts(texts: DataFrame, field: str, longest: int) -> DataFrame:
 
 def hits(texts: DataFrame, field: str, gazetteer: DataFrame) -> DataFrame:
     """(id, start, stop, name, kind): the longest names of a column or expression that no longer one contains; stop is exclusive."""
-    t = trie(gazetteer).persist()
+    t = durable(trie(gazetteer))
     longest = t.agg(F.max("depth")).first()[0] or 0
     alive = starts(texts, field, max(1, longest)).select("id", "start", F.transform("w", F.lower).alias("w")).withColumn("state", F.lit(""))
     every = None

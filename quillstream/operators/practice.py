@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.operators.clusters import durable
+
 #: Sentences of a story that are looked at, names of a kind and week that are offered, questions of a story and of a day.
 SENTENCES, POOL_NAMES, PER_STORY, PER_DAY = 8, 40, 2, 60
 #: The options of statements, and of statements by three and pairs.
@@ -161,10 +163,10 @@ def questions(stories: DataFrame, sentences: DataFrame, kinds: dict[str, str], *
     Stories have story, day, week, title and text.
     """
     order = list(dict.fromkeys(kinds.values()))
-    p = pieces(sentences).persist()
-    pool = pools(stories, p, kinds).persist()  # bounded by weeks, kinds and POOL_NAMES
-    names = name_swaps(stories, p, pool).persist()
-    numbers = figure_swaps(stories, p)
+    p = durable(pieces(sentences))
+    pool = durable(pools(stories, p, kinds))  # bounded by weeks, kinds and POOL_NAMES
+    names = durable(name_swaps(stories, p, pool))
+    numbers = durable(figure_swaps(stories, p))
     own = statements(names.union(numbers), p, order).union(blanks(names, p, order)).union(figures(numbers, p))
     types = F.array(*map(F.lit, ("statements", "blank", "figure")))
     rank = F.row_number().over(Window.partitionBy("story").orderBy(F.array_position(types, F.col("type"))))

@@ -52,15 +52,24 @@ def pieces(text: Column) -> Column:
 
 def matched(texts: DataFrame, rules: list[Rule], fields: dict[str, float]) -> DataFrame:
     """(id, field, factor, term, bucket, weight): the distinct terms of each field, a column or expression of `texts`."""
-    forms = {f for _, term, _ in rules for f in forms_of(term)}
-    if not forms:
-        return texts.select("id", F.lit("").alias("field"), F.lit(0.0).alias("factor"), F.lit("").alias("term"), F.lit("").alias("bucket"), F.lit(0.0).alias("weight")).limit(0)
+    return matched_sets(texts, {"": (rules, fields)}).drop("set")
+
+
+def matched_sets(texts: DataFrame, sets: dict[str, tuple[list[Rule], dict[str, float]]]) -> DataFrame:
+    """(id, set, field, factor, term, bucket, weight): `matched` for several sets of rules, each with its own fields.
+
+    Texts are split once for all sets; terms overlap within a set only.
+    """
     spark = texts.sparkSession
+    forms = {(name, *f) for name, (rules, _) in sets.items() for _, term, _ in rules for f in forms_of(term)}
+    if not forms:
+        return spark.createDataFrame([], f"id {texts.schema['id'].dataType.simpleString()}, set string, field string, factor double, term string, bucket string, weight double")
     split = lambda s: re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9]", s)
-    lengths = sorted({len(split(f.form)) for f in forms})
-    heads = sorted({split(f.form)[0].lower() for f in forms})
-    known = F.broadcast(spark.createDataFrame(sorted(forms), "form string, is_exact boolean, term string"))
-    parts = [texts.select("id", F.lit(c).alias("field"), F.lit(factor).alias("factor"), pieces(F.expr(c)).alias("p")) for c, factor in fields.items()]
+    lengths = sorted({len(split(form)) for _, form, _, _ in forms})
+    heads = sorted({split(form)[0].lower() for _, form, _, _ in forms})
+    fields = sorted({c for _, own in sets.values() for c in own})
+    known = F.broadcast(spark.createDataFrame(sorted((*f, c, float(factor)) for f in forms for c, factor in sets[f[0]][1].items()), "set string, form string, is_exact boolean, term string, field string, factor double"))
+    parts = [texts.select("id", F.lit(c).alias("field"), pieces(F.expr(c)).alias("p")) for c in fields]
     d = parts[0]
     for x in parts[1:]:
         d = d.union(x)
@@ -72,11 +81,12 @@ def matched(texts: DataFrame, rules: list[Rule], fields: dict[str, float]) -> Da
 
     runs = F.concat(*(runs_of(n) for n in lengths))
     # the outer form: the plain one would be filtered by the whole expression before, once for each element
-    d = d.select("id", "field", "factor", F.inline_outer(F.when(F.size("p") > 0, runs))).where("run is not null")
-    found = d.join(known, F.lower("run") == F.lower("form")).where("not is_exact or run = form").select("id", "field", "factor", "is_exact", "start", "n", "term")
+    d = d.select("id", F.col("field").alias("own"), F.inline_outer(F.when(F.size("p") > 0, runs))).where("run is not null")
+    found = d.join(known, (F.col("own") == F.col("field")) & (F.lower("run") == F.lower("form"))).where("not is_exact or run = form")
     # longest first among those that begin together, the term itself before a plural
     order = F.struct(F.col("start"), (-F.length("term")).alias("longest"), (-F.col("n")).alias("n"), F.col("term"))
-    kept = found.groupBy("id", "field", "factor", "is_exact").agg(F.array_sort(F.collect_list(order)).alias("m"))
+    kept = found.groupBy("id", "set", "field", "factor", "is_exact").agg(F.array_sort(F.collect_list(order)).alias("m"))
     kept = kept.withColumn("m", F.expr("aggregate(m, struct(cast(array() as array<string>) as terms, 0 as stop), (a, x) -> if(x.start < a.stop, a, struct(array_append(a.terms, x.term) as terms, x.start - x.n as stop)), a -> array_distinct(a.terms))"))
-    weights = F.broadcast(spark.createDataFrame(sorted({(f.term, f.is_exact, bucket, float(w)) for bucket, term, w in rules for f in forms_of(term)}), "term string, is_exact boolean, bucket string, weight double"))
-    return kept.select("id", "field", "factor", "is_exact", F.explode("m").alias("term")).join(weights, ["term", "is_exact"]).select("id", "field", "factor", "term", "bucket", "weight")
+    weighed = {(name, f.term, f.is_exact, bucket, float(w)) for name, (rules, _) in sets.items() for bucket, term, w in rules for f in forms_of(term)}
+    weights = F.broadcast(spark.createDataFrame(sorted(weighed), "set string, term string, is_exact boolean, bucket string, weight double"))
+    return kept.select("id", "set", "field", "factor", "is_exact", F.explode("m").alias("term")).join(weights, ["set", "term", "is_exact"]).select("id", "set", "field", "factor", "term", "bucket", "weight")

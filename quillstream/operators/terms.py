@@ -86,7 +86,7 @@ def matched_sets(texts: DataFrame, sets: dict[str, tuple[list[Rule], dict[str, f
     # longest first among those that begin together, the term itself before a plural
     order = F.struct(F.col("start"), (-F.length("term")).alias("longest"), (-F.col("n")).alias("n"), F.col("term"))
     kept = found.groupBy("id", "set", "field", "factor", "is_exact").agg(F.array_sort(F.collect_list(order)).alias("m"))
-    kept = kept.withColumn("m", F.expr("aggregate(m, struct(cast(array() as array<string>) as terms, 0 as stop), (a, x) -> if(x.start < a.stop, a, struct(array_append(a.terms, x.term) as terms, x.start - x.n as stop)), a -> array_distinct(a.terms))"))
+    kept = kept.withColumn("m", F.expr("aggregate(m, struct(cast(array() as array<string>) as terms, 0 as stop), (a, x) -> if(x.start < a.stop, a, struct(if(array_contains(a.terms, x.term), a.terms, array_append(a.terms, x.term)) as terms, x.start - x.n as stop)), a -> a.terms)"))
     weighed = {(name, f.term, f.is_exact, bucket, float(w)) for name, (rules, _) in sets.items() for bucket, term, w in rules for f in forms_of(term)}
     weights = F.broadcast(spark.createDataFrame(sorted(weighed), "set string, term string, is_exact boolean, bucket string, weight double"))
     return kept.select("id", "set", "field", "factor", "is_exact", F.explode("m").alias("term")).join(weights, ["set", "term", "is_exact"]).select("id", "set", "field", "factor", "term", "bucket", "weight")

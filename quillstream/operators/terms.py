@@ -79,7 +79,9 @@ def matched_sets(texts: DataFrame, sets: dict[str, tuple[list[Rule], dict[str, f
         # null at the end of a text; slice would copy the whole array for each run
         return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.concat(*(F.get("p", i - 1 + k) for k in range(n))).alias("run")))
 
-    runs = F.concat(*(runs_of(n) for n in lengths))
+    # runs that are no form of any set are left out before they would be rows
+    wanted = sorted({form.lower() for _, form, _, _ in forms})
+    runs = F.filter(F.concat(*(runs_of(n) for n in lengths)), lambda r: F.lower(r["run"]).isin(wanted))
     # the outer form: the plain one would be filtered by the whole expression before, once for each element
     d = d.select("id", F.col("field").alias("own"), F.inline_outer(F.when(F.size("p") > 0, runs))).where("run is not null")
     found = d.join(known, (F.col("own") == F.col("field")) & (F.lower("run") == F.lower("form"))).where("not is_exact or run = form")

@@ -91,8 +91,8 @@ def rarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_RARITY}, q AS (SELECT a, b, round(s, 6) AS s FROM r WHERE s >= 0.15), k AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY s DESC, a) AS rn FROM q) SELECT b AS piece, a AS card FROM k WHERE rn = 1")
 def best_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = sim.rarity_pairs(tokenised(spark, sf_dir).select("id", "tokens")).withColumn("similarity", F.round("similarity", 6))
-    return sim.best_match(p.where("similarity >= 0.15")).select(F.col("b").alias("piece"), F.col("a").alias("card"))
+    groups, pairs = sim.rarity_groups(tokenised(spark, sf_dir).select("id", "tokens"), least=0.149)  # before rounding
+    return sim.best_earlier(groups, pairs.withColumn("similarity", F.round("similarity", 6)), least=0.15).select(F.col("b").alias("piece"), F.col("a").alias("card"))
 
 
 @query("""SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS d FROM events) e

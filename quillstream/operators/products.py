@@ -109,26 +109,25 @@ def swapped_statements(sentences: DataFrame, by: list[str], place: str) -> DataF
 ATTACHED_FROM, TWINS_FROM, LINE_FROM = 0.15, 0.25, 3.0
 
 
-def focus_layout(picks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """day, id, part and under of picks (id, day, tier, value), by the likeness of pairs (a, b, similarity) of one day.
+def focus_layout(picks: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """day, id, part and under of picks (id, day, tier, value), by the likeness of pairs (a, b, similarity) of `sets` (id, set) of one day.
 
     Cards are the top tier. Another pick goes under the card it is most like (ties: the lesser id). Of the others those of
-    worth are facts or lines, best first; one that is like an earlier one is its twin. The rest has no part.
+    worth are facts or lines, best first; one that is like an earlier one is its twin. The rest has no part. A set's pair with
+    itself says that its ids are alike; its least card stands for its cards.
     """
     from quillstream.operators import clusters
     from quillstream.operators import similarity as sim
 
-    cards = picks.where("tier = 'top'").select("id")
-    both = pairs.union(pairs.select("b", "a", "similarity"))
-    to_card = both.join(cards.withColumnRenamed("id", "a"), "a", "left_semi").join(cards.withColumnRenamed("id", "b"), "b", "left_anti")
-    attached = sim.best_match(to_card.select("a", "b", "similarity"), least=ATTACHED_FROM).select(F.col("b").alias("id"), F.col("a").alias("card"))
-    d = picks.join(attached, "id", "left")
+    cards = picks.where("tier = 'top'").join(sets, "id").groupBy(F.col("set").alias("a")).agg(F.min("id").alias("card"))
+    to_card = sim.both_ways(pairs.where(F.col("similarity") >= ATTACHED_FROM)).join(cards, "a")
+    of_set = to_card.groupBy("b").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "card")).alias("w")).select(F.col("b").alias("set"), F.col("w.card").alias("card"))
+    attached = sets.join(of_set, "set").select("id", "card")
+    d = picks.join(attached, "id", "left").withColumn("card", F.when(F.col("tier") != "top", F.col("card")))
     rest = d.where(F.col("card").isNull() & (F.col("tier") != "top") & (F.col("value") >= LINE_FROM)).withColumn("worse", -F.col("value"))
     # all who are alike are so to the same degree, so a twin goes to the best of them
     alike = pairs.where(F.col("similarity") >= TWINS_FROM).select("a", "b", F.lit(1.0).alias("similarity"))
-    for side in ("a", "b"):
-        alike = alike.join(rest.select(F.col("id").alias(side)), side, "left_semi").select("a", "b", "similarity")
-    lead = clusters.greedy(rest, alike, ["worse"], members=1, least=TWINS_FROM, block="day")
+    lead = clusters.greedy(rest, alike, ["worse"], members=1, least=TWINS_FROM, block="day", sets=sets)
     out = d.join(lead, "id", "left")
     part = F.when(F.col("tier") == "top", "card").when(F.col("card").isNotNull(), "attached").when(F.col("lead").isNull(), None).when(F.col("lead") != F.col("id"), "twin").when(F.col("tier") == "prelims", "fact").otherwise("line")
     under = F.coalesce("card", F.when(F.col("lead") != F.col("id"), F.col("lead")))

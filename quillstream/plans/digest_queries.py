@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import text as t
 from quillstream.operators import clusters, digest, memory, products, rules, windows
 from quillstream.operators import similarity as sim
+from quillstream.operators.similarity import durable
 from quillstream.plans.registry import query
 from quillstream.plans.rule_queries import GRADED_SQL, SUBJECTS, _terms_sql, graded, subject_scores
 from quillstream.sources.tables import items, read, tokenised
@@ -46,10 +47,9 @@ def coverage_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def daily_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards and lines of each day, folded by event, with dense ranks: leads first, then what is folded into them."""
-    d = digest.tiers(news(spark, sf_dir)).where("tier is not null").persist()  # read three times
-    k = tokenised(spark, sf_dir).select("id", "tokens")
-    same_day = sim.rarity_pairs(k, among=d.select("id", "day"), block=["day"])
-    f = clusters.folds(d.select("id", "day", F.col("bs").alias("score")), same_day.select("a", "b", "similarity"))
+    d = durable(digest.tiers(news(spark, sf_dir)).where("tier is not null").select("id", "day", "bs", "tier"))  # read three times
+    sets, same_day = sim.rarity_sets(tokenised(spark, sf_dir).select("id", "tokens"), among=d.select("id", "day"), block=["day"], least=0.25)
+    f = clusters.folds(d.select("id", "day", F.col("bs").alias("score")), same_day, sets=sets)
     return digest.ranked(d.join(f, "id"))
 
 
@@ -102,10 +102,9 @@ def focus_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def focus_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pick's part in a day's focus: cards; what is attached to a card; lines and facts of worth; twins of these."""
-    d = digest.tiers(news(spark, sf_dir)).where("tier is not null").select("id", "day", "tier").join(focus_value(spark, sf_dir).select("id", "value"), "id").persist()  # read four times
-    k = tokenised(spark, sf_dir).select("id", "tokens")
-    pairs = sim.rarity_pairs(k, among=d.select("id", "day"), block=["day"]).select("a", "b", "similarity").persist()
-    return products.focus_layout(d, pairs)
+    d = durable(digest.tiers(news(spark, sf_dir)).where("tier is not null").select("id", "day", "tier").join(focus_value(spark, sf_dir).select("id", "value"), "id"))  # read four times
+    sets, pairs = sim.rarity_sets(tokenised(spark, sf_dir).select("id", "tokens"), among=d.select("id", "day"), block=["day"], least=products.ATTACHED_FROM)
+    return products.focus_layout(d, pairs, sets)
 
 
 @query("""WITH f AS (SELECT conv_id, turn, text, regexp_extract(text, '[0-9]+(?:\\.[0-9]+)?', 0) AS n FROM conversations WHERE text IS NOT NULL),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.operators.clusters import durable
+from quillstream.operators.similarity import both_ways, durable
 
 #: Likeness at which a piece goes under a card and at which two pieces are one; worth of a line, a read, and a card that must stay.
 ATTACHED_FROM, TWINS_FROM, LINE_FROM, READ_FROM, MUST_FROM = 0.15, 0.25, 3.0, 3.4, 5.0
@@ -53,9 +53,11 @@ def under(left_out: DataFrame, kept: DataFrame, groups: DataFrame, order: list[C
     return g.join(left_out.select("id"), "id", "left_semi").join(there, "group").groupBy("id").agg(F.min("key").alias("key")).select("id", F.col("key.id").alias("under"))
 
 
-def sections(picks: DataFrame, pairs: DataFrame, topics: DataFrame) -> DataFrame:
+def sections(picks: DataFrame, pairs: DataFrame, topics: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """day, id, part, under and value of picks (id, day, section, value), with the likeness of pairs (a, b, similarity) and topics (id, topic) of one day's picks.
 
+    With `sets` (id, set) the pairs are of sets of one day; ids of a set in a pair are alike among themselves, and a set's pair with itself says just that.
+
     Sections are news, prelims, more, editorials and explained. Cards are the news. Another pick goes under the card it is most
     like, where a topic in common counts as a likeness of ATTACHED_FROM (ties: the better card). What is left and worth it: facts of prelims and lines
     of the rest of the news, twins folded; editorials and background, one per topic and event.
@@ -63,18 +65,23 @@ def sections(picks: DataFrame, pairs: DataFrame, topics: DataFrame) -> DataFrame
     p = durable(picks.select("id", "day", "section", "value"))
     best_first = [-F.col("value")]
     t = topics.join(p.select("id", "day"), "id").select("id", F.concat_ws("|", F.lit("t"), "day", "topic").alias("group"))
-    both = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity"))
+    of = p.select("id", F.col("id").alias("set")) if sets is None else durable(sets.join(p.select("id"), "id", "left_semi").select("id", "set"))
+    both = both_ways(pairs)
     cards = p.where("section = 'news'").select(F.col("id").alias("card"), (-F.col("value")).alias("worse"))
     others = p.where("section <> 'news'")
     # by likeness, and by topic with the best card of it
-    like = both.join(cards, F.col("a") == F.col("card")).select(F.col("b").alias("id"), "similarity", "worse", "card")
+    # of a set's cards only the best one counts
+    set_card = of.join(cards, F.col("id") == F.col("card")).groupBy(F.col("set").alias("a")).agg(F.min(F.struct("worse", "card")).alias("c"))
+    to_set = both.where(F.col("similarity") >= ATTACHED_FROM).join(set_card, "a").groupBy(F.col("b").alias("set")).agg(F.min(F.struct((-F.col("similarity")).alias("less"), "c.worse", "c.card")).alias("w"))
+    like = of.join(to_set, "set").select("id", (-F.col("w.less")).alias("similarity"), "w.worse", "w.card")
     topic_card = t.join(cards, F.col("id") == F.col("card")).groupBy("group").agg(F.min(F.struct("worse", "card")).alias("c"))
     by_topic = t.join(topic_card, "group").select("id", F.lit(ATTACHED_FROM).alias("similarity"), "c.worse", "c.card")
-    ways = like.where(F.col("similarity") >= ATTACHED_FROM).union(by_topic).join(others.select("id"), "id", "left_semi")
+    ways = like.union(by_topic).join(others.select("id"), "id", "left_semi")
     attached = ways.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "worse", "card")).alias("w")).select("id", F.col("w.card").alias("card"))
     attached = durable(attached)
     rest = others.join(attached, "id", "left_anti")
-    twins = both.where(F.col("similarity") >= TWINS_FROM).select(F.col("a").alias("id"), F.concat_ws("|", F.lit("p"), F.least("a", "b"), F.greatest("a", "b")).alias("group"))
+    twin = pairs.where(F.col("similarity") >= TWINS_FROM).select(F.concat_ws("|", F.lit("p"), F.least("a", "b"), F.greatest("a", "b")).alias("group"), F.explode(F.array("a", "b")).alias("set"))
+    twins = of.join(twin, "set").select("id", "group")
     parts = [cards.join(p.withColumnRenamed("id", "card"), "card").select("day", F.col("card").alias("id"), F.lit("card").alias("part"), F.lit(None).cast("long").alias("under"), "value")]
     parts.append(attached.join(p, "id").select("day", "id", F.lit("attached"), "card", "value"))
     reads = rest.withColumn("part", F.when(F.col("section") == "editorials", "ed").when(F.col("section") == "explained", "bg"))

@@ -38,9 +38,9 @@ def day_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tokenised(spark, sf_dir)
     # each is read several times
     d = durable(section_picks(spark, sf_dir).select("id", "day", "section", "grade").join(focus_value(spark, sf_dir), "id"))
-    pairs = durable(sim.rarity_pairs(t.select("id", "tokens"), among=d.select("id", "day"), block=["day"]).select("a", "b", "similarity"))
+    sets, pairs = sim.rarity_sets(t.select("id", "tokens"), among=d.select("id", "day"), block=["day"], least=focus.ATTACHED_FROM)
     topics = durable(running_topics(t).join(d.select("id"), "id", "left_semi"))
-    return focus.sections(d, pairs, topics).join(d.select("id", "minutes"), "id")
+    return focus.sections(d, pairs, topics, sets).join(d.select("id", "minutes"), "id")
 
 
 @query()

@@ -96,7 +96,7 @@ def assigned(reports: DataFrame, memory: DataFrame | None = None, *, idle_days:
     none = {"story": F.lit(None).cast("long"), "founded": F.lit(None).cast("long"), "place": F.lit(None).cast("int")}
     rows = r.withColumns(none).unionByName(memory.select("id", F.col("last").alias("day"), "kind", "tokens", "story", "founded", "place"))
     sets = rows.where(F.size("tokens") >= 2).groupBy("kind", "tokens").agg(F.min("id").alias("sid"))
-    pairs = clusters.durable(sim.similar_stories(sets.withColumnRenamed("sid", "id"), block=["kind"]))
+    pairs = clusters.durable(sim.similar_sets(sets.withColumnRenamed("sid", "id"), block=["kind"]))
     of = clusters.blocks(pairs)
     rows = rows.join(sets, ["kind", "tokens"], "left").withColumn("sid", F.coalesce("sid", "id"))
     rows = rows.join(of.withColumnRenamed("id", "sid"), "sid", "left").withColumn("block", F.coalesce("block", "sid"))

@@ -44,10 +44,14 @@ def forms_of(term: str) -> list[Form]:
     return [Form(key + e, exact, key) for e in endings] if term else []
 
 
+#: Every place but those inside a word, inside a character of two units, and the end. Cutting there is half the work of listing what matches.
+_BETWEEN = r"(?<![A-Za-z0-9](?=[A-Za-z0-9]))(?![\x{DC00}-\x{DFFF}]|\z)"
+
+
 def pieces(text: Column) -> Column:
     """Words, and the single characters between them; white space and hyphens are one space."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\-]+", " ")
-    return F.regexp_extract_all(plain, F.lit(r"([A-Za-z0-9]+|[^A-Za-z0-9])"), F.lit(1))
+    return F.split(plain, _BETWEEN)
 
 
 def matched(texts: DataFrame, rules: list[Rule], fields: dict[str, float]) -> DataFrame:
@@ -69,21 +73,13 @@ def matched_sets(texts: DataFrame, sets: dict[str, tuple[list[Rule], dict[str, f
     heads = sorted({split(form)[0].lower() for _, form, _, _ in forms})
     fields = sorted({c for _, own in sets.values() for c in own})
     known = F.broadcast(spark.createDataFrame(sorted((*f, c, float(factor)) for f in forms for c, factor in sets[f[0]][1].items()), "set string, form string, is_exact boolean, term string, field string, factor double"))
-    parts = [texts.select("id", F.lit(c).alias("field"), pieces(F.expr(c)).alias("p")) for c in fields]
-    d = parts[0]
-    for x in parts[1:]:
-        d = d.union(x)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("p"), F.lit(1))), lambda i: F.lower(F.get("p", i - 1)).isin(heads))
-
-    def runs_of(n: int) -> Column:
-        # null at the end of a text; slice would copy the whole array for each run
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.concat(*(F.get("p", i - 1 + k) for k in range(n))).alias("run")))
-
-    # runs that are no form of any set are left out before they would be rows
-    wanted = sorted({form.lower() for _, form, _, _ in forms})
-    runs = F.filter(F.concat(*(runs_of(n) for n in lengths)), lambda r: F.lower(r["run"]).isin(wanted))
-    # the outer form: the plain one would be filtered by the whole expression before, once for each element
-    d = d.select("id", F.col("field").alias("own"), F.inline_outer(F.when(F.size("p") > 0, runs))).where("run is not null")
+    # all fields in one read of the table
+    d = texts.select("id", F.inline_outer(F.array(*(F.struct(F.lit(c).alias("own"), F.expr(c).alias("text")) for c in fields)))).select("id", "own", pieces(F.col("text")).alias("p"))
+    # rows instead of lambdas, which are not compiled; the outer form, as the plain one would split each text again to filter by it
+    d = d.select("id", "own", "p", F.posexplode_outer("p").alias("at", "x")).where(F.lower("x").isin(heads))
+    # null at the end of a text
+    runs = F.array(*(F.struct(F.lit(n).alias("n"), F.concat(*(F.get("p", F.col("at") + k) for k in range(n))).alias("run")) for n in lengths))
+    d = d.select("id", "own", (F.col("at") + 1).alias("start"), F.inline_outer(runs)).where("run is not null")
     found = d.join(known, (F.col("own") == F.col("field")) & (F.lower("run") == F.lower("form"))).where("not is_exact or run = form")
     # longest first among those that begin together, the term itself before a plural
     order = F.struct(F.col("start"), (-F.length("term")).alias("longest"), (-F.col("n")).alias("n"), F.col("term"))

@@ -47,8 +47,8 @@ def term_sets(config: dict[str, Any]) -> dict[str, list[Rule]]:
 
 def _hits(items: DataFrame, found: DataFrame) -> DataFrame:
     """`items` with the array _hits of what was found in each."""
-    per_item = found.groupBy("id").agg(F.collect_set(F.struct("set", "bucket", "term", "field", (F.col("weight") * F.col("factor")).alias("points"))).alias("_hits"))
-    none = F.array().cast("array<struct<set:string,bucket:string,term:string,field:string,points:double>>")
+    per_item = found.groupBy("id").agg(F.collect_set(F.struct("set", "bucket", "term", "field", (F.col("weight") * F.col("factor")).alias("points"), "weight", "factor")).alias("_hits"))
+    none = F.array().cast("array<struct<set:string,bucket:string,term:string,field:string,points:double,weight:double,factor:double>>")
     return items.join(per_item, "id", "left").withColumn("_hits", F.array_sort(F.coalesce("_hits", none)))
 
 
@@ -78,10 +78,27 @@ def _among(value: Column, names: list[str]) -> Column:
     return F.coalesce(value.isin(*names), F.lit(False)) if names else F.lit(False)
 
 
+def _with_fields(config: dict[str, Any]) -> dict[str, tuple[list[Rule], dict[str, float]]]:
+    sets = term_sets(config)
+    return {name: (sets[name], fields) for name, fields in FIELDS.items()}
+
+
+def _topic_set(config: dict[str, Any]) -> dict[str, tuple[list[Rule], dict[str, float]]]:
+    return {"topics": (bucket_rules(config["topics"]), TOPIC_FIELDS)}
+
+
 def analysed(items: DataFrame, config: dict[str, Any]) -> DataFrame:
     """Adds to items (id, title, body, publisher, tier, kind) subjects, elsewhere, local, signal, noise, watch, rejected, score and grade."""
-    sets = term_sets(config)
-    d = _hits(items, terms.matched_sets(items, {name: (sets[name], fields) for name, fields in FIELDS.items()}))
+    return _judged(_hits(items, terms.matched_sets(items, _with_fields(config))), config).drop("_hits")
+
+
+def analysed_topics(items: DataFrame, config: dict[str, Any]) -> DataFrame:
+    """`topics` of items (id, title, body, publisher, tier, kind) with the subjects that `analysed` finds, texts read and matched once for both."""
+    found = terms.matched_sets(items, _with_fields(config) | _topic_set(config))
+    return _ranked_topics(_judged(_hits(items, found), config), config)
+
+
+def _judged(d: DataFrame, config: dict[str, Any]) -> DataFrame:
     outlet, title = F.lower(F.trim(F.coalesce("publisher", F.lit("")))), F.coalesce("title", F.lit(""))
     abroad, links = _any("foreign"), F.array_distinct(F.transform(_of("links"), lambda h: h["term"]))
     # a link that two countries share is none where the headline names the other one
@@ -118,7 +135,7 @@ def analysed(items: DataFrame, config: dict[str, Any]) -> DataFrame:
     rejected = F.when(script, SCRIPT).when(blocked, BLOCKED).when(F.col("noise") >= config["reject_noise"], NOISY)
     curated, news = _among(F.col("tier"), config["curated_tiers"]), F.coalesce(F.col("kind") == "news", F.lit(False))
     d = d.withColumns({"rejected": F.coalesce(rejected, F.when(F.col("local") & ~curated, LOCAL), F.lit("")), "score": _score(config, curated, news, home)})
-    return d.withColumn("grade", base.grade(F.col("score"))).drop("_hits", "_all", "_moved", "_ranked", "best")
+    return d.withColumn("grade", base.grade(F.col("score"))).drop("_all", "_moved", "_ranked", "best")
 
 
 def _score(config: dict[str, Any], curated: Column, news: Column, home: Column) -> Column:
@@ -138,12 +155,21 @@ def _score(config: dict[str, Any], curated: Column, news: Column, home: Column)
 
 def topics(items: DataFrame, config: dict[str, Any]) -> DataFrame:
     """(id, topic, score, rank) of items (id, title, body, subjects): title terms twice, terms of the body that the title has not once, and more where a subject fits."""
+    return _ranked_topics(_hits(items, terms.matched_sets(items, _topic_set(config))), config)
+
+
+def _ranked_topics(d: DataFrame, config: dict[str, Any]) -> DataFrame:
     own, limits = config["topics"], config["topic"]
-    found = terms.matched_sets(items, {"topics": (bucket_rules(own), TOPIC_FIELDS)})
+    d = d.select("id", "subjects", _of("topics").alias("_found")).where("size(_found) > 0")
     # a term counts where it weighs most
-    once = found.groupBy("id", "bucket", "term").agg(F.max("factor").alias("factor"), F.max("weight").alias("weight"))
-    s = once.groupBy("id", "bucket").agg(F.sum(F.col("weight") * F.col("factor")).alias("score"), F.max(F.col("weight") >= limits["strong"]).alias("strong"), F.count(F.lit(1)).alias("terms"))
-    s = s.join(items.select("id", "subjects"), "id")
+    same = lambda t: F.filter("_found", lambda h: (h["bucket"] == t["bucket"]) & (h["term"] == t["term"]))
+    most = lambda t, c: F.array_max(F.transform(same(t), lambda h: h[c]))
+    once = F.array_distinct(F.transform("_found", lambda h: F.struct(h["bucket"].alias("bucket"), h["term"].alias("term"))))
+    d = d.withColumn("_once", F.transform(once, lambda t: F.struct(t["bucket"].alias("bucket"), most(t, "factor").alias("factor"), most(t, "weight").alias("weight"))))
+    of = lambda b: F.filter("_once", lambda t: t["bucket"] == b)
+    score = lambda b: F.aggregate(of(b), F.lit(0.0), lambda a, t: a + t["weight"] * t["factor"])
+    buckets = F.array_distinct(F.transform("_once", lambda t: t["bucket"]))
+    s = d.select("id", "subjects", F.inline(F.transform(buckets, lambda b: F.struct(b.alias("bucket"), score(b).alias("score"), F.exists(of(b), lambda t: t["weight"] >= limits["strong"]).alias("strong"), F.size(of(b)).alias("terms")))))
     fits = reduce(lambda c, kv: F.when(F.col("bucket") == kv[0], F.arrays_overlap("subjects", F.array(*map(F.lit, kv[1]["subj"])))).otherwise(c), own.items(), F.lit(False))
     s = s.withColumn("score", F.round(F.col("score") + F.when(fits, limits["bonus"]).otherwise(0.0), 4)).where((F.col("score") >= limits["least"]) & (F.col("strong") | (F.col("terms") >= 2)))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "bucket")

@@ -96,6 +96,4 @@ _FITS = " ".join(f"WHEN {_q(name)} THEN len(list_intersect(subjects, [{', '.join
   SELECT id, topic, score, rank FROM t3 WHERE rank <= {_T["most"]} AND score >= top * {_T["second"]}""")
 def ruled_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of every item by the file's terms and the subjects found before."""
-    i = items(spark, sf_dir)
-    d = i.select("id", "title", "body").join(analysis.analysed(i, CONFIG).select("id", "subjects"), "id")
-    return analysis.topics(d, CONFIG).withColumn("rank", F.col("rank").cast("long"))
+    return analysis.analysed_topics(items(spark, sf_dir), CONFIG).withColumn("rank", F.col("rank").cast("long"))

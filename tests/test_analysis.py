@@ -6,9 +6,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstream.operators import analysis, terms
 from quillstream.plans.analysis_queries import CONFIG
+from quillstream.sources import rule_files
 
 SCHEMA = "id long, title string, body string, publisher string, tier string, kind string"
 WORDS = "the of and that la der des die Le un los Is que war por this with in en from thion erat les de is it be not as by for A a Ther to on und mit nicht xx The thes | 12 it-is".split()
@@ -145,3 +147,28 @@ def test_terms_of_one_set_do_not_hide_those_of_another(spark):
     d = spark.createDataFrame([(1, "of the law of the land", "the law")], "id long, x string, y string")
     got = {(r.set, r.field, r.term, r.factor) for r in terms.matched_sets(d, {"a": ([("", "of the", 1.0)], {"x": 1.0}), "b": ([("", "the law", 1.0), ("", "law", 1.0)], {"x": 2.0, "y": 0.5})}).collect()}
     assert got == {("a", "x", "of the", 1.0), ("b", "x", "the law", 2.0), ("b", "y", "the law", 0.5)}
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    at = str(tmp_path / "items")
+    spark.createDataFrame([(1, "A law", "of the sea", "x", "official", "news")], "id long, title string, body string, publisher string, tier string, kind string").write.parquet(at)
+    i = spark.read.parquet(at)
+    # once to match all fields, once to bring the matches to their items
+    reads = lambda d: d._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+    assert reads(analysis.analysed(i, CONFIG)) == 2
+    assert reads(analysis.analysed_topics(i, CONFIG)) == 2
+
+
+def test_topics_are_those_of_two_passes(spark):
+    words = sorted({t for name in ("topics", "subjects") for _, t, _ in rule_files.bucket_rules(CONFIG[name])})
+    rows = [(k, " ".join(words[k % 7 :: 29]), " and ".join(words[k :: 11]), None, "official", "news") for k in range(30)]
+    i = spark.createDataFrame(rows, "id long, title string, body string, publisher string, tier string, kind string")
+    d = i.select("id", "title", "body").join(analysis.analysed(i, CONFIG).select("id", "subjects"), "id")
+    got = sorted(map(tuple, analysis.analysed_topics(i, CONFIG).collect()))
+    assert got and got == sorted(map(tuple, analysis.topics(d, CONFIG).collect()))
+
+
+def test_pieces_of_odd_texts(spark):
+    texts = ["a😀b 😀😀.x", "x😀", "😀", " ", "..", "é-ü a--b\n\nc", "u.s. economy.", "\u0085a9 ", "İstanbul'da"]
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", terms.pieces(F.col("x")).alias("p")).collect()
+    assert {r.x: r.p for r in got} == {x: re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9]", re.sub(r"[ \t\n\x0b\f\r\-]+", " ", x)) for x in texts}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,15 +40,21 @@ def admitted(calls: DataFrame, *, most: int = MOST, seconds: float = SECONDS) ->
     d = d.withColumn("stretch", F.sum("quiet").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "at", "id").select("key", "stretch", "at", "id")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, log = None, deque()
         for rows in batches:
-            out = []
-            for (key, stretch), own in rows.groupby(["key", "stretch"], sort=False, dropna=False):
-                name = (None if pd.isna(key) else key, stretch)
-                if name != now:
-                    now, log = name, deque()
-                out.append(pd.DataFrame({"key": own["key"], "id": own["id"], "admitted": walk(own["at"].tolist(), log, most, seconds)}))
-            yield pd.concat(out) if out else pd.DataFrame({"key": [], "id": [], "admitted": []})
-
-    return d.mapInPandas(run, schema)
+            at, out = rows.column("at").to_pylist(), []
+            # where one stretch ends and the next begins; most hold a few calls, so a frame for each would cost more than the walk
+            keys = [k if k == k else "NaN" for k in rows.column("key").to_pylist()]  # NaN is one key, and not that of null
+            names = list(zip(keys, rows.column("stretch").to_pylist(), strict=True))
+            start = 0
+            for i in range(1, len(names) + 1):
+                if i < len(names) and names[i] == names[start]:
+                    continue
+                if names[start] != now:
+                    now, log = names[start], deque()
+                out += walk(at[start:i], log, most, seconds)
+                start = i
+            yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("id"), pa.array(out, pa.bool_())], ["key", "id", "admitted"])
+
+    return d.mapInArrow(run, schema)

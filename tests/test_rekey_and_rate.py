@@ -71,6 +71,13 @@ def test_only_admitted_calls_count(spark):
     assert not rate.admitted(d.limit(0)).collect()
 
 
+def test_null_and_nan_are_two_keys(spark):
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    calls = [(key, k, at + timedelta(seconds=k)) for k, key in enumerate([None, float("nan"), None, float("nan")])]
+    d = spark.createDataFrame(calls, "key double, id long, ts timestamp").coalesce(1)
+    assert {r.id: r.admitted for r in rate.admitted(d, most=1, seconds=60).collect()} == {0: True, 1: True, 2: False, 3: False}
+
+
 def test_the_log_as_a_stream(spark, tmp_path):
     calls = [c for c in random_calls(5, 240) if c[2] is not None and c[0] is not None]
     calls.sort(key=lambda c: (c[2], c[1]))

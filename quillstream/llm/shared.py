@@ -49,6 +49,8 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets the driver find what nothing refers to any more, so that Spark deletes the shuffle files of steps whose results are written."""
+    # The threads of the listener bus hold the last event, and so the plan of the query that ended last, until another comes.
+    spark.sql("SELECT 1").collect()
     gc.collect()
     spark.sparkContext._jvm.java.lang.System.gc()
 

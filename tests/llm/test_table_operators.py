@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from quillstream.llm import decontaminate, jaccard, language, line_dedup, main_text, personal_data, pieces, quality, token_counts, url_filter
 from quillstream.llm import components as cc
 from quillstream.llm.queries import vocabulary
+from quillstream.llm.shared import release, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = str.maketrans({i: i + 32 for i in range(65, 91)})
@@ -278,6 +280,44 @@ def test_line_dedup_of_odd_tables(spark):
     assert rows == [("1", "t", True, False), ("1", "t", True, False), ("2", "s", False, True), ("None", "u", False, True)]
 
 
+def test_shuffle_files_of_the_last_step_are_let_go(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    release(spark)
+    time.sleep(1)
+    before = files()
+    written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert files() - before
+    release(spark)
+    ends = time.time() + 10
+    while files() - before and time.time() < ends:
+        time.sleep(0.2)
+    assert not files() - before
+
+
+def test_line_dedup_shuffles_texts_once(spark):
+    """What is compared and what is left are read from texts that were shuffled and cut before."""
+    rng = random.Random(31)
+    p = prose(rng, 60)
+    d = docs(spark, [(k, prose(rng, 30) + "\n" + p, "en") for k in range(4)])
+    plan = line_dedup.dedup_lines(d)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "split(" not in plan
+
+
+def test_line_dedup_keeps_bytes_of_what_stays(spark):
+    """Texts that are not valid UTF-8 keep their bytes if no line goes; rows of one document twice are no repeats of each other."""
+    rng = random.Random(32)
+    p = prose(rng, 60)
+    rows = [(1, bytearray(b"\xff" + p.encode())), (1, bytearray(b"\xff" + p.encode())), (2, bytearray(prose(rng, 40).encode() + b"\n" + p.encode())), (3, bytearray(b"\xfe\xff alone"))]
+    d = spark.createDataFrame(rows, "doc_id long, b binary").select("doc_id", F.col("b").cast("string").alias("text"))
+    got = line_dedup.dedup_lines(d).select("doc_id", F.col("text").cast("binary").alias("b"), "_n_removed").collect()
+    kept = sorted((r.doc_id, bytes(r.b)) for r in got if r.doc_id != 2)
+    assert kept == [(i, bytes(b)) for i, b in rows if i != 2]
+    assert [r._n_removed > 0 for r in got if r.doc_id == 2] == [True]
+
+
 def test_line_dedup_of_a_very_long_text(spark):
     rng = random.Random(2)
     p = prose(rng, 60)

@@ -86,7 +86,7 @@ _RARITY = f"""WITH {TOKENS_SQL}, c AS (SELECT count(*) AS n FROM items), d AS (S
 
 @query(f"{_RARITY} SELECT a, b, shared, round(s, 6) AS similarity FROM r")
 def rarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sim.rarity_pairs(tokenised(spark, sf_dir).select("id", "tokens")).withColumn("similarity", F.round("similarity", 6))
+    return sim.rarity_pairs(tokenised(spark, sf_dir).select("id", "tokens"), digits=6)
 
 
 @query(f"{_RARITY}, q AS (SELECT a, b, round(s, 6) AS s FROM r WHERE s >= 0.15), k AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY s DESC, a) AS rn FROM q) SELECT b AS piece, a AS card FROM k WHERE rn = 1")

@@ -65,7 +65,7 @@ def rules_vs_labels_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT a, b, round(s, 6) AS similarity FROM v WHERE s > 0""")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tokenised(spark, sf_dir).select("id", "tokens")
-    return sim.similar_stories(d).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return sim.similar_stories(d, digits=6)
 
 
 @query(f"""WITH {TOKENS_SQL}, k AS (SELECT id, string_agg(w, ' ' ORDER BY w) AS k FROM tok GROUP BY id HAVING count(*) >= 3), x AS (SELECT items.id, kind, day, k FROM items JOIN k USING (id)),
